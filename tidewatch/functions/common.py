@@ -124,6 +124,4 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
 def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str, value: str) -> DataFrame:
     """Numeric columns to long form ``(keys, name, value DOUBLE)``."""
     pairs = F.array(*[F.struct(F.lit(c).alias("n"), number(quoted(c)).alias("v")) for c in columns])
-    return df.select(*[quoted(k) for k in keys], F.explode(pairs).alias("__p")).select(
-        *[quoted(k) for k in keys], F.col("__p.n").alias(name), F.col("__p.v").alias(value)
-    )
+    return df.select(*[quoted(k) for k in keys], F.inline(pairs).alias(name, value))

@@ -20,17 +20,18 @@ SLICES = 1 << 20
 BLOCK_ROWS = 1 << 16
 
 
-def _slice_of(x: Column, low: Column, high: Column) -> Column:
-    """Slice number of ``x``, never decreasing in ``x``.
+def _slice_of(value: str) -> Column:
+    """Slice number of ``value`` within ``[__lo, __hi]``, never decreasing in it.
 
-    Equal-width slices of ``[low, high]`` first; inside one, slices of equal
-    ratio of the magnitude.  The first handles offsets, the second long tails.
+    Equal-width slices first; inside one, slices of equal ratio of the
+    magnitude.  The first handles offsets, the second long tails.
     """
-    width = high - low
-    even = F.when(width > 0, F.floor((x - low) / width * F.lit(float(SLICES)))).otherwise(F.lit(0))
-    magnitude = F.floor(F.ln(F.least(F.abs(x), F.lit(1e308))) * 2048) + F.lit(1 << 22)
-    signed = F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("bigint") * magnitude)
-    return even.cast("bigint") * F.lit(1 << 24) + signed.cast("bigint") + F.lit(1 << 23)
+    v = f"`{value}`"
+    return F.expr(
+        f"CAST(CASE WHEN __hi > __lo THEN floor(({v} - __lo) / (__hi - __lo) * {SLICES}D) ELSE 0 END AS BIGINT)"
+        f" * {1 << 24}L + {1 << 23}L + CAST(CASE WHEN {v} = 0 THEN 0 ELSE"
+        f" signum({v}) * (floor(ln(least(abs({v}), 1e308D)) * 2048) + {1 << 22}) END AS BIGINT)"
+    )
 
 
 def value_counts(
@@ -49,7 +50,7 @@ def with_prefix(
     keys: Sequence[str],
     value: str,
     measures: Sequence[str],
-    keep: Callable[[DataFrame], Column] | None = None,
+    keep: Column | None = None,
 ) -> DataFrame:
     """Add ``before_m`` (sum of ``m`` over smaller values) and ``total_m`` per key.
 
@@ -63,7 +64,7 @@ def with_prefix(
         F.min(value).alias("__lo"), F.max(value).alias("__hi"), *[F.sum(m).alias(f"total_{m}") for m in measures]
     )
     sliced = attach(counts, limits, keys).withColumn(
-        "__slice", _slice_of(quoted(value), F.col("__lo"), F.col("__hi"))
+        "__slice", _slice_of(value)
     ).drop("__lo", "__hi")
     per_slice = sliced.groupBy(*keys, "__slice").agg(
         *[F.sum(m).alias(f"__s_{m}") for m in measures], *[F.max(f"total_{m}").alias(f"total_{m}") for m in measures]
@@ -73,7 +74,7 @@ def with_prefix(
         "*", *[(F.sum(f"__s_{m}").over(order) - F.col(f"__s_{m}")).alias(f"__o_{m}") for m in measures]
     )
     if keep is not None:
-        wanted = offsets.filter(keep(offsets)).select(*keys, "__slice", *[f"__o_{m}" for m in measures])
+        wanted = offsets.filter(keep).select(*keys, "__slice", *[f"__o_{m}" for m in measures])
         if not keys:
             wanted = F.broadcast(wanted)  # at most two slices per requested rank
         joined = join_on(sliced, wanted, [*keys, "__slice"])
@@ -109,30 +110,24 @@ def exact_quantiles(
     counts = value_counts(long, [*keys, "__col"], "__val")
     probs = {i: sorted({q for cc, q in wanted.values() if cc == c}) for i, c in enumerate(columns)}
 
-    def rank(q: float) -> Column:
-        return F.lit(float(q)) * (F.col("total_n") - 1)
-
-    def holds(position: Column, start: Column, size: Column) -> Column:
-        return (position >= start) & (position < start + size)
-
-    def touched(_: DataFrame) -> Column:
-        edges = F.array().cast("array<bigint>")
-        for i, qs in probs.items():
-            ends = F.array(*[f(rank(q)) for q in qs for f in (F.floor, F.ceil)])
-            edges = F.when(F.col("__col") == i, ends).otherwise(edges)
-        return F.exists(edges, lambda e: holds(e, F.col("__o_n"), F.col("__s_n")))
+    def rank(q: float) -> str:
+        return f"({float(q)!r}D * (total_n - 1))"
 
+    cases = " ".join(
+        f"WHEN {i} THEN array({', '.join(f'{f}{rank(q)}' for q in qs for f in ('floor', 'ceil'))})"
+        for i, qs in probs.items()
+    )
+    touched = F.expr(f"exists(CASE __col {cases} END, e -> e >= __o_n AND e < __o_n + __s_n)")
     ranked = with_prefix(counts, [*keys, "__col"], "__val", ["n"], keep=touched)
     outputs = []
     for out, (c, q) in wanted.items():
-        mine = F.col("__col") == columns.index(c)
-
-        def at(edge: Column) -> Column:
-            return F.max(F.when(mine & holds(edge, F.col("before_n"), F.col("n")), F.col("__val")))
-
-        low, high = at(F.floor(rank(q))), at(F.ceil(rank(q)))
-        part = F.max(F.when(mine, rank(q) - F.floor(rank(q))))
-        outputs.append((low + (high - low) * part).alias(out))
+        mine = f"__col = {columns.index(c)}"
+        low, high = (
+            f"max(CASE WHEN {mine} AND {f}{rank(q)} >= before_n AND {f}{rank(q)} < before_n + n THEN __val END)"
+            for f in ("floor", "ceil")
+        )
+        part = f"max(CASE WHEN {mine} THEN {rank(q)} - floor{rank(q)} END)"
+        outputs.append(F.expr(f"{low} + ({high} - {low}) * {part}").alias(out))
     return ranked.groupBy(*keys).agg(*outputs)
 
 
@@ -163,13 +158,13 @@ def with_order_index(
     position = micros(quoted(ts)) if kind.startswith("timestamp") or kind == "date" else quoted(ts).cast("double")
     placed = df.withColumn("__pos", position)
     limits = placed.groupBy(*keys).agg(F.min("__pos").alias("__lo"), F.max("__pos").alias("__hi"))
-    span = (F.col("__hi") - F.col("__lo")).cast("double")
     sliced = attach(placed, limits, keys).withColumn(
         "__slice",
-        F.when(span > 0, F.floor((F.col("__pos") - F.col("__lo")) / span * F.lit(float(SLICES)))).otherwise(
-            F.when(F.col("__pos").isNull(), F.lit(-1)).otherwise(F.lit(0))
+        F.expr(
+            "CASE WHEN __pos IS NULL THEN -1L WHEN __hi > __lo THEN"
+            f" CAST(floor((__pos - __lo) / CAST(__hi - __lo AS DOUBLE) * {SLICES}D) AS BIGINT) ELSE 0L END"
         ),
-    ).withColumn("__slice", F.coalesce("__slice", F.lit(-1)))
+    )
     sliced = sliced.drop("__lo", "__hi")
     sizes = sliced.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
     order = Window.partitionBy(*keys).orderBy("__slice")

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("aggregation",)
+FAMILIES = ("aggregation", "checks")
 
 
 def load_all() -> None:
