@@ -11,6 +11,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -60,12 +61,12 @@ def normal_two_sided(z: float) -> float:
     return min(1.0, math.erfc(z / math.sqrt(2.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([student_two_sided(a, b) for a, b in zip(t, df)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_p(z: pd.Series) -> pd.Series:
     return pd.Series([normal_two_sided(a) for a in z])
 

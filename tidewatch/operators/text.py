@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.common import attach, quoted
@@ -11,36 +11,46 @@ from tidewatch.functions.common import attach, quoted
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-def tokens(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(doc_id, term)``, one row per occurrence, lower case."""
-    return df.select(
-        quoted(doc_id).alias(doc_id),
-        F.explode(F.regexp_extract_all(F.lower(quoted(text)), F.lit(TOKEN), F.lit(0))).alias("term"),
-    )
+def words(text: str) -> Column:
+    """All tokens of a text, lower case, in order."""
+    return F.regexp_extract_all(F.lower(quoted(text)), F.lit(TOKEN), F.lit(0))
 
 
-def tfidf(df: DataFrame, doc_id: str, text: str, max_terms: int = 100) -> DataFrame:
-    """Sparse TF-IDF ``(doc_id, term, weight)`` over the ``max_terms`` most frequent terms.
+def vocabulary(df: DataFrame, text: str, max_terms: int = 100) -> DataFrame:
+    """The ``max_terms`` most frequent terms: ``(term, total, docs)``.
 
-    ``idf = ln((1 + n) / (1 + df)) + 1`` and rows of length 1.  The vocabulary
-    (at most ``max_terms`` rows) is the only thing that is broadcast; counts
-    are combined before every shuffle.
+    Occurrences and documents are counted per term inside each task before the
+    shuffle, so even a term that is in every document travels as one row per task.
     """
-    words = tokens(df, doc_id, text)
-    # Repeated words inside a document shrink first, so frequent terms never travel as single rows.
-    per_doc = words.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocabulary = (
-        per_doc.groupBy("term")
-        .agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("docs"))
+    found = df.select(words(text).alias("w"))
+    all_words = found.select(F.explode("w").alias("term"), F.lit(1).alias("total"), F.lit(0).alias("docs"))
+    once = found.select(F.explode(F.array_distinct("w")).alias("term"), F.lit(0).alias("total"), F.lit(1).alias("docs"))
+    return (
+        all_words.union(once)
+        .groupBy("term")
+        .agg(F.sum("total").alias("total"), F.sum("docs").alias("docs"))
         .orderBy(F.desc("total"), "term")
         .limit(max_terms)
     )
+
+
+def tfidf(df: DataFrame, doc_id: str, text: str, max_terms: int = 100) -> DataFrame:
+    """Sparse TF-IDF ``(doc_id, term, weight)`` over the ``max_terms`` most frequent terms.
+
+    ``idf = ln((1 + n) / (1 + df)) + 1`` and rows of length 1; one input row
+    per document.  The vocabulary (at most ``max_terms`` rows) is the only
+    thing that is broadcast, and only its terms reach the per-document shuffle.
+    """
+    kept = F.broadcast(vocabulary(df, text, max_terms).select("term", "docs"))
+    occurrences = df.select(quoted(doc_id).alias(doc_id), F.explode(words(text)).alias("term")).join(kept, "term")
+    counted = occurrences.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("docs").alias("docs"))
     size = df.filter(quoted(text).isNotNull()).agg(F.count(F.lit(1)).alias("__docs"))
-    weighted = attach(per_doc.join(F.broadcast(vocabulary), "term"), size, []).withColumn(
+    weighted = attach(counted, size, []).withColumn(
         "raw", F.col("tf") * (F.ln((F.col("__docs") + 1) / (F.col("docs") + 1)) + 1)
     )
-    norms = weighted.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighted.join(norms, doc_id).select(doc_id, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    by_doc = Window.partitionBy(doc_id)  # at most max_terms rows each
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(by_doc))
+    return weighted.select(doc_id, "term", (F.col("raw") / norm).alias("weight"))
 
 
 def first_term_weight(df: DataFrame, doc_id: str, text: str, max_terms: int = 100) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("aggregation", "checks")
+FAMILIES = ("aggregation", "checks", "shifts", "building")
 
 
 def load_all() -> None:
