@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("aggregation", "checks", "shifts", "building")
+FAMILIES = ("aggregation", "checks", "shifts", "building", "models")
 
 
 def load_all() -> None:
