@@ -32,7 +32,7 @@ def main() -> int:
             else:
                 issue, note = None, f"rows only: {df.count()}"
         except Exception as exc:  # report and go on
-            issue, note = f"{type(exc).__name__}: {str(exc)[:900]}", ""
+            issue, note = f"{type(exc).__name__}: {str(exc)[:600]!r}", ""
         bad += issue is not None
         print(f"{'FAIL' if issue else 'ok  '} {name} {time.time() - start:.1f}s {issue or note}", flush=True)
     print(f"{bad} failed")

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("aggregation", "checks", "shifts", "building", "models")
+FAMILIES = ("aggregation", "checks", "shifts", "building", "models", "watching")
 
 
 def load_all() -> None:
