@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("aggregation", "checks", "shifts", "building", "models", "watching")
+FAMILIES = ("aggregation", "checks", "shifts", "building", "models", "watching", "tables", "flows")
 
 
 def load_all() -> None:
