@@ -157,7 +157,9 @@ def with_order_index(
     kind = df.schema[ts].dataType.typeName()
     position = micros(quoted(ts)) if kind.startswith("timestamp") or kind == "date" else quoted(ts).cast("double")
     placed = df.withColumn("__pos", position)
-    limits = placed.groupBy(*keys).agg(F.min("__pos").alias("__lo"), F.max("__pos").alias("__hi"))
+    limits = placed.groupBy(*keys).agg(
+        F.min("__pos").alias("__lo"), F.max("__pos").alias("__hi"), *([F.count(F.lit(1)).alias(total)] if total else [])
+    )
     sliced = attach(placed, limits, keys).withColumn(
         "__slice",
         F.expr(
@@ -173,7 +175,6 @@ def with_order_index(
         "__slice",
         F.lit(0).alias("__row"),
         (F.sum("__n").over(order) - F.col("__n")).alias("__off"),
-        *([F.sum("__n").over(Window.partitionBy(*keys)).alias(total)] if total else []),
     )
     marked = union_all([sliced.withColumn("__row", F.lit(1)), offsets])
     inner = Window.partitionBy(*keys, "__slice").orderBy("__row", "__pos", *[quoted(t) for t in tiebreak])
@@ -181,7 +182,7 @@ def with_order_index(
         *[quoted(c) for c in df.columns],
         "__row",
         (F.first("__off").over(inner) + F.row_number().over(inner) - 2).alias("__idx"),
-        *([F.first(total).over(inner).alias(total)] if total else []),
+        *([F.col(total)] if total else []),
     ).filter("__row = 1").drop("__row")
 
 

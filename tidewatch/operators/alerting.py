@@ -80,7 +80,7 @@ def breaches(metrics: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
 
 def cooldown(
     hits: DataFrame, keys: Sequence[str] = ("rule_id",), ts: str = "ts", tiebreak: str = "event_id",
-    cooldown_seconds: str | Column = "cooldown_seconds", span: int = 64,
+    cooldown_seconds: str | Column = "cooldown_seconds", span: int = 64, last_fired: DataFrame | None = None,
 ) -> DataFrame:
     """Keep the hits that fire: after one fires, its key is silent for the cooldown.
 
@@ -90,6 +90,7 @@ def cooldown(
     when its last alert is; (2) these short tables are chained per key;
     (3) every stretch is replayed from its true entry moment.  Steps 1 and 3
     run in parallel over all stretches, so one hot rule is spread as well.
+    ``last_fired`` (``keys, ts``) carries the silence over from earlier runs.
     """
     keys = list(keys)
     seconds = quoted(cooldown_seconds) if isinstance(cooldown_seconds, str) else cooldown_seconds
@@ -125,6 +126,15 @@ def cooldown(
     outlines = times.groupBy(*keys, "__b").applyInPandas(
         outline, f"{', '.join(f'`{k}` {types[k]}' for k in reversed(keys))}, __c bigint, __b bigint, __until bigint, __exit bigint"
     )
+    if last_fired is not None:
+        # an earlier firing acts like a stretch before all others
+        earlier = join_on(
+            times.select(*keys, "__c").distinct(), last_fired.select(*keys, micros(quoted(ts)).alias("__exit")), keys
+        )
+        first = F.lit(int(np.iinfo(np.int64).min))
+        outlines = outlines.unionByName(earlier.select(
+            *keys, "__c", first.alias("__b"), F.lit(int(np.iinfo(np.int64).max)).alias("__until"), "__exit"
+        ))
     chained = outlines.repartition(*keys).sortWithinPartitions(*keys, "__b", "__until")
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -234,10 +234,10 @@ def root_causes(
 
 def impact(causes: DataFrame) -> DataFrame:
     """Impact score (mean severity × mean confidence), level, business impact, recovery time, affected metrics."""
-    s = causes.agg(
-        F.avg("severity").alias("s"), F.avg("confidence").alias("c"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("metrics")))).alias("affected_metrics"),
-    )
+    scores = causes.agg(F.avg("severity").alias("s"), F.avg("confidence").alias("c"))
+    # distinct names only: at most one per metric
+    names = causes.select(F.explode("metrics").alias("m")).agg(F.sort_array(F.collect_set("m")).alias("affected_metrics"))
+    s = merge_by_keys([scores, names], [])
     score = F.coalesce(F.col("s") * F.col("c"), F.lit(0.0))
     level, business, recovery = (F.lit(v) for v in IMPACT_FLOOR)
     for limit, a, b, c in reversed(IMPACT_LEVELS):

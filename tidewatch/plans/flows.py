@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewatch.operators import features
-from tidewatch.plans.registry import query, stamp, tidy
+from tidewatch.plans.registry import ORACLES, query, stamp, tidy
 from tidewatch.plans.tables import scratch
 from tidewatch.streaming import streams as X
 
@@ -111,6 +111,15 @@ def stream_cooldown(t):
     return t.spark.read.parquet(path).select("event_type", "event_id")
 
 
+@query("stream_cooldown_hot_keys", ORACLES["stream_cooldown"])
+def stream_cooldown_hot_keys(t):
+    cfg, path = config(t, "hotkeys")
+    hits = event_stream(t).filter("value > 60").select("event_type", "ts", "event_id")
+    fn = X.cooldown_per_batch(path, f"{path}_state", ["event_type"], "ts", 6 * 3600)
+    finish(X.each_batch(hits, cfg, fn))
+    return t.spark.read.parquet(path).select("event_type", "event_id")
+
+
 @query(
     "stream_last_rows",
     """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)

@@ -269,9 +269,16 @@ def catalog_integrity_broken(t):
 )
 def catalog_register(t):
     d = K.describe(order_ids(t), "orders", now(), tags=["sales"], owner="ops", source="erp", quality=0.9)
-    first = K.version_entry(d)
-    both = d.join(first.select("dataset_id", F.col("version").alias("v")), "dataset_id")
-    return both.select("dataset_id", F.col("v").alias("version"), "row_count", "column_count", "checksum", stamp("created_at").alias("created_at"))
+    return d.select("dataset_id", "version", "row_count", "column_count", "checksum", stamp("created_at").alias("created_at"))
+
+
+@query(
+    "catalog_first_versions",
+    """SELECT 'd' || c_custkey AS dataset_id, '1.0' AS version, strftime(TIMESTAMP '2001-01-01' + to_days((c_custkey % 240)::INT), '%Y-%m-%d %H:%M:%S') AS ts,
+    '{"reason": "first load"}' AS changes FROM customer""",
+)
+def catalog_first_versions(t):
+    return tidy(K.version_entry(datasets(t), {"reason": "first load"}))
 
 
 DATASETS_SQL = """datasets AS (SELECT 'd' || c_custkey AS dataset_id, '1.0' AS version, TIMESTAMP '2001-01-01' + to_days((c_custkey % 240)::INT) AS updated_at,

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.functions.common import micros, quoted
-from tidewatch.operators import aggregates, drift, quality
+from tidewatch.operators import aggregates, alerting, drift, quality
 from tidewatch.operators.predicates import apply_processing
 
 
@@ -186,6 +186,28 @@ def quality_per_batch(path: str, rules: Sequence[Mapping]) -> BatchFunction:
     return run
 
 
+def cooldown_per_batch(
+    path: str, state_path: str, keys: Sequence[str], ts: str, cooldown_seconds: int, id_column: str = "event_id"
+) -> BatchFunction:
+    """Cooldown with its state in a small table instead of the state store.
+
+    One key may hold most of the hits: each micro-batch runs the parallel batch
+    form and writes the last firing time per key for the next one.  A retried
+    batch starts from the same state and overwrites its own output.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{state_path}/batch_id={batch_id - 1}") if batch_id > 0 else None
+        hits = batch.withColumn("__cool", F.lit(int(cooldown_seconds)))
+        write_batch(alerting.cooldown(hits, keys, ts, id_column, "__cool", last_fired=before).drop("__cool"), path, batch_id)
+        fired = spark.read.parquet(f"{path}/batch_id={batch_id}").select(*keys, ts)
+        known = fired if before is None else fired.unionByName(before)
+        write_batch(known.groupBy(*keys).agg(F.max(quoted(ts)).alias(ts)), state_path, batch_id)
+
+    return run
+
+
 def features_per_batch(path: str, build: Callable[[DataFrame], DataFrame]) -> BatchFunction:
     """A feature function over every micro-batch."""
 
