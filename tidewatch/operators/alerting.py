@@ -96,15 +96,22 @@ def cooldown(
     seconds = quoted(cooldown_seconds) if isinstance(cooldown_seconds, str) else cooldown_seconds
     work = hits.withColumn("__t", micros(quoted(ts))).withColumn("__c", seconds.cast("bigint") * 1_000_000)
     at_once = work.filter("__c <= 0").drop("__t", "__c")
-    times = (
-        work.filter("__c > 0").groupBy(*keys, "__c", "__t").agg(F.min(quoted(tiebreak)).alias("__id"))
-        .withColumn("__b", F.expr(f"CAST(floor(__t / (__c * {span}D)) AS BIGINT)"))
-    )
+    times = work.filter("__c > 0").groupBy(*keys, "__c", "__t").agg(F.min(quoted(tiebreak)).alias("__id"))
+    if last_fired is None:
+        times = times.withColumn("__o", F.lit(0).cast("bigint"))
+    else:
+        # stretches start where the silence of the earlier run ends
+        known = last_fired.select(*keys, micros(quoted(ts)).alias("__last"))
+        times = join_on(times, known, keys, "left").withColumn("__o", F.coalesce(F.expr("__last + __c"), F.lit(0)))
+        times = times.filter("__last IS NULL OR __t >= __o").drop("__last")
+    stretch = f"(__c * {span}L)"
+    times = times.withColumn("__b", F.expr(f"(__t - __o - pmod(__t - __o, {stretch})) div {stretch}"))
     types = {f.name: f.dataType.simpleString() for f in times.schema.fields}
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
 
     def outline(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        t, c, b = np.sort(part["__t"].to_numpy()), int(part["__c"].iloc[0]), int(part["__b"].iloc[0])
+        t = np.sort(part["__t"].to_numpy())
+        c, b, origin = (int(part[x].iloc[0]) for x in ("__c", "__b", "__o"))
         step = np.minimum(np.searchsorted(t, t + c), len(t))
         last = np.arange(len(t) + 1)
         jump = np.append(np.where(step < len(t), step, np.arange(len(t))), len(t))
@@ -114,7 +121,7 @@ def cooldown(
                 break
             jump = further
         last = jump[: len(t)]
-        start = b * c * span
+        start = origin + b * c * span
         entries = min(len(t), int(np.searchsorted(t, start + c)) + 1)
         exits = t[last[:entries]]
         ends = np.append(np.flatnonzero(exits[1:] != exits[:-1]), entries - 1)
@@ -126,15 +133,6 @@ def cooldown(
     outlines = times.groupBy(*keys, "__b").applyInPandas(
         outline, f"{', '.join(f'`{k}` {types[k]}' for k in reversed(keys))}, __c bigint, __b bigint, __until bigint, __exit bigint"
     )
-    if last_fired is not None:
-        # an earlier firing acts like a stretch before all others
-        earlier = join_on(
-            times.select(*keys, "__c").distinct(), last_fired.select(*keys, micros(quoted(ts)).alias("__exit")), keys
-        )
-        first = F.lit(int(np.iinfo(np.int64).min))
-        outlines = outlines.unionByName(earlier.select(
-            *keys, "__c", first.alias("__b"), F.lit(int(np.iinfo(np.int64).max)).alias("__until"), "__exit"
-        ))
     chained = outlines.repartition(*keys).sortWithinPartitions(*keys, "__b", "__until")
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

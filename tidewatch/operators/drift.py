@@ -130,10 +130,12 @@ def distribution(
     diffs = {"mean_diff": change("mean") / base, "std_diff": change("std") / base, "skew_diff": change("skew"), "kurt_diff": change("kurtosis")}
     out = s.select("*", *[d.alias(k) for k, d in diffs.items()])
     enough = (F.col("current_n") >= min_samples) & (F.col("baseline_n") >= min_samples)
-    score = F.when(enough, F.least(sum([F.col(k) for k in diffs], F.lit(0.0)) / 4, F.lit(1.0))).otherwise(0.0)
+    # a constant sample has no skewness: the score is NULL then, and nothing is detected
+    mean_diff = sum([F.col(k) for k in diffs], F.lit(0.0)) / 4
+    score = F.when(enough, F.when(mean_diff > 1, 1.0).otherwise(mean_diff)).otherwise(0.0)
     return out.select(
         *keys,
-        (enough & (score > threshold)).alias("drift_detected"),
+        F.coalesce(enough & (score > threshold), F.lit(False)).alias("drift_detected"),
         score.alias("drift_score"),
         F.when(enough, F.least(F.col("current_n") / F.col("baseline_n"), F.lit(1.0))).otherwise(0.0).alias("confidence"),
         F.lit("distribution").alias("method"),
