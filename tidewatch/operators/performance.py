@@ -18,9 +18,12 @@ SCORES = ("accuracy", "precision", "recall", "f1_score", "auc_score", "latency_m
 HIGHER_IS_WORSE = ("latency_ms",)
 
 
-def confusion(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Confusion cells ``(keys, y_true, y_pred, n)``; everything after this is small."""
-    return pred.groupBy(*keys, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+def confusion(pred: DataFrame, keys: Sequence[str], score: str = "y_pred") -> DataFrame:
+    """Confusion cells ``(keys, y_true, y_pred, n)``, combined before the shuffle.
+
+    Classification scores and AUC both start from them, so Spark reuses the exchange.
+    """
+    return pred.groupBy(*keys, "y_true", quoted(score)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def classification(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -51,14 +54,13 @@ def classification(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def auc(pred: DataFrame, keys: Sequence[str], score: str = "y_pred") -> DataFrame:
     """Tie-aware ROC AUC with ``score`` as the score; 0 unless there are exactly two true classes."""
-    classes = pred.groupBy(*keys).agg(
-        F.max("y_true").alias("__pos"), F.count_distinct("y_true").alias("__classes")
-    )
-    marked = attach(pred.select(*[quoted(k) for k in keys], "y_true", number(quoted(score)).alias("__x")), classes, keys)
+    cells = confusion(pred, keys, score)
+    classes = cells.groupBy(*keys).agg(F.max("y_true").alias("__pos"), F.count_distinct("y_true").alias("__classes"))
+    marked = attach(cells.withColumn("__x", number(quoted(score))), classes, keys).filter(F.col("__classes") == 2)
     is_pos = F.col("y_true") == F.col("__pos")
     counts = value_counts(
-        marked.filter(F.col("__classes") == 2), keys, "__x",
-        {"pos": F.when(is_pos, 1).otherwise(0), "neg": F.when(is_pos, 0).otherwise(1)},
+        marked, keys, "__x",
+        {"pos": F.when(is_pos, F.col("n")).otherwise(0), "neg": F.when(is_pos, 0).otherwise(F.col("n"))},
     )
     ranked = with_prefix(counts, keys, "__x", ["pos", "neg"])
     area = ranked.groupBy(*keys).agg(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.common import attach, merge_by_keys, number, numeric_columns, quoted, truth, union_all
 from tidewatch.functions.ordered import exact_quantiles
-from tidewatch.operators.validation import JsonField, duplicate_count, starts_with_match
+from tidewatch.operators.validation import JsonField, duplicate_count, extract_fields, starts_with_match
 
 # Patterns of the built-in formats.
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
@@ -77,7 +77,8 @@ def type_matches(field: JsonField, expected: str) -> Column:
 
 def schema_violations(df: DataFrame, payload: str, schema: Mapping[str, Mapping]) -> DataFrame:
     """One row per violation: ``(input columns, field, issue, expected_type, actual_value)``."""
-    parsed = df.withColumn("__v", F.try_parse_json(quoted(payload)))
+    whole = df.withColumn("__v", F.try_parse_json(quoted(payload)))
+    parsed, ready = extract_fields(whole, "__v", [[name] for name in schema])
     none = F.lit(None).cast("string")
 
     def item(field: Column, issue: str, expected: Column = none, actual: Column = none) -> Column:
@@ -91,7 +92,7 @@ def schema_violations(df: DataFrame, payload: str, schema: Mapping[str, Mapping]
     unexpected = F.transform(F.array_except(keys, known), lambda k: item(k, "unexpected_field"))
     checks: list[Column] = []
     for name, spec in schema.items():
-        f = JsonField("__v", [name])
+        f = JsonField("__v", [name], ready)
         if spec.get("required", False):
             checks.append(F.when(f.missing(), item(F.lit(name), "missing_required_field")))
         if "type" in spec:
@@ -99,7 +100,7 @@ def schema_violations(df: DataFrame, payload: str, schema: Mapping[str, Mapping]
             shown = F.when(f.is_null, F.lit("None")).otherwise(f.text)
             checks.append(F.when(wrong, item(F.lit(name), "type_mismatch", F.lit(spec["type"]), shown)))
     found = F.concat(unexpected, F.array_compact(F.array(*checks))) if checks else unexpected
-    return parsed.withColumn("__x", F.explode(found)).drop("__v").select("*", "__x.*").drop("__x")
+    return parsed.select(*[quoted(c) for c in df.columns], F.inline(found))
 
 
 def expand_rules(df: DataFrame, rules: Sequence[Mapping]) -> list[dict]:

@@ -17,21 +17,13 @@ def words(text: str) -> Column:
 
 
 def vocabulary(df: DataFrame, text: str, max_terms: int = 100) -> DataFrame:
-    """The ``max_terms`` most frequent terms: ``(term, total, docs)``.
+    """The ``max_terms`` most frequent terms: ``(term, total)``.
 
-    Occurrences and documents are counted per term inside each task before the
-    shuffle, so even a term that is in every document travels as one row per task.
+    Occurrences are counted inside each task before the shuffle, so even a term
+    that is in every document travels as one row per task.
     """
-    found = df.select(words(text).alias("w"))
-    all_words = found.select(F.explode("w").alias("term"), F.lit(1).alias("total"), F.lit(0).alias("docs"))
-    once = found.select(F.explode(F.array_distinct("w")).alias("term"), F.lit(0).alias("total"), F.lit(1).alias("docs"))
-    return (
-        all_words.union(once)
-        .groupBy("term")
-        .agg(F.sum("total").alias("total"), F.sum("docs").alias("docs"))
-        .orderBy(F.desc("total"), "term")
-        .limit(max_terms)
-    )
+    found = df.select(F.explode(words(text)).alias("term"))
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("total")).orderBy(F.desc("total"), "term").limit(max_terms)
 
 
 def tfidf(df: DataFrame, doc_id: str, text: str, max_terms: int = 100) -> DataFrame:
@@ -41,11 +33,12 @@ def tfidf(df: DataFrame, doc_id: str, text: str, max_terms: int = 100) -> DataFr
     per document.  The vocabulary (at most ``max_terms`` rows) is the only
     thing that is broadcast, and only its terms reach the per-document shuffle.
     """
-    kept = F.broadcast(vocabulary(df, text, max_terms).select("term", "docs"))
+    kept = F.broadcast(vocabulary(df, text, max_terms).select("term"))
     occurrences = df.select(quoted(doc_id).alias(doc_id), F.explode(words(text)).alias("term")).join(kept, "term")
-    counted = occurrences.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("docs").alias("docs"))
+    counted = occurrences.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
+    in_docs = F.broadcast(counted.groupBy("term").agg(F.count(F.lit(1)).alias("docs")))  # at most max_terms rows
     size = df.filter(quoted(text).isNotNull()).agg(F.count(F.lit(1)).alias("__docs"))
-    weighted = attach(counted, size, []).withColumn(
+    weighted = attach(counted.join(in_docs, "term"), size, []).withColumn(
         "raw", F.col("tf") * (F.ln((F.col("__docs") + 1) / (F.col("docs") + 1)) + 1)
     )
     by_doc = Window.partitionBy(doc_id)  # at most max_terms rows each

@@ -47,17 +47,19 @@ def starts_with_match(text: Column, pattern: str) -> Column:
 
 
 class JsonField:
-    """One field of a VARIANT column: a present null differs from an absent key."""
+    """One field of a VARIANT column: a present null differs from an absent key.
 
-    def __init__(self, variant: str, path: Sequence[str]):
-        steps = "".join("[" + '"' + p.replace('"', '\\"') + '"' + "]" for p in path)
-        where = sql_text("$" + steps)
-        self.get = F.expr(f"try_variant_get(`{variant}`, {where}, 'variant')")
+    ``ready`` gives columns already extracted by :func:`extract_fields`.
+    """
+
+    def __init__(self, variant: str, path: Sequence[str], ready: Mapping[tuple, Sequence[str]] | None = None):
+        columns = (ready or {}).get(tuple(path))
+        if columns:
+            self.get, self.kind, self.text, double = (F.col(c) for c in columns)
+        else:
+            self.get, self.kind, self.text, double = _json_parts(f"try_variant_get(`{variant}`, {_json_path(path)}, 'variant')")
         self.exists = self.get.isNotNull()
-        self.kind = F.schema_of_variant(self.get)
-        self.is_null = truth(F.expr(f"is_variant_null(try_variant_get(`{variant}`, {where}, 'variant'))"))
-        self.text = F.expr(f"try_variant_get(`{variant}`, {where}, 'string')")
-        double = F.expr(f"try_variant_get(`{variant}`, {where}, 'double')")
+        self.is_null = truth(self.kind == "VOID")
         self.is_bool = self.kind == "BOOLEAN"
         self.is_integer = (self.kind == "BIGINT") | self.kind.rlike(r"^DECIMAL\(\d+,0\)$")
         self.is_number = self.kind.isin("BIGINT", "DOUBLE", "FLOAT") | self.kind.startswith("DECIMAL")
@@ -73,6 +75,40 @@ class JsonField:
         return self.exists & ~self.is_null
 
 
+def _json_path(path: Sequence[str]) -> str:
+    return sql_text("$" + "".join('["' + p.replace('"', '\\"') + '"]' for p in path))
+
+
+def _json_parts(get: str) -> tuple[Column, Column, Column, Column]:
+    """The field itself, its type name, its text, its number."""
+    return (
+        F.expr(get), F.expr(f"schema_of_variant({get})"), F.expr(f"try_variant_get({get}, '$', 'string')"),
+        F.expr(f"try_variant_get({get}, '$', 'double')"),
+    )
+
+
+def extract_fields(df: DataFrame, variant: str, paths: Sequence[Sequence[str]]) -> tuple[DataFrame, dict[tuple, list[str]]]:
+    """Pull every field out of the VARIANT column once; the checks then read plain columns."""
+    wanted = list(dict.fromkeys(tuple(p) for p in paths))
+    pulled = df.select("*", *[
+        F.expr(f"try_variant_get(`{variant}`, {_json_path(p)}, 'variant')").alias(f"__g{i}") for i, p in enumerate(wanted)
+    ])
+    parts, ready = [], {}
+    for i, p in enumerate(wanted):
+        _, kind, text, double = _json_parts(f"__g{i}")
+        parts += [kind.alias(f"__k{i}"), text.alias(f"__t{i}"), double.alias(f"__d{i}")]
+        ready[p] = [f"__{x}{i}" for x in "gktd"]
+    return pulled.select("*", *parts), ready
+
+
+def schema_paths(schema: Mapping, path: Sequence[str] = ()) -> list[tuple]:
+    """Paths of all fields a JSON schema looks at."""
+    out = [tuple(path)] + [(*path, n) for n in schema.get("required", ())]
+    for name, sub in schema.get("properties", {}).items():
+        out += schema_paths(sub, (*path, name))
+    return out
+
+
 class TypedField:
     """One column of a typed frame: an absent key and null are both NULL."""
 
@@ -174,7 +210,9 @@ def anomaly_errors(field, name: str, limits: Mapping) -> list[Column]:
     return out
 
 
-def schema_error(variant: str, schema: Mapping, path: Sequence[str] = ()) -> Column:
+def schema_error(
+    variant: str, schema: Mapping, path: Sequence[str] = (), ready: Mapping[tuple, Sequence[str]] | None = None
+) -> Column:
     """At most one JSON-schema error per record: missing keys first, then properties in order.
 
     Supported: type, properties, required, minimum, maximum, minLength,
@@ -182,7 +220,7 @@ def schema_error(variant: str, schema: Mapping, path: Sequence[str] = ()) -> Col
     """
     shown_errors: list[Column] = []
     nested: list[Column] = []
-    own = JsonField(variant, path)
+    own = JsonField(variant, path, ready)
     shown = F.when(own.is_string, F.concat(F.lit("'"), own.text, F.lit("'"))).when(own.is_null, "None").otherwise(
         own.text
     )
@@ -202,10 +240,10 @@ def schema_error(variant: str, schema: Mapping, path: Sequence[str] = ()) -> Col
                 shown_errors.append(F.when(bad, F.concat(shown, F.lit(f" is not of type '{value}'"))))
         elif word == "required":
             for name in value:
-                gap = own.is_object & JsonField(variant, [*path, name]).missing()
+                gap = own.is_object & JsonField(variant, [*path, name], ready).missing()
                 shown_errors.append(F.when(truth(gap), F.lit(f"'{name}' is a required property")))
         elif word == "properties":
-            nested = [schema_error(variant, sub, [*path, name]) for name, sub in value.items()]
+            nested = [schema_error(variant, sub, [*path, name], ready) for name, sub in value.items()]
         elif word in ("minimum", "maximum"):
             bad = own.is_number & (own.value < float(value) if word == "minimum" else own.value > float(value))
             text = f" is less than the minimum of {value}" if word == "minimum" else (
@@ -238,26 +276,31 @@ def validate(
     With ``payload`` the record is a raw JSON text column, else the typed
     columns are checked (a schema needs ``payload``).
     """
-    work = df.withColumn("__v", F.try_parse_json(quoted(payload))) if payload else df
+    if schema is not None and payload is None:
+        raise ValueError("a JSON schema needs the raw payload column")
+    ready: dict[tuple, list[str]] = {}
+    work = df
+    if payload:
+        paths = (schema_paths(schema) if schema is not None else []) + [(r["field"],) for r in rules]
+        paths += [(name,) for name in limits or {}]
+        work, ready = extract_fields(df.withColumn("__v", F.try_parse_json(quoted(payload))), "__v", paths)
     known: dict[str, object] = {}
 
     def field(name: str):
         if name not in known:
-            known[name] = JsonField("__v", [name]) if payload else TypedField(df, name)
+            known[name] = JsonField("__v", [name], ready) if payload else TypedField(df, name)
         return known[name]
 
     checks: list[Column] = []
     if schema is not None:
-        if payload is None:
-            raise ValueError("a JSON schema needs the raw payload column")
         unreadable = F.when(F.col("__v").isNull(), F.lit("record is not JSON"))
-        checks.append(F.concat(F.lit(MESSAGES["schema"]), F.coalesce(unreadable, schema_error("__v", schema))))
+        checks.append(F.concat(F.lit(MESSAGES["schema"]), F.coalesce(unreadable, schema_error("__v", schema, (), ready))))
     checks += [rule_error(field(r["field"]), r) for r in rules]
     for name, limit in (limits or {}).items():
         checks += anomaly_errors(field(name), name, limit)
     errors = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
-    checked = work.withColumn("errors", errors)
-    return checked.withColumn("is_valid", F.size("errors") == 0).drop("__v")
+    checked = work.select(*[quoted(c) for c in df.columns], errors.alias("errors"))
+    return checked.withColumn("is_valid", F.size("errors") == 0)
 
 
 def totals(checked: DataFrame) -> DataFrame:
