@@ -77,8 +77,11 @@ def series():
     })
 
 
-def test_order_index(spark, series):
-    got = O.with_order_index(spark.createDataFrame(series), ["k"], "t", ["id"], total="n").toPandas()
+@pytest.mark.parametrize("hot_rows", [1, 5, 1 << 22])
+@pytest.mark.parametrize("one_time", [False, True])
+def test_order_index(spark, series, hot_rows, one_time):
+    frame = series.assign(t=series["t"].iloc[0]) if one_time else series
+    got = O.with_order_index(spark.createDataFrame(frame), ["k"], "t", ["id"], "n", hot_rows).toPandas()
     for k, part in got.groupby("k"):
         part = part.sort_values(["t", "id"])
         assert list(part["__idx"]) == list(range(len(part)))

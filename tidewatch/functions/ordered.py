@@ -14,11 +14,13 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.common import attach, join_on, merge_by_keys, micros, number, quoted, union_all
+from tidewatch.functions.common import NUMERIC, attach, join_on, merge_by_keys, micros, number, quoted, union_all
 
 # Slices per key: few enough for one running total, many enough that a slice of
 # a key with 10^11 distinct values is still an easy sort.
 SLICES = 1 << 16
+SUB_SLICES = 1 << 10
+HOT_ROWS = 1 << 22
 BLOCK_ROWS = 1 << 16
 
 
@@ -147,18 +149,24 @@ def most_common(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, str]) -
 
 
 def with_order_index(
-    df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str] = (), total: str | None = None
+    df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str] = (), total: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``__idx``: 0-based position of each row within its key, ordered by ``ts, tiebreak``.
 
     ``ts`` is a timestamp or a number.  Rows are ranked inside time slices of
-    the key; the slice offsets come from one running total over at most
-    ``SLICES`` rows per key.  ``total`` names an extra column with the row
-    count of the key.
+    the key; the slice offsets come from one running total over the bounded
+    list of slices.  A slice with more than ``hot_rows`` rows is cut again:
+    over its own time range, or, when all its rows have one and the same time,
+    over the range of the first tiebreak if that is a number.  ``total`` names
+    an extra column with the row count of the key.
     """
     kind = df.schema[ts].dataType.typeName()
     position = micros(quoted(ts)) if kind.startswith("timestamp") or kind == "date" else quoted(ts).cast("double")
-    placed = df.withColumn("__pos", position)
+    numeric_tie = bool(tiebreak) and isinstance(df.schema[tiebreak[0]].dataType, NUMERIC)
+    placed = df.withColumn("__pos", position).withColumn(
+        "__tie", quoted(tiebreak[0]).cast("double") if numeric_tie else F.lit(None).cast("double")
+    )
     limits = placed.groupBy(*keys).agg(
         F.min("__pos").alias("__lo"), F.max("__pos").alias("__hi"), *([F.count(F.lit(1)).alias(total)] if total else [])
     )
@@ -168,18 +176,31 @@ def with_order_index(
             "CASE WHEN __pos IS NULL THEN -1L WHEN __hi > __lo THEN"
             f" CAST(floor((__pos - __lo) / CAST(__hi - __lo AS DOUBLE) * {SLICES}D) AS BIGINT) ELSE 0L END"
         ),
-    )
-    sliced = sliced.drop("__lo", "__hi")
-    sizes = sliced.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    order = Window.partitionBy(*keys).orderBy("__slice")
+    ).drop("__lo", "__hi")
+    hot = sliced.groupBy(*keys, "__slice").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__lo"), F.max("__pos").alias("__hi"),
+        F.min("__tie").alias("__tlo"), F.max("__tie").alias("__thi"),
+    ).filter(F.col("__n") > hot_rows).drop("__n")
+    # usually there is no hot slice: AQE then drops this join at run time
+    cut = join_on(sliced, hot, [*keys, "__slice"], "left").withColumn(
+        "__sub",
+        F.expr(
+            f"CASE WHEN __hi > __lo THEN CAST(floor((__pos - __lo) / CAST(__hi - __lo AS DOUBLE) * {SUB_SLICES}D) AS BIGINT)"
+            f" WHEN __thi > __tlo THEN CAST(floor((__tie - __tlo) / (__thi - __tlo) * {SUB_SLICES}D) AS BIGINT) ELSE 0L END"
+        ),
+    ).drop("__lo", "__hi", "__tlo", "__thi")
+    cut = cut.withColumn("__sub", F.coalesce("__sub", F.lit(-1)))
+    sizes = cut.groupBy(*keys, "__slice", "__sub").agg(F.count(F.lit(1)).alias("__n"))
+    order = Window.partitionBy(*keys).orderBy("__slice", "__sub")
     offsets = sizes.select(
         *[quoted(k) for k in keys],
         "__slice",
+        "__sub",
         F.lit(0).alias("__row"),
         (F.sum("__n").over(order) - F.col("__n")).alias("__off"),
     )
-    marked = union_all([sliced.withColumn("__row", F.lit(1)), offsets])
-    inner = Window.partitionBy(*keys, "__slice").orderBy("__row", "__pos", *[quoted(t) for t in tiebreak])
+    marked = union_all([cut.withColumn("__row", F.lit(1)), offsets])
+    inner = Window.partitionBy(*keys, "__slice", "__sub").orderBy("__row", "__pos", *[quoted(t) for t in tiebreak])
     return marked.select(
         *[quoted(c) for c in df.columns],
         "__row",

@@ -9,7 +9,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,13 +80,15 @@ def breaches(metrics: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
 
 def cooldown(
     hits: DataFrame, keys: Sequence[str] = ("rule_id",), ts: str = "ts", tiebreak: str = "event_id",
-    cooldown_seconds: str | Column = "cooldown_seconds", span: int = 64, last_fired: DataFrame | None = None,
+    cooldown_seconds: str | Column = "cooldown_seconds", stretch_rows: int = 1 << 20, last_fired: DataFrame | None = None,
 ) -> DataFrame:
     """Keep the hits that fire: after one fires, its key is silent for the cooldown.
 
     Which hit fires depends on the one before, so a plain window cannot tell.
-    Time is cut into stretches of ``span`` cooldowns per key and handled in
-    three steps: (1) every stretch tells, for each moment it may be entered,
+    Time is cut into cells of one cooldown, and neighbouring cells of a key are
+    put together to stretches of about ``stretch_rows`` distinct times, so
+    dense spells give short stretches.  Three steps follow: (1) every stretch
+    tells, for each moment it may be entered (they all lie in its first cell),
     when its last alert is; (2) these short tables are chained per key;
     (3) every stretch is replayed from its true entry moment.  Steps 1 and 3
     run in parallel over all stretches, so one hot rule is spread as well.
@@ -104,24 +106,28 @@ def cooldown(
         known = last_fired.select(*keys, micros(quoted(ts)).alias("__last"))
         times = join_on(times, known, keys, "left").withColumn("__o", F.coalesce(F.expr("__last + __c"), F.lit(0)))
         times = times.filter("__last IS NULL OR __t >= __o").drop("__last")
-    stretch = f"(__c * {span}L)"
-    times = times.withColumn("__b", F.expr(f"(__t - __o - pmod(__t - __o, {stretch})) div {stretch}"))
+    times = times.withColumn("__cell", F.expr("(__t - __o - pmod(__t - __o, __c)) div __c"))
+    cells = times.groupBy(*keys, "__c", "__o", "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    along = Window.partitionBy(*keys, "__c", "__o").orderBy("__cell")
+    cells = cells.withColumn("__b", F.floor((F.sum("__n").over(along) - F.col("__n")) / F.lit(stretch_rows)).cast("bigint"))
+    first_cell = F.min("__cell").over(Window.partitionBy(*keys, "__c", "__o", "__b"))
+    cells = cells.withColumn("__start", F.col("__o") + first_cell * F.col("__c")).drop("__n")
+    times = join_on(times, cells, [*keys, "__c", "__o", "__cell"]).drop("__cell", "__o")
     types = {f.name: f.dataType.simpleString() for f in times.schema.fields}
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
 
     def outline(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(part["__t"].to_numpy())
-        c, b, origin = (int(part[x].iloc[0]) for x in ("__c", "__b", "__o"))
+        c, b, start = (int(part[x].iloc[0]) for x in ("__c", "__b", "__start"))
         step = np.minimum(np.searchsorted(t, t + c), len(t))
         last = np.arange(len(t) + 1)
         jump = np.append(np.where(step < len(t), step, np.arange(len(t))), len(t))
-        while True:  # pointer doubling: at most log2(span) + 1 rounds
+        while True:  # pointer doubling: log2 of the alerts in the stretch
             further = jump[jump]
             if np.array_equal(further, jump):
                 break
             jump = further
         last = jump[: len(t)]
-        start = origin + b * c * span
         entries = min(len(t), int(np.searchsorted(t, start + c)) + 1)
         exits = t[last[:entries]]
         ends = np.append(np.flatnonzero(exits[1:] != exits[:-1]), entries - 1)

@@ -68,7 +68,7 @@ def alert_cooldown(t):
 )
 def alert_cooldown_per_user(t):
     hits = t.events.filter("value > 30").select("user_id", "ts", "event_id", F.lit(12 * 3600).alias("cooldown_seconds"))
-    return A.cooldown(hits, keys=["user_id"], span=16).select("user_id", "event_id")
+    return A.cooldown(hits, keys=["user_id"]).select("user_id", "event_id")
 
 
 ALERTS_SQL = f"""{FIRED_SQL}, alerts AS (SELECT rule_id || '_' || strftime(ts, '%Y%m%d_%H%M%S') AS alert_id, rule_id, 'Alert: ' || name AS title,
