@@ -262,3 +262,48 @@ def summary(results: DataFrame, registry: DataFrame) -> DataFrame:
         rows(types, "feature_types", F.col("feature_type"), F.col("n")),
         rows(detail, "feature_quality", F.col("feature"), F.col("avg_quality_score")),
     ])
+
+
+def engineer(df: DataFrame, config: Mapping) -> DataFrame:
+    """One configured feature as column ``feature_name``.
+
+    ``config``: ``{feature_name, feature_type, source_fields, transformation,
+    parameters}`` with type numeric, categorical, text, datetime or derived.
+    Rows without a usable value are dropped, except for derived features.
+    """
+    name, kind = config["feature_name"], config["feature_type"]
+    fields, how, params = config["source_fields"], config.get("transformation", "none"), config.get("parameters", {})
+    if kind == "derived":
+        if how == "custom" and params.get("function"):
+            return df.transform(params["function"])
+        make = {"concat": derive_concat, "sum": derive_sum}.get(params.get("operation", "concat"))
+        return df.withColumn(name, make(fields)) if make else df
+    if kind == "numeric":
+        rows = numeric_feature(df, fields, name)
+        if how == "scale" and params.get("scaler_type", "standard") in ("standard", "minmax"):
+            return scale(rows, name, params.get("scaler_type", "standard"), name)
+        if how == "aggregate":
+            rolled = windows.trailing(
+                rows, name, params["order_by"], params.get("agg_type", "mean"), params.get("window_size", 10),
+                params.get("keys", ()), params.get("tiebreak", ()), output="__rolled",
+            )
+            return rolled.withColumn(name, F.col("__rolled")).drop("__rolled")
+        return rows
+    first = F.coalesce(*[quoted(f) for f in fields])
+    if kind == "datetime":
+        rows = df.withColumn("__t", first)
+        if how == "extract":
+            return datetime_feature(rows, "__t", params.get("extraction_type", "timestamp"), name).drop("__t")
+        t = parsed_time(F.col("__t")) if dict(rows.dtypes)["__t"] == "string" else F.col("__t").cast("timestamp")
+        return rows.withColumn(name, t).filter(quoted(name).isNotNull()).drop("__t")
+    rows = df.withColumn(name, first.cast("string")).filter(quoted(name).isNotNull())
+    if kind == "categorical" and how == "encode":
+        return label_encode(rows, name, "__code").withColumn(name, F.col("__code")).drop("__code")
+    if kind == "text" and how == "extract":
+        if params.get("extraction_type", "tfidf") == "tfidf":
+            from tidewatch.operators.text import first_term_weight
+
+            weights = first_term_weight(rows, params["doc_id"], name, params.get("max_terms", 100))
+            return rows.drop(name).join(weights.withColumnRenamed("feature", name), params["doc_id"])
+        return rows.withColumn(name, F.length(quoted(name)))
+    return rows

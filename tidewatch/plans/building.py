@@ -316,3 +316,23 @@ def feat_summary(t):
         (F.col("feature") != "error").alias("enabled"),
     )
     return tidy(X.summary(results, registry))
+
+
+@query(
+    "feat_configured",
+    """WITH s AS (SELECT avg(p_retailprice) AS a, stddev_pop(p_retailprice) AS sd FROM part),
+    c AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT p_type AS v FROM part))
+    SELECT p_partkey, round((p_retailprice - a) / sd, 6) + 0.0 AS price, code AS kind, length(p_name) AS name_length,
+      p_brand || '_' || p_size AS brand_size FROM part, s JOIN c ON v = p_type""",
+)
+def feat_configured(t):
+    df = t.part
+    for config in (
+        {"feature_name": "price", "feature_type": "numeric", "source_fields": ["p_retailprice"], "transformation": "scale"},
+        {"feature_name": "kind", "feature_type": "categorical", "source_fields": ["p_type"], "transformation": "encode"},
+        {"feature_name": "name_length", "feature_type": "text", "source_fields": ["p_name"], "transformation": "extract",
+         "parameters": {"extraction_type": "length"}},
+        {"feature_name": "brand_size", "feature_type": "derived", "source_fields": ["p_brand", "p_size"]},
+    ):
+        df = X.engineer(df, config)
+    return tidy(df.select("p_partkey", "price", "kind", "name_length", "brand_size"))

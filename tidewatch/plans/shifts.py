@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.common import same_type_literal
 from tidewatch.operators import drift as D
 from tidewatch.operators import iforest
+from tidewatch.operators.monitoring import process_dataset
 from tidewatch.plans.registry import query, tidy
 
 SPLIT = "2024-01-15"
@@ -177,3 +178,30 @@ def drift_summary(t):
         F.col("event_type").alias("feature"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("ts")
     ).agg((F.avg("value") > 50).alias("drift_detected"))
     return tidy(D.summary(daily))
+
+
+@query(
+    "dataset_drift_quality_features",
+    f"""WITH b AS (SELECT count(*) AS n, avg(value) AS m, stddev_pop(value) AS s FROM events WHERE ts < TIMESTAMP '{SPLIT}'),
+    c AS (SELECT count(*) AS n, avg(value) AS m, stddev_pop(value) AS s FROM events WHERE ts >= TIMESTAMP '{SPLIT}'),
+    q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
+    SELECT 'drift' AS stage, 'value' AS item, round(abs(c.m - b.m) / (b.s + 1e-8), 6) AS result FROM b, c
+    UNION ALL SELECT 'quality', 'r1', round(1 - count(*) FILTER (value > 200) * 1.0 / count(*), 6) FROM events
+    UNION ALL SELECT 'features', 'amount', round(1 - count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) * 1.0 / count(*), 6) FROM events, q""",
+)
+def dataset_drift_quality_features(t):
+    e = t.events
+    done = process_dataset(e, {
+        "drift": {"columns": ["value"], "is_baseline": F.col("ts") < same_type_literal(e, "ts", SPLIT), "method": "distribution"},
+        "rules": [{"rule_id": "r1", "rule_type": "range", "field_name": "value", "parameters": {"max_value": 200}}],
+        "features": [{"feature_name": "amount", "feature_type": "numeric", "source_fields": ["value"]}],
+    })
+
+    def rows(df, stage, item, result):
+        return df.select(F.lit(stage).alias("stage"), F.col(item).alias("item"), F.col(result).alias("result"))
+
+    return tidy(
+        rows(done.drift, "drift", "feature", "mean_diff")
+        .unionByName(rows(done.quality, "quality", "rule_id", "score"))
+        .unionByName(rows(done.features, "features", "feature", "quality_score"))
+    )
