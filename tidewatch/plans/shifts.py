@@ -72,12 +72,12 @@ def statistical_sql(sides: str) -> str:
     return f"""WITH {sides}, {RANK_SQL}, {PVALUE_SQL},
     a AS (SELECT ts.*, CASE WHEN lam < 0.2 THEN 1.0 ELSE ks_series END AS ks_p, mw_p, t_p
           FROM ts JOIN pv USING (feature) JOIN nt USING (feature)),
-    b AS (SELECT *, (ks_p + mw_p + t_p) / 3 AS mp FROM a)
-    SELECT feature, 1 - mp > 0.05 AS drift_detected, round(1 - mp, 5) AS drift_score,
-      round(1 - sqrt(((ks_p - mp) ** 2 + (mw_p - mp) ** 2 + (t_p - mp) ** 2) / 3), 5) AS confidence,
+    b AS (SELECT *, (ks_p + mw_p + t_p) / 3 AS mp, n1 >= 100 AND n2 >= 100 AS enough FROM a)
+    SELECT feature, enough AND 1 - mp > 0.05 AS drift_detected, CASE WHEN enough THEN round(1 - mp, 5) ELSE 0 END AS drift_score,
+      CASE WHEN enough THEN round(1 - sqrt(((ks_p - mp) ** 2 + (mw_p - mp) ** 2 + (t_p - mp) ** 2) / 3), 5) ELSE 0 END AS confidence,
       'statistical' AS method, n1::BIGINT AS n_baseline, n2::BIGINT AS n_current, round(ks, 5) AS ks_statistic,
       round(ks_p, 5) AS ks_pvalue, round(u, 5) AS mw_statistic, round(mw_p, 5) AS mw_pvalue,
-      round(t, 5) AS t_statistic, round(t_p, 5) AS t_pvalue, least(ks_p, mw_p, t_p) < 0.05 AS p_flag FROM b"""
+      round(t, 5) AS t_statistic, round(t_p, 5) AS t_pvalue, enough AND least(ks_p, mw_p, t_p) < 0.05 AS p_flag FROM b"""
 
 
 @query("drift_statistical_events", statistical_sql(EVENT_SIDES))
