@@ -22,6 +22,8 @@ SLICES = 1 << 16
 SUB_SLICES = 1 << 10
 HOT_ROWS = 1 << 22
 BLOCK_ROWS = 1 << 16
+# Default of spark.sql.optimizer.windowGroupLimitThreshold.
+GROUP_LIMIT = 1000
 
 
 def _slice_of(value: str) -> Column:
@@ -209,6 +211,21 @@ def with_order_index(
     ).filter("__row = 1").drop("__row")
 
 
+def newest_rows(df: DataFrame, keys: Sequence[str], ts: str, limit: int, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Newest ``limit`` rows per key.
+
+    A small limit is applied inside each task before the shuffle (Spark's
+    window group limit); a larger one uses the order index, so that no task
+    sorts a whole key.
+    """
+    if limit <= GROUP_LIMIT:
+        order = [F.desc(quoted(ts)), *[F.desc(quoted(t)) for t in tiebreak]]
+        ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return ranked.filter(F.col("__rn") <= limit).drop("__rn")
+    indexed = with_order_index(df, keys, ts, tiebreak, total="__total")
+    return indexed.filter(F.col("__idx") >= F.col("__total") - limit).drop("__idx", "__total")
+
+
 def framed_window(
     df: DataFrame,
     keys: Sequence[str],
@@ -271,6 +288,7 @@ __all__ = [
     "exact_quantiles",
     "framed_window",
     "most_common",
+    "newest_rows",
     "union_all",
     "value_counts",
     "with_order_index",

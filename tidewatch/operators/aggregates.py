@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.common import merge_by_keys, number, numeric_columns, parse_window, quoted, union_all
-from tidewatch.functions.ordered import exact_quantiles, most_common
+from tidewatch.functions.ordered import exact_quantiles, most_common, newest_rows
 
 ORDERED = ("median", "quantile")
 
@@ -198,12 +198,10 @@ def last_rows_aggregate(
     fewer than ``size`` rows give no row.  The row limit is applied inside each
     task before the shuffle.
     """
-    order = [F.desc(quoted(ts)), *[F.desc(quoted(t)) for t in tiebreak]]
     if keys:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        recent = df.withColumn("__rn", rank).filter(F.col("__rn") <= size)
+        recent = newest_rows(df, keys, ts, size, tiebreak)
     else:
-        recent = df.orderBy(*order).limit(size)
+        recent = df.orderBy(F.desc(quoted(ts)), *[F.desc(quoted(t)) for t in tiebreak]).limit(size)
     aggs = [F.count(F.lit(1)).alias("__n")]
     for out, (kind, column) in wanted.items():
         if kind == "count":

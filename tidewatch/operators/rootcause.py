@@ -52,6 +52,7 @@ CALM_ADVICE = ("Continue monitoring the situation", "Review system logs for addi
 
 CAUSE_COLUMNS = ("type", "metrics", "description", "severity", "confidence")
 MAX_METRICS = 300
+PAIRS_PER_PASS = 500
 
 
 def leaves(condition: Mapping) -> Iterator[Mapping]:
@@ -138,8 +139,8 @@ def correlations(
 ) -> DataFrame:
     """Pearson correlation of all metric pairs, aligned on time: ``(metric1, metric2, n, correlation, strength)``.
 
-    One column per metric and one aggregate; the metric names are schema, so
-    their number is limited.  ``strength`` is NULL up to 0.7.
+    One column per metric, and one aggregate per few hundred pairs over the
+    same bucketed table; the metric names are schema, so their number is limited.  ``strength`` is NULL up to 0.7.
     """
     if metrics is None:
         found = series.select("metric").distinct().limit(MAX_METRICS + 1).collect()
@@ -151,25 +152,25 @@ def correlations(
         F.avg(F.when(F.col("metric") == m, number("value"))).alias(f"m{i}") for i, m in enumerate(metrics)
     ])
     pairs = list(combinations(range(len(metrics)), 2))
-    both = {(i, j): F.col(f"m{i}").isNotNull() & F.col(f"m{j}").isNotNull() for i, j in pairs}
-    row = wide.agg(
-        F.count(F.lit(1)).alias("__rows"),
-        *[F.corr(f"m{i}", f"m{j}").alias(f"c{i}_{j}") for i, j in pairs],
-        *[F.count_if(both[i, j]).alias(f"n{i}_{j}") for i, j in pairs],
-    )
-
-    def item(i: int, j: int, a: int, b: int) -> Column:
-        return F.struct(
-            F.lit(metrics[a]).alias("metric1"), F.lit(metrics[b]).alias("metric2"),
-            F.col(f"n{i}_{j}").alias("n"), F.col(f"c{i}_{j}").alias("correlation"),
+    def some(part: Sequence[tuple[int, int]]) -> DataFrame:
+        row = wide.agg(
+            *[F.corr(f"m{i}", f"m{j}").alias(f"c{i}_{j}") for i, j in part],
+            *[F.count_if(F.col(f"m{i}").isNotNull() & F.col(f"m{j}").isNotNull()).alias(f"n{i}_{j}") for i, j in part],
         )
-
-    items = [item(i, j, i, j) for i, j in pairs] + ([item(i, j, j, i) for i, j in pairs] if symmetric else [])
-    if not items:
+        ordered = [(i, j, i, j) for i, j in part] + ([(i, j, j, i) for i, j in part] if symmetric else [])
+        return row.select(F.inline(F.array(*[
+            F.struct(
+                F.lit(metrics[a]).alias("metric1"), F.lit(metrics[b]).alias("metric2"),
+                F.col(f"n{i}_{j}").alias("n"), F.col(f"c{i}_{j}").alias("correlation"),
+            )
+            for i, j, a, b in ordered
+        ])))
+
+    if not pairs:
         empty = "array<struct<metric1:string,metric2:string,n:bigint,correlation:double>>"
-        out = row.select(F.inline(F.array().cast(empty)))
+        out = wide.limit(0).select(F.inline(F.array().cast(empty)))
     else:
-        out = row.select(F.inline(F.array(*items)))
+        out = union_all([some(pairs[k:k + PAIRS_PER_PASS]) for k in range(0, len(pairs), PAIRS_PER_PASS)])
     r = F.abs("correlation")
     return out.filter(F.col("n") >= min_points).withColumn("strength", F.when(r > 0.8, "strong").when(r > 0.7, "moderate"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.common import attach, number, quoted, seconds
-from tidewatch.functions.ordered import BLOCK_ROWS, framed_window
+from tidewatch.functions.ordered import BLOCK_ROWS, framed_window, newest_rows
 
 ROLLING = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 TRAILING = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
@@ -64,11 +64,9 @@ def trailing(
 
 def newest(df: DataFrame, ts: str, limit: int = 10, keys: Sequence[str] = (), tiebreak: Sequence[str] = ()) -> DataFrame:
     """Newest ``limit`` rows, overall or per key."""
-    order = [F.desc(quoted(ts)), *[F.desc(quoted(t)) for t in tiebreak]]
-    if not keys:
-        return df.orderBy(*order).limit(limit)
-    ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter(F.col("__rn") <= limit).drop("__rn")
+    if keys:
+        return newest_rows(df, keys, ts, limit, tiebreak)
+    return df.orderBy(F.desc(quoted(ts)), *[F.desc(quoted(t)) for t in tiebreak]).limit(limit)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str] = ()) -> DataFrame:
@@ -87,12 +85,9 @@ def last_points_trend(
     Only series with at least ``window`` points give a row.
     """
     order = [F.desc(quoted(ts)), *[F.desc(quoted(t)) for t in tiebreak]]
-    if keys:
-        ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-        recent = ranked.filter(F.col("__rn") <= window)
-    else:
-        tail = df.orderBy(*order).limit(window)
-        recent = tail.withColumn("__rn", F.row_number().over(Window.orderBy(*order)))
+    # at most ``window`` rows per series are left before they are numbered
+    tail = newest(df, ts, window, keys, tiebreak)
+    recent = tail.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     x = (F.lit(window) - F.col("__rn")).cast("double")
     y = number(quoted(value))
     return (
