@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.common import attach, merge_by_keys, number, quoted, seconds, union_all
 from tidewatch.functions.ordered import BLOCK_ROWS, framed_window, value_counts, with_prefix
+from tidewatch.session import cut_lineage
 
 SCORES = ("accuracy", "precision", "recall", "f1_score", "auc_score", "latency_ms", "throughput_rps")
 # Metrics for which a larger value is worse.
@@ -151,7 +152,9 @@ def degradation_alerts(
         return {"__acc": F.avg("accuracy").over(earlier), "__lat": F.avg("latency_ms").over(earlier)}
 
     cols = ["model_id", *tiebreak, "ts", "accuracy", "latency_ms"]
-    framed = framed_window(metrics.select(*cols), ["model_id"], "ts", tiebreak, 10, build, block_rows).filter("__idx >= 10")
+    # the frame reads its input several times: keep the small metrics table, not the job over all predictions
+    kept = cut_lineage(metrics.select(*cols))
+    framed = framed_window(kept, ["model_id"], "ts", tiebreak, 10, build, block_rows).filter("__idx >= 10")
     a, l = F.col("__acc"), F.col("__lat")
     acc = F.when(a > 0, (a - F.col("accuracy")) / a).otherwise(0.0)
     lat = F.when(l > 0, (F.col("latency_ms") - l) / l).otherwise(0.0)
