@@ -5,6 +5,7 @@ from compare import connect, difference
 from plan_scan import findings
 
 import __spark_entry__ as entry
+from tidewatch.plans.registry import QUERIES
 
 ROWS_ONLY = {"drift_isolation_forest", "quality_outlier_forest", "rca_investigation"}
 
@@ -14,7 +15,7 @@ def con(data_dir):
     return connect(data_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, data_dir, con, name):
     df = entry.queries()[name](spark, data_dir)
     sql = entry.oracle_sql().get(name)
