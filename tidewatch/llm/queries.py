@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import line_dedup, near_dedup, substring_dedup
-from tidewatch.llm.common import table_path
+from tidewatch.llm import decontamination, language, line_dedup, near_dedup, nearest, packing, pii, substring_dedup, token_files, toxicity
+from tidewatch.llm.common import held, table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,8 +24,27 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(table_path(sf_dir, name))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from labelled rows that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (held("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 @query("op2_near_duplicates")
@@ -39,7 +59,60 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir))
 
 
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
+    return packing.pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
+@query("op5_token_files")
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written to Arrow stream files and read back."""
+    files = token_files.write(documents(spark, sf_dir), token_files.new_folder(spark), tokenizer("word_bpe_49k.json"), keeps_space=False, end_id=2)
+    return token_files.read(files)
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from rows that are not held out."""
+    docs = documents(spark, sf_dir)
+    found = language.predict(docs, language.fit(language.training_rows(docs)))
+    return found.select("doc_id", (held("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.spans(documents(spark, sf_dir))
+
+
+@query(
+    "op8_decontamination",
+    r"""
+    WITH words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+    ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+           FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+    items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+    bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
+           FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+    sizes AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
+    SELECT doc_id, item_id, n AS item_shingles, count(*) AS found, round(count(*) / n, 6) AS containment
+    FROM ds JOIN bs USING (s) JOIN sizes USING (item_id)
+    GROUP BY doc_id, item_id, n HAVING count(*) * 100 >= n * 80
+    """,
+)
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items."""
+    return decontamination.contained(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_substring_dedup")
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of 13-word passages that a document with a smaller id has as well."""
     return substring_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept_text")
+
+
+@query("op10_nearest")
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
