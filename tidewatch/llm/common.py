@@ -159,6 +159,6 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 
 
 __all__ = [
-    "BYTE", "SLICE_BYTES", "U64", "cut_lineage", "grams", "held", "mix", "only", "per_slice", "seeded", "sequence_hash",
+    "BYTE", "LOWER", "SLICE_BYTES", "SPACE", "STEP", "U64", "cut_lineage", "grams", "held", "mix", "only", "per_slice", "seeded", "sequence_hash",
     "signed", "slices", "span_hashes", "table_path", "words_of",
 ]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.common import quoted
 from tidewatch.llm.common import BYTE, U64, mix, only, span_hashes, words_of
-from tidewatch.llm.repeats import Windows, apply_starts, covered, repeated, start_lists
+from tidewatch.llm.repeats import Windows, apply_starts, covered, ordered_rows, repeated, start_lists
 
 MIN_WORDS = 8
 
@@ -72,7 +72,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     ignored.
     """
     rows = only(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long"))
-    starts = repeated(rows.where("id is not null and text is not null"), line_windows(least), across=False)
+    starts = repeated(ordered_rows(rows), line_windows(least), across=False)
 
     def run(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         _, begin, end, words, bounds = lines_of(data, offsets)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import per_slice
+from tidewatch.llm.common import STEP, U64, mix, per_slice
 
 
 @dataclass
@@ -55,6 +55,18 @@ def _first_of(keys: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np
     return order, np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
 
 
+def _rows(key: np.ndarray, ids: np.ndarray, pos: np.ndarray, take: np.ndarray, open_rows: int) -> pa.RecordBatch:
+    """Rows to send, in text order as that compresses best; the settled ones spread by their place instead of their key."""
+    settled = np.arange(len(take)) >= open_rows
+    key, ids, pos = key[take], ids[take], pos[take]
+    key = np.where(settled, mix(ids.astype(U64) * STEP + pos.astype(U64)), key)
+    order = np.lexsort((pos, ids))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key[order].view(np.int64)), pa.array(settled[order]), pa.array(ids[order]), pa.array(pos[order].astype(np.int32))],
+        names=["part", "settled", "id", "pos"],
+    )
+
+
 def anchors(docs: DataFrame, make: Maker, across: bool) -> DataFrame:
     """``(id, pos)`` of the anchors that occur elsewhere, with ``across`` in another document."""
 
@@ -81,16 +93,12 @@ def anchors(docs: DataFrame, make: Maker, across: bool) -> DataFrame:
             extra = (ids == ids[first]) & ~ask & ~settled  # further places in the only document of the slice
             ask |= extra
         a, s = np.flatnonzero(ask), np.flatnonzero(settled)
-        take = np.concatenate((a, s))
-        keys = pa.array(key[take].view(np.int64), mask=np.concatenate((np.zeros(len(a), bool), np.ones(len(s), bool))))
-        return pa.RecordBatch.from_arrays([keys, pa.array(ids[take]), pa.array(pos[take].astype(np.int32))], names=["key", "id", "pos"])
+        return _rows(key, ids, pos, np.concatenate((a, s)), len(a))
 
-    sent = docs.mapInArrow(per_slice(run), "key long, id long, pos int")
-    # rows without key are settled; they get a key of their own so that they spread
+    sent = docs.mapInArrow(per_slice(run), "part long, settled boolean, id long, pos int")
     group = Window.partitionBy("part")
-    told = sent.withColumn("part", F.coalesce("key", F.xxhash64("id", "pos")))
     meets = F.max("id").over(group) > F.min("id").over(group) if across else F.count("*").over(group) > 1
-    return told.withColumn("meets", meets).where("key is null or meets").select("id", "pos")
+    return sent.withColumn("meets", meets).where("settled or meets").select("id", "pos")
 
 
 def repeated(docs: DataFrame, make: Maker, across: bool) -> DataFrame:
@@ -114,20 +122,29 @@ def repeated(docs: DataFrame, make: Maker, across: bool) -> DataFrame:
         order, first = _first_of(key, ids, pos)
         key, ids, pos = key[order], ids[order], pos[order]
         later = ids != ids[first] if across else np.arange(len(key)) != first
-        keys = pa.array(key.view(np.int64), mask=later)
-        return pa.RecordBatch.from_arrays([keys, pa.array(ids), pa.array(pos.astype(np.int32))], names=["key", "id", "pos"])
+        a, s = np.flatnonzero(~later), np.flatnonzero(later)
+        return _rows(key, ids, pos, np.concatenate((a, s)), len(a))
 
-    sent = docs.join(shared, "id").mapInArrow(per_slice(run), "key long, id long, pos int")
+    sent = docs.join(shared, "id").mapInArrow(per_slice(run), "part long, settled boolean, id long, pos int")
     group = Window.partitionBy("part")
-    told = sent.withColumn("part", F.coalesce("key", F.xxhash64("id", "pos")))
     first = F.min("id").over(group) if across else F.min(F.struct("id", "pos")).over(group)
     later = F.col("id") > F.col("first") if across else F.struct("id", "pos") > F.col("first")
-    return told.withColumn("first", first).where(F.col("key").isNull() | later).groupBy("id").agg(F.collect_set("pos").alias("starts"))
+    return sent.withColumn("first", first).where(F.col("settled") | later).groupBy("id").agg(F.collect_set("pos").alias("starts"))
 
 
 def apply_starts(docs: DataFrame, starts: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """Hand every document its repeated windows (null if none) and map ``run`` over the slices."""
-    return docs.join(starts, "id", "left").mapInArrow(per_slice(run), schema)
+    """Hand every document its repeated windows (null if none) and map ``run`` over the slices.
+
+    Rows that took no part in ``repeated``, without id or text, are mapped aside; the others are filtered exactly as there,
+    so that both joins read one shuffle of the texts.
+    """
+    aside = docs.where("id is null or text is null").withColumn("starts", F.lit(None).cast("array<int>"))
+    return ordered_rows(docs).join(starts, "id", "left").mapInArrow(per_slice(run), schema).union(aside.mapInArrow(per_slice(run), schema))
+
+
+def ordered_rows(docs: DataFrame) -> DataFrame:
+    """Rows with a place in the order and something to compare."""
+    return docs.where("id is not null and text is not null")
 
 
 def start_lists(rows: pa.RecordBatch) -> list[np.ndarray]:
@@ -143,4 +160,4 @@ def covered(starts: np.ndarray, lengths: np.ndarray | int, n: int) -> np.ndarray
     return np.cumsum(change[:n]) > 0
 
 
-__all__ = ["Windows", "apply_starts", "covered", "repeated", "start_lists"]
+__all__ = ["Windows", "apply_starts", "covered", "ordered_rows", "repeated", "start_lists"]

@@ -16,8 +16,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import grams, only, words_of
-from tidewatch.llm.repeats import Windows, apply_starts, covered, repeated, start_lists
+from tidewatch.llm.common import cut_lineage, grams, only, per_slice, sequence_hash, words_of
+from tidewatch.llm.repeats import Windows, apply_starts, covered, ordered_rows, repeated, start_lists
 
 WINDOW = 13
 PREFIX = 5
@@ -44,6 +44,13 @@ def word_windows(size: int = WINDOW, prefix: int = PREFIX):
     return make
 
 
+def _content(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    hashes, _, _, bounds = words_of(data, offsets)
+    words = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    sums = [pa.array([sequence_hash(w, seed) for w in words], pa.int64()) for seed in (21, 22)]
+    return pa.RecordBatch.from_arrays([rows.column(0), *sums, pa.array(np.diff(bounds), pa.int64())], names=["id", "c1", "c2", "n"])
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256, kept_text)``, one row per input row.
 
@@ -53,8 +60,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows repeated with one id and one text are one document and get equal results.  Other columns are ignored.
     """
     rows = only(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long"))
-    named = rows.where("id is not null and text is not null")
-    starts = repeated(named, word_windows(size), across=True)
+    # whole copies lose all their words; only the first of them goes on
+    content = cut_lineage(ordered_rows(rows).mapInArrow(per_slice(_content), "id long, c1 long, c2 long, n long"))
+    first = content.groupBy("c1", "c2").agg(F.min("id").alias("first"))
+    copies = cut_lineage(content.where(F.col("n") >= size).join(first, ["c1", "c2"]).where("id > first").select("id", "n"))
+    rows = rows.join(copies.select("id").distinct(), "id", "left_anti")
+    starts = repeated(ordered_rows(rows), word_windows(size), across=True)
 
     def run(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         _, begin, end, bounds = words_of(data, offsets)
@@ -75,4 +86,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
         )
 
-    return apply_starts(rows, starts, run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    gone = copies.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_words"), F.col("n").alias("n_removed"),
+        F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").alias("kept_text"),
+    )
+    return apply_starts(rows, starts, run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string").union(gone)
