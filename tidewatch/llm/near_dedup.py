@@ -29,6 +29,7 @@ TREES = 20
 LEVELS = 4
 LEAF = 8
 SCREEN = 0.55  # least share of equal minwise values; six standard deviations below a similarity of 0.8
+BROADCAST_IDS = 1_000_000  # ids of 8 bytes that may be broadcast to find their texts; beyond that the texts are shuffled
 FUNCTIONS = TREES * LEVELS
 _FACTORS = seeded(FUNCTIONS, 7) | U64(1)
 _MASKS = seeded(FUNCTIONS, 8)
@@ -137,9 +138,13 @@ def _labelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 def linked_groups(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """``(u, component)`` of the nodes; ``texts(id, text)`` holds their texts."""
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = texts.join(wanted, "id", "left_semi").mapInArrow(per_slice(_sets), "id long, s binary")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        if wanted.count() <= BROADCAST_IDS:
+            wanted = F.broadcast(wanted)
+        return cut_lineage(texts.join(wanted, "id", "left_semi").mapInArrow(per_slice(_sets), "id long, s binary"))
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         both = (
             pairs.select("a", "b", "na", "nb")
             .join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
@@ -150,6 +155,7 @@ def linked_groups(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
 
     pairs, large = offered_pairs(nodes)
     left = cut_lineage(screened(pairs, nodes))
+    sets = sets_of(left)
     links, labels = None, None
     for turn in ("one per document", "one per pair of components", "all"):
         left = left if labels is None else cut_lineage(_labelled(left.select("a", "b", "na", "nb", "share"), labels))
@@ -162,7 +168,7 @@ def linked_groups(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
             chosen = left.select("a", "b", "na", "nb")
         if chosen.isEmpty():
             break
-        found = confirmed(cut_lineage(chosen))
+        found = confirmed(cut_lineage(chosen), sets)
         links = cut_lineage(found if links is None else links.union(found))
         labels = components(links)
     # the lowest nodes that are still large: what could yet join two components
@@ -174,7 +180,8 @@ def linked_groups(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
         rest = member.select("path", F.col("id").alias("a"), F.col("c").alias("ca")).join(
             member.select("path", F.col("id").alias("b"), F.col("c").alias("cb")), "path"
         ).where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = confirmed(cut_lineage(screened(rest, nodes)))
+        near = cut_lineage(screened(rest, nodes))
+        found = confirmed(near, sets_of(near))
         labels = components(found if links is None else links.union(found))
     return labels if labels is not None else nodes.sparkSession.createDataFrame([], "u long, component long")
 
