@@ -5,7 +5,7 @@ minwise shingles: at level ``l`` of tree ``t`` the shingle with the smallest val
 with one document end; nodes of at most ``LEAF`` documents are compared exhaustively; larger ones offer every document
 against the node's smallest id and branch again by the next token.  Independent trees are repeated until the chance
 that a pair at the threshold never meets is below one in a hundred thousand.  Nodes that are still large at the lowest
-level are compared pair by pair between the components found so far, so no bucket is capped.
+level and hold several of the components found so far branch on by the tokens of other trees; no bucket is capped.
 
 Offered pairs are screened by their signatures and confirmed on the full shingle sets.  Confirmation runs in rounds: one
 pair per document first, then only what would join two different components, then all that is left of that.
@@ -91,9 +91,9 @@ def _common(a, b):
 
 
 def offered_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(a, b)`` offered by the forest, and the members ``(path, id)`` of nodes still large at the lowest level."""
+    """``(a, b)`` offered by the forest, and the members ``(path, tree, id)`` of nodes still large at the lowest level."""
     here = nodes.select("id", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig").select(
-        "id", F.xxhash64("tree", F.element_at("sig", F.col("tree") * LEVELS + 1)).alias("path"),
+        "id", "tree", F.xxhash64("tree", F.element_at("sig", F.col("tree") * LEVELS + 1)).alias("path"),
         F.slice("sig", F.col("tree") * LEVELS + 2, LEVELS - 1).alias("rest"),
     )
     offers: list[DataFrame] = []
@@ -107,11 +107,11 @@ def offered_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
         offers.append(large.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
         if level < LEVELS - 1:
-            here = large.select("id", F.xxhash64("path", F.element_at("rest", level + 1)).alias("path"), "rest")
+            here = large.select("id", "tree", F.xxhash64("path", F.element_at("rest", level + 1)).alias("path"), "rest")
     pairs = offers[0]
     for other in offers[1:]:
         pairs = pairs.union(other)
-    return pairs.distinct(), large.select("path", "id")
+    return pairs.distinct(), large.select("path", "tree", "id")
 
 
 def screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -171,25 +171,43 @@ def linked_groups(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
         found = confirmed(cut_lineage(chosen), sets)
         links = cut_lineage(found if links is None else links.union(found))
         labels = components(links)
-    # the lowest nodes that are still large: what could yet join two components
-    member = _labelled_members(large, labels)
-    spread = member.groupBy("path").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    member = member.join(spread.select("path"), "path", "left_semi")
-    if not member.isEmpty():
-        member = cut_lineage(member)
-        rest = member.select("path", F.col("id").alias("a"), F.col("c").alias("ca")).join(
-            member.select("path", F.col("id").alias("b"), F.col("c").alias("cb")), "path"
-        ).where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = cross_pairs(large, nodes, labels)
+    if rest is not None:
         near = cut_lineage(screened(rest, nodes))
-        found = confirmed(near, sets_of(near))
-        labels = components(found if links is None else links.union(found))
+        if not near.isEmpty():
+            found = confirmed(near, sets_of(near))
+            labels = components(found if links is None else links.union(found))
     return labels if labels is not None else nodes.sparkSession.createDataFrame([], "u long, component long")
 
 
-def _labelled_members(large: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return large.withColumn("c", F.col("id"))
-    return large.join(labels.select(F.col("u").alias("id"), "component"), "id", "left").select("path", "id", F.coalesce("component", "id").alias("c"))
+def cross_pairs(large: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+    """Pairs of different components in nodes that are large at the lowest level of the forest.
+
+    Only nodes with several components matter.  They branch on by further minwise tokens, those of the other trees, until
+    few documents are left or the tokens are used up; on the way every document is offered against the smallest id of the
+    node, at the end all pairs of different components are.
+    """
+    member = large.withColumn("c", F.col("id")) if labels is None else (
+        large.join(labels.select(F.col("u").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    )
+    out: DataFrame | None = None
+    member = member.join(nodes.select("id", "sig"), "id").select("path", "tree", "id", "c", "sig")
+    for level in range(LEVELS, FUNCTIONS):
+        state = member.groupBy("path").agg(F.count("*").alias("k"), F.min("id").alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+        member = cut_lineage(member.join(state.select("path", "k", "hub"), "path"))
+        if member.isEmpty():
+            break
+        done = (F.col("k") <= 4 * LEAF) | F.lit(level == FUNCTIONS - 1)
+        last = member.where(done).select("path", "id", "c")
+        pairs = last.select("path", F.col("id").alias("a"), F.col("c").alias("ca")).join(
+            last.select("path", F.col("id").alias("b"), F.col("c").alias("cb")), "path"
+        ).where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        on = member.where(~done)
+        pairs = cut_lineage(pairs.union(on.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct())
+        out = pairs if out is None else out.union(pairs)
+        at = F.pmod(F.col("tree") * LEVELS + level, F.lit(FUNCTIONS)) + 1
+        member = on.select(F.xxhash64("path", F.element_at("sig", at)).alias("path"), "tree", "id", "c", "sig")
+    return None if out is None else out.distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
