@@ -184,8 +184,8 @@ def cross_pairs(large: DataFrame, nodes: DataFrame, labels: DataFrame | None) ->
     """Pairs of different components in nodes that are large at the lowest level of the forest.
 
     Only nodes with several components matter.  They branch on by further minwise tokens, those of the other trees, until
-    few documents are left or the tokens are used up; on the way every document is offered against the smallest id of the
-    node, at the end all pairs of different components are.
+    few documents, or few outside the largest component, are left or the tokens are used up; on the way every document is
+    offered against the smallest id of the node, at the end all pairs of different components are.
     """
     member = large.withColumn("c", F.col("id")) if labels is None else (
         large.join(labels.select(F.col("u").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
@@ -193,11 +193,16 @@ def cross_pairs(large: DataFrame, nodes: DataFrame, labels: DataFrame | None) ->
     out: DataFrame | None = None
     member = member.join(nodes.select("id", "sig"), "id").select("path", "tree", "id", "c", "sig")
     for level in range(LEVELS, FUNCTIONS):
-        state = member.groupBy("path").agg(F.count("*").alias("k"), F.min("id").alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        member = cut_lineage(member.join(state.select("path", "k", "hub"), "path"))
+        sizes = member.groupBy("path", "c").agg(F.count("*").alias("own"), F.min("id").alias("low"))
+        state = sizes.groupBy("path").agg(
+            F.sum("own").alias("k"), F.min("low").alias("hub"), (F.sum("own") - F.max("own")).alias("others")
+        ).where("others > 0")
+        member = cut_lineage(member.join(state, "path"))
         if member.isEmpty():
             break
         done = (F.col("k") <= 4 * LEAF) | F.lit(level == FUNCTIONS - 1)
+        if level >= 2 * LEVELS:  # one large component and a few strangers, each of which meets all of it
+            done = done | (F.col("others") <= LEAF // 2)
         last = member.where(done).select("path", "id", "c")
         pairs = last.select("path", F.col("id").alias("a"), F.col("c").alias("ca")).join(
             last.select("path", F.col("id").alias("b"), F.col("c").alias("cb")), "path"
