@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import U64, cut_lineage, grams, only, per_slice, seeded, sequence_hash, signed, words_of
+from tidewatch.llm.common import U64, cut_lineage, grams, only, per_slice, seeded, sequence_hash, words_of
 from tidewatch.llm.components import components
 
 SHINGLE = 5
