@@ -10,16 +10,14 @@ from pyspark.sql import functions as F
 from tidewatch.functions.common import parse_window, quoted
 from tidewatch.operators.windows import newest
 
-KEPT = 1000
-
 
 def append(results: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     results.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def kept(results: DataFrame, keys: Sequence[str], ts: str = "ts", limit: int = KEPT, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Newest ``limit`` results per key (the limit is applied inside each task first)."""
-    return newest(results, ts, limit, keys, tiebreak)
+def kept(results: DataFrame, keys: Sequence[str], ts: str = "ts", limit: int | None = None, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Newest ``limit`` results per key (the limit is applied inside each task first); without a limit all of them."""
+    return results if limit is None else newest(results, ts, limit, keys, tiebreak)
 
 
 def history(results: DataFrame, key: str, value: str, limit: int = 100, ts: str = "ts", tiebreak: Sequence[str] = ()) -> DataFrame:
