@@ -74,8 +74,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
     return mix(out)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
-    """``(hashes, starts, ends, per-document offsets into them)`` of all words of the documents."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(starts, ends, per-document offsets into them)`` of all words of the documents."""
     sep = SPACE[data]
     edge = offsets[1:-1]
     before = np.empty(len(data), dtype=bool)
@@ -87,8 +87,13 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
         after[edge[edge > 0] - 1] = True
     solid = ~sep
     starts = np.flatnonzero(solid & before)
-    ends = np.flatnonzero(solid & after) + 1
-    return span_hashes(data, starts, ends, LOWER if lower else BYTE), starts, ends, np.searchsorted(starts, offsets)
+    return starts, np.flatnonzero(solid & after) + 1, np.searchsorted(starts, offsets)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    """``(hashes, starts, ends, per-document offsets into them)`` of all words of the documents."""
+    starts, ends, bounds = word_spans(data, offsets)
+    return span_hashes(data, starts, ends, LOWER if lower else BYTE), starts, ends, bounds
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -160,5 +165,5 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 
 __all__ = [
     "BYTE", "LOWER", "SLICE_BYTES", "SPACE", "STEP", "U64", "cut_lineage", "grams", "held", "mix", "only", "per_slice", "seeded", "sequence_hash",
-    "signed", "slices", "span_hashes", "table_path", "words_of",
+    "signed", "slices", "span_hashes", "table_path", "word_spans", "words_of",
 ]

@@ -144,10 +144,8 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
         enc = encoder(tokenizer, True)
-        stops = sentence_stops(Tokenizer.from_file(tokenizer))
+        stops = sentence_stops(enc.tokenizer)
         block: _Block | None = None
         number = None
 
