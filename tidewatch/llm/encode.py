@@ -32,6 +32,7 @@ LETTER = np.zeros(256, dtype=bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 FIRST, SPACED, NEW_LINE = (U64(x) for x in (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F))
 BEFORE = ("", " ", "")  # the id of a line end is put before the others by hand
+SPACE_LETTER = "Ġ"  # how byte-level vocabularies write a space
 TOGETHER = 500  # new pieces per text that the library gets
 
 
@@ -62,20 +63,31 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces in a row, and their number per piece."""
-        groups = [texts[i : i + TOGETHER] for i in range(0, len(texts), TOGETHER)]
-        ids, sizes = [], []
-        for group, found in zip(groups, self._each([self.between.join(g) for g in groups]), strict=True):
-            flat = np.array(found, dtype=np.uint32)
-            marks = np.flatnonzero(flat == self.mark_id)
-            if len(marks) == len(group) - 1 and not any(self.mark in x for x in group):
-                ids.append(np.delete(flat, marks))
-                sizes.append(np.diff(np.concatenate(([-1], marks, [len(flat)]))) - 1)
-            else:  # a piece has the mark in itself
-                alone = self._each(group)
-                ids.append(np.array([i for x in alone for i in x], dtype=np.uint32))
-                sizes.append(np.array([len(x) for x in alone], dtype=np.int64))
-        return np.concatenate(ids), np.concatenate(sizes)
+        """Ids of all pieces in a row, and their number per piece.
+
+        Plain letters are one piece of the tokenizer's pattern, so its model merges them at once; the rest goes through the
+        whole tokenizer.
+        """
+        out: list[list[int]] = [[]] * len(texts)
+        merge, rest = self.tokenizer.model.tokenize, []
+        for i, x in enumerate(texts):
+            if x.isascii() and x.lstrip(" ").isalpha():
+                out[i] = [t.id for t in merge(x.replace(" ", SPACE_LETTER) if self.keeps_space else x.lower())]
+            else:
+                rest.append(i)
+        for i in range(0, len(rest), TOGETHER):
+            for k, ids in zip(rest[i : i + TOGETHER], self._together([texts[k] for k in rest[i : i + TOGETHER]]), strict=True):
+                out[k] = ids
+        sizes = np.fromiter(map(len, out), dtype=np.int64, count=len(out))
+        return np.fromiter((i for x in out for i in x), dtype=np.uint32, count=int(sizes.sum())), sizes
+
+    def _together(self, texts: list[str]) -> list[list[int]]:
+        """Ids of pieces that the library gets as one text."""
+        found = self._each([self.between.join(texts)])[0]
+        marks = [-1, *(i for i, x in enumerate(found) if x == self.mark_id), len(found)]
+        if len(marks) != len(texts) + 1 or any(self.mark in x for x in texts):  # a piece has the mark in itself
+            return self._each(texts)
+        return [found[a + 1 : b] for a, b in zip(marks[:-1], marks[1:], strict=True)]
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Entry of every key, -1 if unknown."""
