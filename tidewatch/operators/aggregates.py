@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,7 +197,7 @@ def last_rows_aggregate(
     """Aggregate the last ``size`` rows (per key): ``{output: (function, column)}``.
 
     A missing field counts as 0 and an unknown function gives 0.  Keys with
-    fewer than ``size`` rows give no row.  The row limit is applied inside each
+    fewer than ``size`` rows give no row here; ``short_rows`` has theirs.  The row limit is applied inside each
     task before the shuffle.
     """
     if keys:
@@ -212,3 +214,11 @@ def last_rows_aggregate(
             expr = F.max(F.lit(0.0))
         aggs.append(expr.alias(out))
     return recent.groupBy(*keys).agg(*aggs).filter(F.col("__n") >= size).drop("__n")
+
+
+def short_rows(df: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:
+    """Rows of keys with fewer than ``size`` rows, unchanged: ``last_rows_aggregate`` has no window for them."""
+    short = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") < size)
+    short = short.select(*[quoted(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    same = reduce(and_, [quoted(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    return df.join(short, same, "left_semi")

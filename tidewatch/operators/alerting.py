@@ -182,7 +182,7 @@ def alerts(hits: DataFrame, ts: str = "ts") -> DataFrame:
     """Alert rows of fired hits: id, title, message, severity, status ``active``, metadata."""
     t = quoted(ts).cast("timestamp")
     return hits.select(
-        F.concat_ws("_", "rule_id", F.date_format(t, "yyyyMMdd_HHmmss")).alias("alert_id"),
+        F.concat_ws("_", "rule_id", F.date_format(t, "yyyyMMdd_HHmmss_SSSSSS")).alias("alert_id"),
         "rule_id",
         F.concat(F.lit("Alert: "), "name").alias("title"),
         F.concat("description", F.lit(" - "), "metric", F.lit(": "), F.col("value").cast("string")).alias("message"),

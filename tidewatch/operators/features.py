@@ -13,7 +13,6 @@ from tidewatch.operators import windows
 from tidewatch.operators.aggregates import column_statistics
 from tidewatch.operators.quality import outside_iqr, parsed_time
 
-ONE_HOT_LIMIT = 1000
 
 
 def datetime_parts(df: DataFrame, column: str) -> DataFrame:
@@ -105,16 +104,13 @@ def scale(df: DataFrame, column: str, scaler: str = "standard", output: str | No
     return attach(df, stats, []).withColumn(output or f"{column}_scaled", F.when(x.isNotNull(), scaled)).drop("c0", "s0")
 
 
-def one_hot(df: DataFrame, column: str, values: Sequence[str] | None = None, limit: int = ONE_HOT_LIMIT) -> DataFrame:
+def one_hot(df: DataFrame, column: str, values: Sequence[str] | None = None) -> DataFrame:
     """Boolean column ``{column}_{value}`` per value in sorted order; NULL is false everywhere.
 
-    The values become the schema, so there is a limit; above it the caller
-    should use label or frequency encoding.
+    The values become the schema: without ``values`` a job finds them first.
     """
     if values is None:
-        found = df.select(quoted(column).alias("v")).filter("v is not null").distinct().limit(limit + 1).collect()
-        if len(found) > limit:
-            raise ValueError(f"{column} has more than {limit} values; use label or frequency encoding")
+        found = df.select(quoted(column).alias("v")).filter("v is not null").distinct().collect()
         values = sorted(r["v"] for r in found)
     return df.select(
         "*", *[F.coalesce(quoted(column) == F.lit(v), F.lit(False)).alias(f"{column}_{v}") for v in values]

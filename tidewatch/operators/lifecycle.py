@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.common import micros
+from tidewatch.functions.common import micros, quoted
 from tidewatch.operators.windows import newest
 
 
 def register(registry: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New (model, version) pairs to append, and those refused because they exist already."""
+    """New (model, version) pairs to append, and those refused because they exist already or come again.
+
+    Of a pair given several times the earliest ``created_at`` is taken, then the smallest row; the others are refused.
+    """
     keys = ["model_id", "version"]
-    known = registry.select(*keys)
-    return candidates.join(known, keys, "left_anti"), candidates.join(known, keys, "left_semi")
+    order = [c for c in ("created_at",) if c in candidates.columns]
+    fresh = candidates.join(registry.select(*keys), keys, "left_anti").select(*candidates.columns)
+    first = F.min(F.struct(*order, *[quoted(c).alias(f"__{i}") for i, c in enumerate(candidates.columns)])).alias("__first")
+    taken = fresh.groupBy(*keys).agg(first).select(*[F.col(f"__first.__{i}").alias(c) for i, c in enumerate(candidates.columns)])
+    return taken, candidates.exceptAll(taken)
 
 
 def lineage(versions: DataFrame, deployments: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ nor the recovery work grows with the number of rounds.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,6 @@ from tidewatch.functions.common import quoted, union_all
 from tidewatch.session import cut_lineage
 
 S, T = "source_node_id", "target_node_id"
-MAX_ROUNDS = 10_000
 
 
 def add_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,7 +103,7 @@ def node_lineage(edges: DataFrame, artifacts: DataFrame | None, node_id: str, ma
     return union_all(parts)
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """One shortest path as ``(step, node_id)``; no rows when there is none; the smallest predecessor on a tie.
 
     Breadth first: each round joins the frontier with the edges and keeps the
@@ -117,7 +117,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_rounds: int =
     steps = edges.select(S, T).distinct()
     frontier = spark.createDataFrame([(source, None, 0)], "node_id string, parent string, step int")
     seen = cut_lineage(frontier)
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         grown = (
             seen.filter(F.col("step") == depth - 1).join(steps, F.col("node_id") == F.col(S))
             .groupBy(F.col(T).alias("__next")).agg(F.min("node_id").alias("parent"))
@@ -142,13 +142,11 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_rounds: int =
     return spark.createDataFrame(sorted(path), "step int, node_id string")
 
 
-def is_acyclic(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> bool:
+def is_acyclic(edges: DataFrame) -> bool:
     """Peel nodes without incoming edges until nothing changes; acyclic if no edge is left."""
     left = cut_lineage(edges.select(S, T).distinct())
     size = left.count()
-    for _ in range(max_rounds):
-        if size == 0:
-            return True
+    while size:
         inner = left.select(F.col(T).alias("__n")).distinct()
         # both ends are peeled: an edge into a node without outgoing edges lies on no cycle either
         outer = left.select(F.col(S).alias("__m")).distinct()
@@ -158,15 +156,15 @@ def is_acyclic(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> bool:
         if now == size:
             return False
         size = now
-    raise RuntimeError("graph did not settle")
+    return True
 
 
-def _spread(labels: DataFrame, edges: DataFrame, near: str, far: str, max_rounds: int) -> DataFrame:
+def _spread(labels: DataFrame, edges: DataFrame, near: str, far: str) -> DataFrame:
     """Smallest label along edges ``near → far`` within the same group, to a fixed point.
 
     ``labels``: ``(node_id, grp, label)``; ``edges``: ``(source, target)`` ids.
     """
-    for _ in range(max_rounds):
+    while True:
         offered = (
             labels.join(edges, F.col("node_id") == F.col(near)).select(F.col(far).alias("__n"), F.col("grp").alias("__g"), F.col("label").alias("__l"))
             .groupBy("__n", "__g").agg(F.min("__l").alias("__l"))
@@ -180,10 +178,9 @@ def _spread(labels: DataFrame, edges: DataFrame, near: str, far: str, max_rounds
         labels = nxt.drop("changed")
         if not moved:
             return labels
-    raise RuntimeError("labels did not settle")
 
 
-def strong_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Strongly connected components ``(node_id, component)``; the component is named by one of its nodes.
 
     Rounds of forward colouring: every open node takes the smallest id that
@@ -205,10 +202,8 @@ def strong_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = MAX_
     core = open_edges.select(F.col(S).alias("node_id")).union(open_edges.select(T)).distinct()
     found = [ids.join(core, "node_id", "left_anti").select("node_id", F.col("node_id").alias("component"))]
     labels = cut_lineage(core.select("node_id", F.lit(None).cast("string").alias("grp"), F.col("node_id").alias("label")))
-    for _ in range(max_rounds):
-        if not labels.limit(1).count():
-            break
-        colour = _spread(labels, open_edges, S, T, max_rounds)
+    while labels.limit(1).count():  # every round closes at least one component of each colour
+        colour = _spread(labels, open_edges, S, T)
         # walk backwards from the colour's own node inside the colour
         marked = cut_lineage(colour.select(
             "node_id", F.col("label").alias("grp"), F.when(F.col("node_id") == F.col("label"), 0).otherwise(1).alias("label")
@@ -217,7 +212,7 @@ def strong_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = MAX_
             colour.select(F.col("node_id").alias(T), F.col("label").alias("__b")), T
         ).filter(F.col("__a") == F.col("__b")).select(S, T)
         inside = cut_lineage(inside)
-        back = _spread(marked, inside, T, S, max_rounds)
+        back = _spread(marked, inside, T, S)
         found.append(back.filter("label = 0").select("node_id", F.col("grp").alias("component")))
         rest = back.filter("label = 1").select("node_id", "grp")
         open_edges = cut_lineage(inside.join(rest.select(F.col("node_id").alias(S)), S, "left_semi").join(

@@ -100,32 +100,32 @@ def purge_older(df: DataFrame, ts: str, now, days: int) -> tuple[DataFrame, Data
 def purge_partitions(spark: SparkSession, path: str, ts: str, now, days: int, partition_by: Sequence[str]) -> int:
     """Delete expired rows of a stored table by rewriting only the partitions that hold some; returns the count.
 
-    The kept rows of those partitions are staged in the checkpoint folder
-    first, because a table cannot be overwritten while it is read.
+    Partition values are the text in the folder names, so a null and ``007`` are partitions like others.  The kept rows of
+    the partitions are staged in the checkpoint folder first, because a table cannot be overwritten while it is read.
+    Folders without a kept row go last; a run that ends in between leaves expired rows only, and the next one takes them.
     """
+    import pandas as pd
+
     from tidewatch.session import cut_lineage
+    from tidewatch.sources.storage import read_text_keys
 
-    df = spark.read.parquet(path)
-    kept, deleted = purge_older(df, ts, now, days)
-    count = deleted.head()["deleted_count"]
+    df = read_text_keys(spark, path, partition_by)
+    old = F.coalesce(quoted(ts) < same_type_literal(df, ts, str(pd.Timestamp(now) - pd.Timedelta(days=days))), F.lit(False))
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("__folder")
+    hit = cut_lineage(df.filter(old).select(folder).groupBy("__folder").agg(F.count(F.lit(1)).alias("__n")))
+    count = hit.agg(F.sum("__n").alias("n")).head()["n"]
     if not count:
         return 0
-    import pandas as pd
-
-    cutoff = same_type_literal(df, ts, str(pd.Timestamp(now) - pd.Timedelta(days=days)))
-    hit = cut_lineage(df.filter(quoted(ts) < cutoff).select(*partition_by).distinct())
-    staged = cut_lineage(kept.join(hit, list(partition_by), "left_semi"))
-    empty = hit.join(staged.select(*partition_by).distinct(), list(partition_by), "left_anti")
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
-    _drop_partitions(spark, path, empty, partition_by)
+    staged = cut_lineage(df.filter(~old).select("*", folder).join(hit.select("__folder"), "__folder", "left_semi"))
+    empty = hit.join(staged.select("__folder").distinct(), "__folder", "left_anti").select("__folder")
+    staged.drop("__folder").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    _drop_folders(spark, empty)
     return count
 
 
-def _drop_partitions(spark: SparkSession, path: str, partitions: DataFrame, partition_by: Sequence[str]) -> None:
-    """Remove the folders of partitions that have no row left (a list of folder names, not data)."""
+def _drop_folders(spark: SparkSession, folders: DataFrame) -> None:
+    """Remove the folders of partitions that have no row left (names, not data; one at a time on the driver)."""
     jvm = spark._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for row in partitions.toLocalIterator():
-        folder = "/".join(f"{c}={row[c]}" for c in partition_by)
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}"), True)
+    for row in folders.toLocalIterator():
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["__folder"]))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

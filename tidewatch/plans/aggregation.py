@@ -185,6 +185,15 @@ def agg_last_rows_by_key(t):
     return tidy(out.withColumn("value_sum", F.round("value_sum", 4)))
 
 
+@query(
+    "agg_last_rows_short_keys",
+    "SELECT event_id, user_id, value FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) < 50)",
+)
+def agg_last_rows_short_keys(t):
+    """Rows of the keys that have no full window."""
+    return A.short_rows(t.events, 50, ["user_id"]).select("event_id", "user_id", "value")
+
+
 @query(
     "agg_last_rows_global",
     """WITH l AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500)

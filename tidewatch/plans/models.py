@@ -409,10 +409,26 @@ def lifecycle_register(t):
     candidates = t.lineitem.select(
         F.concat(F.lit("m"), (F.col("l_suppkey") % 40).cast("string")).alias("model_id"),
         F.concat(F.lit("v"), F.col("l_orderkey").cast("string")).alias("version"),
-    ).distinct()
+    )
     return L.register(versions(t), candidates)[0]
 
 
+@query(
+    "lifecycle_register_refused",
+    f"""WITH {VERSION_SQL}, c AS (SELECT 'm' || (l_suppkey % 40) AS model_id, 'v' || l_orderkey AS version FROM lineitem),
+    k AS (SELECT model_id, version, count(*) AS n FROM c GROUP BY 1, 2),
+    r AS (SELECT k.model_id, k.version, n - CASE WHEN v.model_id IS NULL THEN 1 ELSE 0 END AS refused
+      FROM k LEFT JOIN (SELECT DISTINCT model_id, version FROM versions) v ON k.model_id = v.model_id AND k.version = v.version)
+    SELECT model_id, version, refused FROM r WHERE refused > 0""",
+)
+def lifecycle_register_refused(t):
+    candidates = t.lineitem.select(
+        F.concat(F.lit("m"), (F.col("l_suppkey") % 40).cast("string")).alias("model_id"),
+        F.concat(F.lit("v"), F.col("l_orderkey").cast("string")).alias("version"),
+    )
+    return L.register(versions(t), candidates)[1].groupBy("model_id", "version").agg(F.count(F.lit(1)).alias("refused"))
+
+
 @query(
     "lifecycle_lineage",
     f"""WITH {VERSION_SQL}, v AS (SELECT model_id, count(*) AS total_versions FROM versions GROUP BY 1),

@@ -736,3 +736,28 @@ def retention_purge_stored(t):
     rows.hint("rebalance", F.col("year")).write.partitionBy("year").parquet(path)
     T.purge_partitions(t.spark, path, "ts", RET_NOW, 365, ["year"])
     return tidy(t.spark.read.parquet(path).select("o_orderkey", "year"))
+
+
+TEXT_KEY = "CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '007' WHEN 2 THEN '7' ELSE 'a/b=' || o_orderpriority END"
+
+
+@query(
+    "retention_purge_text_keys",
+    f"SELECT o_orderkey, {TEXT_KEY} AS part FROM orders WHERE o_orderdate >= TIMESTAMP '{RET_NOW}' - INTERVAL 365 DAY",
+)
+def retention_purge_text_keys(t):
+    """Purge of a table whose partition values are null, texts that look like numbers, and texts that folders escape."""
+    path = scratch(t.spark)
+    rows = records(t).withColumn("part", F.expr(TEXT_KEY.replace("o_orderpriority", "source_id")))
+    rows.hint("rebalance", F.col("part")).write.partitionBy("part").parquet(path)
+    T.purge_partitions(t.spark, path, "ts", RET_NOW, 365, ["part"])
+    return tidy(S.read_text_keys(t.spark, path, ["part"]).select("o_orderkey", "part"))
+
+
+@query("storage_retrieve_text_key", "SELECT event_id, value FROM events WHERE event_id % 3 = 1")
+def storage_retrieve_text_key(t):
+    """Retrieval by a key that looks like a number."""
+    path = scratch(t.spark)
+    rows = t.events.withColumn("code", F.expr("CASE event_id % 3 WHEN 0 THEN '7' WHEN 1 THEN '007' ELSE NULL END"))
+    S.store(rows, path, "metrics", "hot", "ts", {"type": "field", "field": "code"})
+    return S.retrieve(t.spark, path, "hot", "metrics", "ts", key="007").select("event_id", "value")

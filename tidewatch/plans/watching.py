@@ -71,7 +71,7 @@ def alert_cooldown_per_user(t):
     return A.cooldown(hits, keys=["user_id"]).select("user_id", "event_id")
 
 
-ALERTS_SQL = f"""{FIRED_SQL}, alerts AS (SELECT rule_id || '_' || strftime(ts, '%Y%m%d_%H%M%S') AS alert_id, rule_id, 'Alert: ' || name AS title,
+ALERTS_SQL = f"""{FIRED_SQL}, alerts AS (SELECT rule_id || '_' || strftime(ts, '%Y%m%d_%H%M%S_%f') AS alert_id, rule_id, 'Alert: ' || name AS title,
   severity, ts AS created_at, delay, event_id, value FROM fired)"""
 
 

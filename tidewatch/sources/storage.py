@@ -6,12 +6,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.common import hash_bucket, quoted, same_type_literal, union_all
 
 TIERS = ("hot", "warm", "cold")
 # Data types that go to the structured side of the warm tier.
 STRUCTURED_TYPES = ("metrics", "logs", "traces")
+KEYS = ("data_type", "partition_key")  # the folders of a tier
 
 
 def check_tier(tier: str) -> str:
@@ -67,18 +69,27 @@ def store_by_tier(df: DataFrame, base: str, data_type: str, tier_column: str, ts
     return df.filter(~F.coalesce(quoted(tier_column).isin(*TIERS), F.lit(False)))
 
 
+def read_text_keys(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """A partitioned table whose ``keys`` are read as the text in the folder names: ``007`` stays apart from ``7``."""
+    found = spark.read.parquet(path).schema
+    return spark.read.schema(
+        T.StructType([T.StructField(f.name, T.StringType() if f.name in keys else f.dataType) for f in found])
+    ).parquet(path)
+
+
 def retrieve(
-    spark: SparkSession, base: str, tier: str, data_type: str, ts: str, start=None, end=None, key: str | None = None, limit: int | None = None
+    spark: SparkSession, base: str, tier: str, data_type: str, ts: str, start=None, end=None, key: str | None = None, limit: int | None = None,
+    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
     """Rows of a type, newest first: type and key prune folders, the time range reaches the file scan."""
-    df = spark.read.parquet(f"{base}/{check_tier(tier)}").filter(F.col("data_type") == data_type)
+    df = read_text_keys(spark, f"{base}/{check_tier(tier)}", KEYS).filter(F.col("data_type") == data_type)
     if key is not None:
-        df = df.filter(F.col("partition_key").cast("string") == key)
+        df = df.filter(F.col("partition_key") == key)
     if start is not None:
         df = df.filter(quoted(ts) >= same_type_literal(df, ts, start))
     if end is not None:
         df = df.filter(quoted(ts) <= same_type_literal(df, ts, end))
-    return df.orderBy(F.desc(quoted(ts))).limit(limit) if limit else df
+    return df.orderBy(F.desc(quoted(ts)), *[F.desc(quoted(c)) for c in tiebreak]).limit(limit) if limit else df
 
 
 def statistics(spark: SparkSession, base: str, tiers: Sequence[str] = TIERS) -> DataFrame:
@@ -86,7 +97,7 @@ def statistics(spark: SparkSession, base: str, tiers: Sequence[str] = TIERS) ->
     parts = []
     for tier in tiers:
         try:
-            df = spark.read.parquet(f"{base}/{check_tier(tier)}")
+            df = read_text_keys(spark, f"{base}/{check_tier(tier)}", KEYS)
         except Exception as exc:  # the tier has not been written yet
             if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
                 continue
@@ -96,7 +107,7 @@ def statistics(spark: SparkSession, base: str, tiers: Sequence[str] = TIERS) ->
         )
         parts.append(files.groupBy("data_type", "partition_key").agg(
             F.sum("n").alias("rows"), F.count(F.lit(1)).alias("files"), F.sum("b").alias("bytes")
-        ).withColumn("tier", F.lit(tier)).withColumn("partition_key", F.col("partition_key").cast("string")))
+        ).withColumn("tier", F.lit(tier)))
     if not parts:
         return spark.createDataFrame([], "data_type string, partition_key string, rows bigint, files bigint, bytes bigint, tier string")
     return union_all(parts)
