@@ -13,8 +13,6 @@ pair per document first, then only what would join two different components, the
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +27,7 @@ TREES = 20
 LEVELS = 4
 LEAF = 8
 SCREEN = 0.55  # least share of equal minwise values; six standard deviations below a similarity of 0.8
+AHEAD = 8  # tokens that members of large nodes carry for their next levels
 BROADCAST_IDS = 1_000_000  # ids of 8 bytes that may be broadcast to find their texts; beyond that the texts are shuffled
 FUNCTIONS = TREES * LEVELS
 _FACTORS = seeded(FUNCTIONS, 7) | U64(1)
@@ -191,7 +190,6 @@ def cross_pairs(large: DataFrame, nodes: DataFrame, labels: DataFrame | None) ->
         large.join(labels.select(F.col("u").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     )
     out: DataFrame | None = None
-    member = member.join(nodes.select("id", "sig"), "id").select("path", "tree", "id", "c", "sig")
     for level in range(LEVELS, FUNCTIONS):
         sizes = member.groupBy("path", "c").agg(F.count("*").alias("own"), F.min("id").alias("low"))
         state = sizes.groupBy("path").agg(
@@ -210,8 +208,11 @@ def cross_pairs(large: DataFrame, nodes: DataFrame, labels: DataFrame | None) ->
         on = member.where(~done)
         pairs = cut_lineage(pairs.union(on.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct())
         out = pairs if out is None else out.union(pairs)
-        at = F.pmod(F.col("tree") * LEVELS + level, F.lit(FUNCTIONS)) + 1
-        member = on.select(F.xxhash64("path", F.element_at("sig", at)).alias("path"), "tree", "id", "c", "sig")
+        step = (level - LEVELS) % AHEAD
+        if step == 0:  # only now, for the few nodes that branch on, and only the tokens of the next levels
+            tokens = F.array(*[F.element_at("sig", F.pmod(F.col("tree") * LEVELS + level + j, F.lit(FUNCTIONS)) + 1) for j in range(AHEAD)])
+            on = on.select("path", "tree", "id", "c").join(nodes.select("id", "sig"), "id").withColumn("tokens", tokens)
+        member = on.select(F.xxhash64("path", F.element_at("tokens", step + 1)).alias("path"), "tree", "id", "c", "tokens")
     return None if out is None else out.distinct()
 
 
