@@ -156,15 +156,18 @@ def with_order_index(
 ) -> DataFrame:
     """Add ``__idx``: 0-based position of each row within its key, ordered by ``ts, tiebreak``.
 
-    ``ts`` is a timestamp or a number.  Rows are ranked inside time slices of
-    the key; the slice offsets come from one running total over the bounded
+    ``ts`` is a timestamp or a number.  Rows are ranked by the original values
+    inside time slices of the key; the slice offsets come from one running total over the bounded
     list of slices.  A slice with more than ``hot_rows`` rows is cut again:
     over its own time range, or, when all its rows have one and the same time,
     over the range of the first tiebreak if that is a number.  ``total`` names
     an extra column with the row count of the key.
     """
     kind = df.schema[ts].dataType.typeName()
-    position = micros(quoted(ts)) if kind.startswith("timestamp") or kind == "date" else quoted(ts).cast("double")
+    if kind.startswith("timestamp") or kind == "date":
+        position = micros(quoted(ts))
+    else:  # a double cannot tell large integers apart
+        position = quoted(ts).cast("decimal(20,0)" if kind == "long" else "double")
     numeric_tie = bool(tiebreak) and isinstance(df.schema[tiebreak[0]].dataType, NUMERIC)
     placed = df.withColumn("__pos", position).withColumn(
         "__tie", quoted(tiebreak[0]).cast("double") if numeric_tie else F.lit(None).cast("double")
@@ -181,16 +184,16 @@ def with_order_index(
     ).drop("__lo", "__hi")
     hot = sliced.groupBy(*keys, "__slice").agg(
         F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__lo"), F.max("__pos").alias("__hi"),
-        F.min("__tie").alias("__tlo"), F.max("__tie").alias("__thi"),
+        F.min("__tie").alias("__tlo"), F.max("__tie").alias("__thi"), (F.min(quoted(ts)) == F.max(quoted(ts))).alias("__same"),
     ).filter(F.col("__n") > hot_rows).drop("__n")
     # usually there is no hot slice: AQE then drops this join at run time
     cut = join_on(sliced, hot, [*keys, "__slice"], "left").withColumn(
         "__sub",
         F.expr(
             f"CASE WHEN __hi > __lo THEN CAST(floor((__pos - __lo) / CAST(__hi - __lo AS DOUBLE) * {SUB_SLICES}D) AS BIGINT)"
-            f" WHEN __thi > __tlo THEN CAST(floor((__tie - __tlo) / (__thi - __tlo) * {SUB_SLICES}D) AS BIGINT) ELSE 0L END"
+            f" WHEN __same AND __thi > __tlo THEN CAST(floor((__tie - __tlo) / (__thi - __tlo) * {SUB_SLICES}D) AS BIGINT) ELSE 0L END"
         ),
-    ).drop("__lo", "__hi", "__tlo", "__thi")
+    ).drop("__lo", "__hi", "__tlo", "__thi", "__same")
     cut = cut.withColumn("__sub", F.coalesce("__sub", F.lit(-1)))
     sizes = cut.groupBy(*keys, "__slice", "__sub").agg(F.count(F.lit(1)).alias("__n"))
     order = Window.partitionBy(*keys).orderBy("__slice", "__sub")
@@ -202,7 +205,7 @@ def with_order_index(
         (F.sum("__n").over(order) - F.col("__n")).alias("__off"),
     )
     marked = union_all([cut.withColumn("__row", F.lit(1)), offsets])
-    inner = Window.partitionBy(*keys, "__slice", "__sub").orderBy("__row", "__pos", *[quoted(t) for t in tiebreak])
+    inner = Window.partitionBy(*keys, "__slice", "__sub").orderBy("__row", quoted(ts), *[quoted(t) for t in tiebreak])
     return marked.select(
         *[quoted(c) for c in df.columns],
         "__row",

@@ -92,6 +92,7 @@ def cooldown(
     when its last alert is; (2) these short tables are chained per key;
     (3) every stretch is replayed from its true entry moment.  Steps 1 and 3
     run in parallel over all stretches, so one hot rule is spread as well.
+    Hits of one key with different cooldowns are told apart, each cooldown has its own silence.
     ``last_fired`` (``keys, ts``) carries the silence over from earlier runs.
     """
     keys = list(keys)
@@ -106,13 +107,14 @@ def cooldown(
         known = last_fired.select(*keys, micros(quoted(ts)).alias("__last"))
         times = join_on(times, known, keys, "left").withColumn("__o", F.coalesce(F.expr("__last + __c"), F.lit(0)))
         times = times.filter("__last IS NULL OR __t >= __o").drop("__last")
+    keys = [*keys, "__c"]
     times = times.withColumn("__cell", F.expr("(__t - __o - pmod(__t - __o, __c)) div __c"))
-    cells = times.groupBy(*keys, "__c", "__o", "__cell").agg(F.count(F.lit(1)).alias("__n"))
-    along = Window.partitionBy(*keys, "__c", "__o").orderBy("__cell")
+    cells = times.groupBy(*keys, "__o", "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    along = Window.partitionBy(*keys, "__o").orderBy("__cell")
     cells = cells.withColumn("__b", F.floor((F.sum("__n").over(along) - F.col("__n")) / F.lit(stretch_rows)).cast("bigint"))
-    first_cell = F.min("__cell").over(Window.partitionBy(*keys, "__c", "__o", "__b"))
+    first_cell = F.min("__cell").over(Window.partitionBy(*keys, "__o", "__b"))
     cells = cells.withColumn("__start", F.col("__o") + first_cell * F.col("__c")).drop("__n")
-    times = join_on(times, cells, [*keys, "__c", "__o", "__cell"]).drop("__cell", "__o")
+    times = join_on(times, cells, [*keys, "__o", "__cell"]).drop("__cell", "__o")
     types = {f.name: f.dataType.simpleString() for f in times.schema.fields}
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
 
@@ -131,13 +133,13 @@ def cooldown(
         entries = min(len(t), int(np.searchsorted(t, start + c)) + 1)
         exits = t[last[:entries]]
         ends = np.append(np.flatnonzero(exits[1:] != exits[:-1]), entries - 1)
-        out = pd.DataFrame({"__c": c, "__b": b, "__until": t[ends], "__exit": exits[ends]})
+        out = pd.DataFrame({"__b": b, "__until": t[ends], "__exit": exits[ends]})
         for name, value in zip(keys, group):
             out.insert(0, name, value)
         return out
 
     outlines = times.groupBy(*keys, "__b").applyInPandas(
-        outline, f"{', '.join(f'`{k}` {types[k]}' for k in reversed(keys))}, __c bigint, __b bigint, __until bigint, __exit bigint"
+        outline, f"{', '.join(f'`{k}` {types[k]}' for k in reversed(keys))}, __b bigint, __until bigint, __exit bigint"
     )
     chained = outlines.repartition(*keys).sortWithinPartitions(*keys, "__b", "__until")
 
@@ -145,15 +147,15 @@ def cooldown(
         current, allowed, done = None, None, None
         for batch in batches:
             rows = []
-            for key, c, b, until, leave in zip(
-                batch[keys].itertuples(index=False, name=None), batch["__c"], batch["__b"], batch["__until"], batch["__exit"]
+            for key, b, until, leave in zip(
+                batch[keys].itertuples(index=False, name=None), batch["__b"], batch["__until"], batch["__exit"]
             ):
                 if key != current:
                     current, allowed, done = key, None, None
                 if b == done or (allowed is not None and until < allowed):
                     continue
                 rows.append((*key, b, allowed if allowed is not None else np.iinfo(np.int64).min))
-                allowed, done = leave + c, b
+                allowed, done = leave + key[-1], b
             yield pd.DataFrame(rows, columns=[*keys, "__b", "__from"])
 
     entry = chained.mapInPandas(chain, f"{key_ddl}, __b bigint, __from bigint")

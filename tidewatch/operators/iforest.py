@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.common import attach, number, quoted
 from tidewatch.functions.ordered import exact_quantiles
 
-TREES, SAMPLE, POOL = 100, 256, 8192
+TREES, SAMPLE = 100, 256
 HASH_RANGE = 1 << 40
 
 
@@ -51,26 +51,32 @@ def _grow(values: np.ndarray, rng: np.random.Generator, limit: int) -> tuple[lis
     return cuts, depths
 
 
-def sample_pool(df: DataFrame, value: str, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """At most ``POOL`` rows chosen by the smallest seeded hashes of their keys.
+def draw(df: DataFrame, value: str, keys: Sequence[str], trees: int = TREES, seed: int = 42) -> DataFrame:
+    """``(tree, x)``: up to ``SAMPLE`` rows of the whole table for every tree.
 
-    A threshold from the row count keeps all but a few of the rows out of the
-    final top-k.
+    A row's seeded hash is a point on a circle, and every tree takes the rows on an arc of its own.  The arcs are so long that
+    about four times the wanted rows lie on one; in a small table they overlap, up to all rows for all trees.  Of the rows on
+    its arc a tree keeps those with the smallest hashes of its own.  ``keys`` must tell the rows apart.
     """
+    if not keys:
+        raise ValueError("the forest needs key columns that tell the rows apart")
     rows = df.select(number(quoted(value)).alias("x"), F.pmod(
         F.xxhash64(F.lit(seed), *[quoted(k) for k in keys]), F.lit(HASH_RANGE)
     ).alias("h")).filter("x is not null")
     size = rows.agg(F.count(F.lit(1)).alias("__n"))
-    near = attach(rows, size, []).filter(F.col("h") <= F.lit(float(HASH_RANGE) * 4 * POOL) / F.col("__n"))
-    return near.orderBy("h", "x").limit(POOL).select("x", "h")
+    # both ends in trees: the arc of tree t starts at t
+    here = F.col("h") / F.lit(HASH_RANGE / trees)
+    reach = F.lit(4.0 * SAMPLE * trees) / F.col("__n")
+    last = F.floor(here)
+    first = F.greatest(F.ceil(here - reach), last - (trees - 1))
+    arcs = attach(rows, size, []).withColumns({"__a": first, "__b": last}).filter("__a <= __b")
+    placed = arcs.select("x", "h", F.explode(F.sequence("__a", "__b")).alias("t")).select("x", "h", F.pmod("t", F.lit(trees)).cast("int").alias("tree"))
+    order = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "h"), "x")
+    return placed.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= SAMPLE).select("tree", "x")
 
 
 def fit(df: DataFrame, value: str, keys: Sequence[str], trees: int = TREES, seed: int = 42) -> DataFrame:
     """Trees as rows ``(tree, size, cuts ARRAY, depths ARRAY)``."""
-    pool = sample_pool(df, value, keys, seed)
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "rn", F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("tree", "h"), "x"))
-    )
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         tree = int(part["tree"].iloc[0])
@@ -79,7 +85,7 @@ def fit(df: DataFrame, value: str, keys: Sequence[str], trees: int = TREES, seed
         cuts, depths = _grow(xs, np.random.default_rng([seed, tree]), limit)
         return pd.DataFrame({"tree": [tree], "size": [len(xs)], "cuts": [cuts], "depths": [depths]})
 
-    return drawn.filter(F.col("rn") <= SAMPLE).groupBy("tree").applyInPandas(
+    return draw(df, value, keys, trees, seed).groupBy("tree").applyInPandas(
         build, "tree int, size int, cuts array<double>, depths array<double>"
     )
 

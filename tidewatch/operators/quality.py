@@ -190,7 +190,7 @@ def check(
         if kind == "outlier" and params.get("method") == "isolation_forest":
             from tidewatch.operators.iforest import outlier_flags
 
-            flagged = outlier_flags(df, name, rule.get("key_columns") or params.get("key_columns") or [name])
+            flagged = outlier_flags(df, name, rule.get("key_columns") or params.get("key_columns") or ())
             counted = flagged.agg(F.count_if("is_outlier").alias("hits"), F.count(F.lit(1)).alias("total"))
             parts.append(counted.select(F.inline(F.array(_row(rule, F.col("hits"), F.col("total"))))))
             continue

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,8 +50,6 @@ URGENT_ADVICE = (
 CALM_ADVICE = ("Continue monitoring the situation", "Review system logs for additional insights")
 
 CAUSE_COLUMNS = ("type", "metrics", "description", "severity", "confidence")
-MAX_METRICS = 300
-PAIRS_PER_PASS = 500
 
 
 def leaves(condition: Mapping) -> Iterator[Mapping]:
@@ -139,38 +136,27 @@ def correlations(
 ) -> DataFrame:
     """Pearson correlation of all metric pairs, aligned on time: ``(metric1, metric2, n, correlation, strength)``.
 
-    One column per metric, and one aggregate per few hundred pairs over the
-    same bucketed table; the metric names are schema, so their number is limited.  ``strength`` is NULL up to 0.7.
+    Values are averaged per moment and metric first; then the metrics of a moment meet and every pair is one group, combined
+    inside each task before the shuffle.  Any number of metrics will do.  With ``metrics`` only those are compared, in that
+    order; else the smaller name comes first.  ``strength`` is NULL up to 0.7.
     """
-    if metrics is None:
-        found = series.select("metric").distinct().limit(MAX_METRICS + 1).collect()
-        if len(found) > MAX_METRICS:
-            raise ValueError(f"more than {MAX_METRICS} metrics; pass the ones to compare")
-        metrics = sorted(r["metric"] for r in found)
     at = bucket if bucket is not None else F.col("ts")
-    wide = series.groupBy(at.alias("__at")).agg(*[
-        F.avg(F.when(F.col("metric") == m, number("value"))).alias(f"m{i}") for i, m in enumerate(metrics)
-    ])
-    pairs = list(combinations(range(len(metrics)), 2))
-    def some(part: Sequence[tuple[int, int]]) -> DataFrame:
-        row = wide.agg(
-            *[F.corr(f"m{i}", f"m{j}").alias(f"c{i}_{j}") for i, j in part],
-            *[F.count_if(F.col(f"m{i}").isNotNull() & F.col(f"m{j}").isNotNull()).alias(f"n{i}_{j}") for i, j in part],
-        )
-        ordered = [(i, j, i, j) for i, j in part] + ([(i, j, j, i) for i, j in part] if symmetric else [])
-        return row.select(F.inline(F.array(*[
-            F.struct(
-                F.lit(metrics[a]).alias("metric1"), F.lit(metrics[b]).alias("metric2"),
-                F.col(f"n{i}_{j}").alias("n"), F.col(f"c{i}_{j}").alias("correlation"),
-            )
-            for i, j, a, b in ordered
+    place = F.col("metric")
+    if metrics is not None:
+        series = series.filter(F.col("metric").isin(*metrics))
+        place = F.array_position(F.array(*[F.lit(m) for m in metrics]).cast("array<string>"), F.col("metric"))
+    cells = series.groupBy(at.alias("__at"), "metric").agg(F.avg(number("value")).alias("x")).filter("x IS NOT NULL")
+    one, two = (
+        cells.select(F.col("__at").alias(f"__at{i}"), F.col("metric").alias(f"metric{i}"), F.col("x").alias(f"x{i}"), place.alias(f"__p{i}"))
+        for i in (1, 2)
+    )
+    met = one.join(two, F.col("__at1").eqNullSafe(F.col("__at2")) & (F.col("__p1") < F.col("__p2")))
+    out = met.groupBy("metric1", "metric2").agg(F.count(F.lit(1)).alias("n"), F.corr("x1", "x2").alias("correlation"))
+    if symmetric:
+        out = out.select(F.inline(F.array(*[
+            F.struct(F.col(a).alias("metric1"), F.col(b).alias("metric2"), "n", "correlation")
+            for a, b in (("metric1", "metric2"), ("metric2", "metric1"))
         ])))
-
-    if not pairs:
-        empty = "array<struct<metric1:string,metric2:string,n:bigint,correlation:double>>"
-        out = wide.limit(0).select(F.inline(F.array().cast(empty)))
-    else:
-        out = union_all([some(pairs[k:k + PAIRS_PER_PASS]) for k in range(0, len(pairs), PAIRS_PER_PASS)])
     r = F.abs("correlation")
     return out.filter(F.col("n") >= min_points).withColumn("strength", F.when(r > 0.8, "strong").when(r > 0.7, "moderate"))
 
