@@ -96,6 +96,23 @@ def test_near_duplicates_large_group(spark):
     assert got == {d: root for d, (_, root) in groups(rows, 85).items()}
 
 
+def test_near_duplicates_large_nodes_are_whole(spark, monkeypatch):
+    """Hundreds of texts just under the threshold to each other, among them pairs just over it, and blocks smaller than the group."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1 << 16)
+    rows = []
+    for i in range(17 * 17):  # two texts change the same place at most once; pairs have the word there in common too
+        x, y = divmod(i, 17)
+        own = [f"b{k}" for k in range(17 * 5 * 6)]
+        for j in range(5):
+            own[6 * (17 * j + (x * j + y) % 17) + 2] = f"own{i}_{j}" if j else f"own{x // 2}_{y}"
+        rows.append((i, " ".join(own)))
+    want = {d: root for d, (_, root) in groups(rows, 85).items()}
+    assert len(set(want.values())) == 17 * 17 - 17 * 8
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
+    assert got == want
+
+
 def test_near_duplicates_odd(odd):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == len(ROWS)

@@ -4,8 +4,13 @@ Every distinct word sequence is one node of the similarity graph.  Each tree sen
 minwise shingles: at level ``l`` of tree ``t`` the shingle with the smallest value of hash function ``(t, l)``.  Nodes
 with one document end; nodes of at most ``LEAF`` documents are compared exhaustively; larger ones offer every document
 against the node's smallest id and branch again by the next token.  Independent trees are repeated until the chance
-that a pair at the threshold never meets is below one in a hundred thousand.  Nodes that are still large at the lowest
-level and hold several of the components found so far branch on by the tokens of other trees; no bucket is capped.
+that a pair at a similarity of 0.80 never meets, ``(1 - 0.8 ** LEVELS) ** TREES`` = 9.2e-6, is below one in a hundred
+thousand.  Nodes that are still large at the lowest level and hold several of the components found so far are compared
+exhaustively as well, every pair of different components: no node, bucket or pair is left out.
+
+These comparisons run in blocks cut by the hash of the id.  Each pair of blocks is first compared by signatures, which
+keeps the documents that have a near partner, and then by full shingle sets, as a product of incidence matrices; only
+links that join two components are handed on, fewer than the documents of the block.
 
 Offered pairs are screened by their signatures and confirmed on the full shingle sets.  Confirmation runs in rounds: one
 pair per document first, then only what would join two different components, then all that is left of that.
@@ -13,9 +18,11 @@ pair per document first, then only what would join two different components, the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,11 +30,13 @@ from tidewatch.llm.common import U64, cut_lineage, grams, only, per_slice, seede
 from tidewatch.llm.components import components
 
 SHINGLE = 5
-TREES = 20
+TREES = 22
 LEVELS = 4
 LEAF = 8
 SCREEN = 0.55  # least share of equal minwise values; six standard deviations below a similarity of 0.8
-AHEAD = 8  # tokens that members of large nodes carry for their next levels
+BLOCK = 1024  # documents of a large node per block of signatures
+BLOCK_SHINGLES = 1 << 19  # shingles of a large node per block of sets
+COLUMNS = 4096  # shingles per slice of an incidence matrix
 BROADCAST_IDS = 1_000_000  # ids of 8 bytes that may be broadcast to find their texts; beyond that the texts are shuffled
 FUNCTIONS = TREES * LEVELS
 _FACTORS = seeded(FUNCTIONS, 7) | U64(1)
@@ -170,50 +179,114 @@ def linked_groups(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
         found = confirmed(cut_lineage(chosen), sets)
         links = cut_lineage(found if links is None else links.union(found))
         labels = components(links)
-    rest = cross_pairs(large, nodes, labels)
-    if rest is not None:
-        near = cut_lineage(screened(rest, nodes))
-        if not near.isEmpty():
-            found = confirmed(near, sets_of(near))
-            labels = components(found if links is None else links.union(found))
+    found = cross_links(large, nodes, labels, percent, sets_of)
+    if found is not None:
+        labels = components(found if links is None else links.union(found))
     return labels if labels is not None else nodes.sparkSession.createDataFrame([], "u long, component long")
 
 
-def cross_pairs(large: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFrame | None:
-    """Pairs of different components in nodes that are large at the lowest level of the forest.
+def cross_links(large: DataFrame, nodes: DataFrame, labels: DataFrame | None, percent: int, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """Links ``(u, v)`` between different components inside nodes that are large at the lowest level of the forest.
 
-    Only nodes with several components matter.  They branch on by further minwise tokens, those of the other trees, until
-    few documents, or few outside the largest component, are left or the tokens are used up; on the way every document is
-    offered against the smallest id of the node, at the end all pairs of different components are.
+    Every pair of different components of a node is compared; the links returned join the same components as all links.
     """
-    member = large.withColumn("c", F.col("id")) if labels is None else (
-        large.join(labels.select(F.col("u").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    member = large.select("path", "id").withColumn("c", F.col("id")) if labels is None else (
+        large.select("path", "id").join(labels.select(F.col("u").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     )
-    out: DataFrame | None = None
-    for level in range(LEVELS, FUNCTIONS):
-        sizes = member.groupBy("path", "c").agg(F.count("*").alias("own"), F.min("id").alias("low"))
-        state = sizes.groupBy("path").agg(
-            F.sum("own").alias("k"), F.min("low").alias("hub"), (F.sum("own") - F.max("own")).alias("others")
-        ).where("others > 0")
-        member = cut_lineage(member.join(state, "path"))
-        if member.isEmpty():
-            break
-        done = (F.col("k") <= 4 * LEAF) | F.lit(level == FUNCTIONS - 1)
-        if level >= 2 * LEVELS:  # one large component and a few strangers, each of which meets all of it
-            done = done | (F.col("others") <= LEAF // 2)
-        last = member.where(done).select("path", "id", "c")
-        pairs = last.select("path", F.col("id").alias("a"), F.col("c").alias("ca")).join(
-            last.select("path", F.col("id").alias("b"), F.col("c").alias("cb")), "path"
-        ).where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        on = member.where(~done)
-        pairs = cut_lineage(pairs.union(on.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct())
-        out = pairs if out is None else out.union(pairs)
-        step = (level - LEVELS) % AHEAD
-        if step == 0:  # only now, for the few nodes that branch on, and only the tokens of the next levels
-            tokens = F.array(*[F.element_at("sig", F.pmod(F.col("tree") * LEVELS + level + j, F.lit(FUNCTIONS)) + 1) for j in range(AHEAD)])
-            on = on.select("path", "tree", "id", "c").join(nodes.select("id", "sig"), "id").withColumn("tokens", tokens)
-        member = on.select(F.xxhash64("path", F.element_at("tokens", step + 1)).alias("path"), "tree", "id", "c", "tokens")
-    return None if out is None else out.distinct()
+    several = member.groupBy("path").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("path")
+    member = cut_lineage(member.join(several, "path"))
+    if member.isEmpty():
+        return None
+    # one byte of every minwise value: other values agree once in 256, which the screen lets through rather than holds back
+    short = F.transform("sig", lambda x: F.substring(F.hex(x.cast("long").bitwiseAND(255) + 256), 2, 2))
+    short = nodes.select("id", "n", F.unhex(F.array_join(short, "")).alias("x"))
+    near = cut_lineage(_blocks(member.join(short, "id"), F.lit(1), BLOCK).applyInArrow(_partners, "path long, id long, c long, n long").distinct())
+    if near.isEmpty():
+        return None
+    sets = sets_of(near.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    # a document counts as 512 shingles at least, so that a block also bounds the documents
+    whole = _blocks(near.join(sets.withColumnRenamed("s", "x"), "id"), F.greatest("n", F.lit(BLOCK_SHINGLES // BLOCK)), BLOCK_SHINGLES)
+    return cut_lineage(whole.applyInArrow(_joining(percent), "u long, v long").distinct())
+
+
+def _blocks(member: DataFrame, weight: Column, most: int) -> GroupedData:
+    """``member(path, id, c, n, x)`` grouped by pairs of blocks of a node, each block of about ``most`` in ``weight``."""
+    count = member.groupBy("path").agg(F.ceil(F.sum(weight) / F.lit(most)).cast("int").alias("m"))
+    placed = member.join(count, "path").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return dealt.select("path", "id", "c", "n", "x", "salt", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j")).groupBy("path", "i", "j")
+
+
+def _asked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Components, sizes and blocks of the rows of a pair of blocks, and the rows outside the largest component."""
+    c, n, salt = (table.column(x).to_numpy() for x in ("c", "n", "salt"))
+    values, which, counts = np.unique(c, return_inverse=True, return_counts=True)
+    return c, n, salt, np.flatnonzero(which != counts.argmax())
+
+
+def _open(c: np.ndarray, salt: np.ndarray, rows: np.ndarray, cross: bool) -> np.ndarray:
+    """Which pairs of ``rows`` with all rows are of different components, and of different blocks if ``cross``."""
+    out = c[rows, None] != c[None]
+    return out & (salt[rows, None] != salt[None]) if cross else out
+
+
+def _partners(table: pa.Table) -> pa.Table:
+    """Rows with a near partner in another component."""
+    c, n, salt, rest = _asked(table)
+    cross = table.column("i")[0] != table.column("j")[0]
+    sig = np.ascontiguousarray(np.frombuffer(b"".join(table.column("x").to_pylist()), dtype=np.uint8).reshape(len(c), FUNCTIONS).T)
+    hit = np.zeros(len(c), dtype=bool)
+    for k in range(0, len(rest), 128):
+        rows = rest[k : k + 128]
+        equal = np.zeros((len(rows), len(c)), dtype=np.uint8)
+        for f in range(FUNCTIONS):
+            equal += sig[f][rows, None] == sig[f][None]
+        near = (equal >= SCREEN * FUNCTIONS) & _open(c, salt, rows, cross)
+        near &= np.minimum(n[rows, None], n) * 2 >= np.maximum(n[rows, None], n)
+        hit[rows] |= near.any(axis=1)
+        hit |= near.any(axis=0)
+    return table.select(["path", "id", "c", "n"]).filter(pa.array(hit))
+
+
+def _joining(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links of a pair of blocks, by full sets, as few as join the components that all links join."""
+
+    def run(table: pa.Table) -> pa.Table:
+        c, n, salt, rest = _asked(table)
+        cross = table.column("i")[0] != table.column("j")[0]
+        ids = table.column("id").to_numpy()
+        sets = [np.frombuffer(x, dtype=U64) for x in table.column("x").to_pylist()]
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = counts[column] > 1  # the others add nothing to a product
+        row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(rest), len(c)), dtype=np.float32)
+        for k in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, (k, k + COLUMNS))
+            part = np.zeros((len(c), COLUMNS), dtype=np.float32)
+            part[row[a:b], column[a:b] - k] = 1
+            common += part[rest] @ part.T
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        out = []
+        for k, r in enumerate(rest.tolist()):
+            x = common[k].astype(np.int64)
+            linked = (x * 100 >= percent * (n[r] + n - x)) & _open(c, salt, rest[k : k + 1], cross)[0]
+            for other in np.flatnonzero(linked).tolist():
+                p, q = root(int(c[r])), root(int(c[other]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((int(ids[r]), int(ids[other])))
+        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
