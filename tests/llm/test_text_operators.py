@@ -400,6 +400,22 @@ def test_nearest(spark, data_dir):
     assert hit >= 0.9 * total
 
 
+def test_nearest_recall_does_not_fall_with_the_table(spark):
+    """Many vectors without any structure, of which the first radius holds a small share."""
+    x = np.random.default_rng(4).normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in nearest.nearest(df, every=400).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, len(x), 400):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10].tolist()) & got[q])
+    assert len(got) == 50 and hit >= 0.99 * 500, hit
+
+
 def test_nearest_odd(spark):
     v = [float(i) for i in range(1, 9)]
     rows = [(i, v) for i in range(0, 300)] + [(1000, [x + 1 for x in v]), (1001, None), (1002, [0.0] * 8), (1003, [1.0, None] * 4), (1004, [float("nan")] * 8), (1005, [1.0]), (None, v), (0, v)]

@@ -3,9 +3,11 @@
 Vectors are centred, turned by learned rotations (iterative quantisation) and cut to sign bits.  A code of ``BITS`` bits
 is split into ``PARTS`` substrings, each with its own index.  Two codes within Hamming distance ``r`` agree in one of the
 substrings up to ``r // PARTS`` bits, so probing every index within that distance finds all of them; the candidates are
-checked on the whole code and ranked by the distance of the original vectors.  A query's radius is set so that about
-``WANTED`` vectors lie inside, from its distances to a sample of codes; queries that still find too few are searched again
-over all codes.
+checked on the whole code and ranked by the distance of the original vectors.  A query is searched twice.  Its first
+radius is set so that about ``WANTED`` vectors lie inside, from its distances to a sample of codes.  The worst of the
+distances found bounds the true one from above, and the second radius is the Hamming distance that pairs of the sample
+so far apart stay within (mean and ``MARGIN`` deviations), so the candidates grow with the table as the codes demand.
+Queries that find too few are searched over all codes.
 
 Copies of one vector are one entry of the index, with the smallest ids that a result can need.  Index cells and query
 groups are cut into blocks of bounded size by counts, so neither a frequent cell nor many queries fill a task.
@@ -18,16 +20,18 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut_lineage, only
+from tidewatch.llm.common import U64, cut_lineage, mix, only
 
 BITS, PARTS = 256, 16
 SUB = BITS // PARTS
 FIT_ROWS = 8192  # vectors that the rotations are learned from
 SAMPLE_CODES = 4096  # codes that the radii are estimated with
-WANTED = 600
+WANTED = 600  # codes in the first radius
+MARGIN = 3.0  # standard deviations of the Hamming distance above its mean at a float distance
+ASKED = 512  # queries per block of the ranking
 CELL = 4096  # codes or queries per block
 ONES = np.bitwise_count(np.arange(1 << SUB, dtype=np.uint32)).astype(np.uint8)
 
@@ -62,6 +66,33 @@ def encode(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndar
     return np.packbits((vectors - model[0]) @ model[1] >= 0, axis=1)
 
 
+def learn_radii(vectors: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(distances, radii)``: ascending float distances, and the Hamming radius of pairs up to each of them.
+
+    Shorter distances take the first radius, so what the sample is too thin for is searched wider, not narrower.
+    """
+    some = min(512, len(vectors))
+    square = (vectors**2).sum(axis=1)
+    d = np.sqrt(np.maximum(0.0, square[:some, None] + square[None] - 2 * vectors[:some] @ vectors.T))
+    h = np.concatenate([hamming(codes[i : min(i + 64, some), None, :], codes[None]) for i in range(0, some, 64)])
+    other = np.arange(some)[:, None] != np.arange(len(vectors))[None]
+    d, h = d[other], h[other]
+    order = np.argsort(d)
+    d, h = d[order], h[order].astype(np.float64)
+    edges, radii, here, size = [], [], 0, 256
+    while here < len(d):
+        part = h[here : here + size]
+        edges.append(d[here : here + size][-1])
+        radii.append(part.mean() + MARGIN * max(part.std(), 1.0))
+        here, size = here + size, size * 2
+    return np.array(edges), np.minimum(np.ceil(np.maximum.accumulate(radii)), BITS).astype(np.int32) if radii else np.empty(0, dtype=np.int32)
+
+
+def radius_at(distance: np.ndarray, learned: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    edges, radii = learned
+    return radii[np.minimum(np.searchsorted(edges, distance), len(radii) - 1)] if len(radii) else np.full(len(distance), BITS, dtype=np.int32)
+
+
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances between the rows of two code arrays (bytes), paired or broadcast."""
     return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum(axis=-1, dtype=np.int32)
@@ -93,7 +124,9 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: in
         return empty
     draw = lambda most: reps.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / n))).select("v").limit(2 * most)
     model = learn(np.array([r["v"] for r in draw(FIT_ROWS).collect()] or [reps.first()["v"]]))
-    sample = encode(np.array([r["v"] for r in draw(SAMPLE_CODES).collect()] or [reps.first()["v"]]), model)
+    floats = np.array([r["v"] for r in draw(SAMPLE_CODES).collect()] or [reps.first()["v"]])
+    sample = encode(floats, model)
+    learned = learn_radii(floats, sample)
     reach = NormalDist().inv_cdf(min(WANTED, n - 1) / n) if n > WANTED else None
 
     def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,25 +140,39 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(radius)], names=["rep", "code", "radius"])
 
     codes = cut_lineage(reps.mapInArrow(coded, "rep long, code binary, radius int"))
-    wanted = asked.select("rep").distinct()
-    found = _search(codes, codes.join(wanted, "rep"), n)
-    found = cut_lineage(found)
-    enough = found.groupBy(F.col("q").alias("rep")).count().where(F.col("count") >= min(k + 1, n))
-    few = cut_lineage(codes.join(wanted, "rep").join(enough, "rep", "left_anti"))
-    if not few.isEmpty():
-        found = found.union(_search(codes, few.withColumn("radius", F.lit(BITS)), n)).distinct()
-    pairs = found.join(reps.select(F.col("rep").alias("q"), F.col("v").alias("qv")), "q").join(reps.select(F.col("rep").alias("c"), F.col("v").alias("cv")), "c")
-    distance: Column = F.sqrt(F.aggregate(F.zip_with("qv", "cv", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    near = pairs.select("q", "c", distance.alias("score"))
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "c"))).where(F.col("r") <= k + 1)
+    wanted = cut_lineage(asked.select("rep").distinct())
+    turns = (-(-wanted.count() // ASKED), -(-n // CELL))  # blocks of queries and of vectors in the ranking
+    first = codes.join(wanted, "rep")
+    best = cut_lineage(_ranked(_search(codes, first, n, turns), reps, wanted, turns, k))
+    if reach is not None:
+        worst = best.groupBy(F.col("q").alias("rep")).agg(F.max("score").alias("score"), F.count("*").alias("hits"))
+
+        def widened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                score = batch.column(3).to_numpy(zero_copy_only=False)
+                known = ~np.isnan(score)
+                radius = np.full(len(score), BITS, dtype=np.int32)
+                radius[known] = radius_at(score[known], learned)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(radius)], names=["rep", "code", "radius", "wider"])
+
+        known = F.when(F.col("hits") >= min(k + 1, n), F.col("score"))
+        wide = first.join(worst, "rep", "left").select("rep", "code", "radius", F.coalesce(known, F.lit(float("nan"))).alias("score"))
+        wide = wide.mapInArrow(widened, "rep long, code binary, radius int, wider int").where("wider > radius")
+        wide = cut_lineage(wide.select("rep", "code", F.col("wider").alias("radius")))
+        if not wide.isEmpty():  # the wider radius holds what the first one did
+            again = _ranked(_search(codes, wide, n, turns), reps, wanted, turns, k)
+            best = best.join(wide.select(F.col("rep").alias("q")), "q", "left_anti").union(again)
     out = asked.select("query_id", F.col("rep").alias("q")).join(best.select("q", F.col("c").alias("rep"), "score"), "q").join(ids.select("rep", F.col("id").alias("vec_id")), "rep")
     out = out.where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return out.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def _search(codes: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """``(q, c)``: for every query all codes within its radius, by pigeonhole probing of the substring indexes."""
+def _search(codes: DataFrame, queries: DataFrame, n: int, turns: tuple[int, int]) -> DataFrame:
+    """``(qb, cb, pairs)``: for every query all codes within its radius, by pigeonhole probing of the substring indexes.
+
+    ``pairs`` holds two ids each, a query of block ``qb`` and a vector of block ``cb``.
+    """
     top = int(min(SUB, max(0, np.ceil(np.log2(max(1, n / CELL))))))  # leading bits of a substring that name its cell
     shift = SUB - top
     near = np.bitwise_count(np.arange(1 << top, dtype=np.uint32))
@@ -188,10 +235,66 @@ def _search(codes: DataFrame, queries: DataFrame, n: int) -> DataFrame:
                     a, b = a[kept], b[kept]
                     # a pair is reported by the first index that finds it
                     first = (ONES[qsub[i + a] ^ sub[b]] <= least[a][:, None]).argmax(axis=1) == part
-                    if first.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(qids[i + a[first]]), pa.array(ids[b[first]])], names=["q", "c"])
+                    q, c = qids[i + a[first]], ids[b[first]]
+                    if len(q):
+                        qb, cb = _block(q, turns[0]), _block(c, turns[1])
+                        order = np.lexsort((cb, qb))
+                        q, c, qb, cb = q[order], c[order], qb[order], cb[order]
+                        starts = np.flatnonzero(np.concatenate(([True], (qb[1:] != qb[:-1]) | (cb[1:] != cb[:-1]))))
+                        both = np.stack((q, c), axis=1).astype("<i8")
+                        packed = [both[x:y].tobytes() for x, y in zip(starts, [*starts[1:], len(q)], strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(qb[starts]), pa.array(cb[starts]), pa.array(packed, pa.binary())], names=["qb", "cb", "pairs"])
 
     pairs = asked.join(index, ["part", "cell"]).select("part", "ids", "codes", "qids", "qcodes", "radii")
-    return pairs.mapInArrow(compare, "q long, c long")
+    return pairs.mapInArrow(compare, "qb int, cb int, pairs binary")
+
 
+def _block(ids: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(U64)) % U64(blocks)).astype(np.int32)
+
+
+def _ranked(found: DataFrame, reps: DataFrame, wanted: DataFrame, turns: tuple[int, int], k: int) -> DataFrame:
+    """``(q, c, score)``: the ``k + 1`` nearest of the pairs found by ``_search``, ranked block by block.
+
+    A block hands on its own ``k + 1`` best of every query, so nothing that ranks among them is lost.
+    """
+    def placed(which: int):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                block = _block(batch.column(0).to_numpy(), turns[which])
+                yield pa.RecordBatch.from_arrays([pa.array(block), *batch.columns], names=["b", "id", "v"])
+
+        return run
 
+    pairs = cut_lineage(found)
+    met = cut_lineage(pairs.select("qb", "cb").distinct())
+    sides = []
+    for which, rows in enumerate((reps.join(wanted, "rep"), reps)):
+        key = ("qb", "cb")[which]
+        own = rows.select("rep", "v").mapInArrow(placed(which), "b int, id long, v array<double>").withColumnRenamed("b", key)
+        sides.append(own.join(met, key).select(F.col("qb").alias("qb"), F.col("cb").alias("cb"), F.lit(which).alias("side"), "id", "v"))
+
+    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, dtype=np.int64),) * 2 + (np.empty(0),)]
+        if left.num_rows:
+            q, c = np.frombuffer(b"".join(left.column("pairs").to_pylist()), dtype="<i8").reshape(-1, 2).T
+            side = right.column("side").to_numpy()
+            ids = right.column("id").to_numpy()
+            vectors = right.column("v").combine_chunks()
+            vectors = _matrix(vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors)
+            at = np.flatnonzero(side == 1)
+            at = at[np.argsort(ids[at])]
+            of = {int(i): x for i, x in zip(ids[side == 0], vectors[side == 0], strict=True)}
+            order = np.argsort(q, kind="stable")
+            q, c = q[order], c[order]
+            starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+            for x, y in zip(starts, [*starts[1:], len(q)], strict=True):
+                own = np.unique(c[x:y])
+                gap = vectors[at[np.searchsorted(ids[at], own)]] - of[int(q[x])]
+                score = np.sqrt((gap * gap).sum(axis=1))
+                best = np.lexsort((own, score))[: k + 1]
+                out.append((np.full(len(best), q[x]), own[best], score[best]))
+        return pa.table({name: np.concatenate([o[i] for o in out]) for i, name in enumerate(("q", "c", "score"))})
+
+    near = pairs.groupBy("qb", "cb").cogroup(sides[0].union(sides[1]).groupBy("qb", "cb")).applyInArrow(rank, "q long, c long, score double")
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "c"))).where(F.col("r") <= k + 1).select("q", "c", "score")
