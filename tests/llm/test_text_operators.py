@@ -286,6 +286,20 @@ def test_packing(odd):
         assert [o for o, _ in s] == list(np.cumsum([0] + [n for _, n in s[:-1]])) and sum(n for _, n in s) <= 1024
 
 
+@pytest.mark.parametrize("ids", ["sparse", "hashed", "none"])
+def test_packing_fills_sequences_of_any_ids(spark, ids):
+    """Short documents share sequences however their ids lie, and ids follow the order."""
+    make = {"sparse": lambda i: i * 4096, "hashed": lambda i: zlib.crc32(str(i).encode()) << 31 if i % 2 else -(zlib.crc32(str(i).encode()) << 31), "none": lambda i: None}[ids]
+    rows = [(make(i), "one short text of a few words" if ids == "none" else f"one short text of a few words, number {i}") for i in range(3000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tokenizer("byte_bpe_50k.json")).collect()
+    assert sum(r.start == 0 for r in got) == len(rows)
+    tokens = sum(r.length for r in got)
+    assert len({r.sequence_id for r in got}) <= tokens / 1024 * 1.2 + 16
+    assert collections.Counter(r.doc_id for r in got if r.start == 0) == collections.Counter(d for d, _ in rows)
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)) if r.doc_id is not None]
+    assert order == sorted(order)
+
+
 def test_window_cuts_are_best():
     """Against all plans of the documented kind over the same places."""
     rng = np.random.default_rng(1)

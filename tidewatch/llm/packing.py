@@ -1,6 +1,7 @@
 """Order-preserving packing of documents into sequences.
 
-Documents are read in id order, in blocks of ``BLOCK`` ids, and every block is packed on its own.  Inside a block dynamic
+Documents are read in order and cut into blocks of ``BLOCK`` rows, whatever the values of their ids, and every block is
+packed on its own.  Ranges of the order are dealt to partitions, whose rows are numbered.  Inside a block dynamic
 programming chooses the window cuts: at the end of a document for free, at the end of a sentence for a small penalty,
 after a full window anywhere for a larger one.  A window costs its padding (none if its length is a power of two) and a
 constant.  The best start of a window for the padded case is the smallest ``cost + position`` of the last ``limit``
@@ -22,10 +23,10 @@ from tidewatch.llm.common import only, slices
 from tidewatch.llm.encode import encoder
 
 LIMIT = 1024
-BLOCK = 512  # ids per block
+BLOCK = 512  # rows per block
 FLUSH = 1 << 20  # tokens of a block that are planned at once
 SENTENCE_COST, TRUNCATION_COST, WINDOW_COST = 2, 6, 8
-LOCAL_BITS = 21  # sequences per block that an id has room for
+LOCAL_BITS = 40  # sequences per partition that an id has room for
 
 
 def window_cuts(ends: np.ndarray, costs: np.ndarray, limit: int = LIMIT) -> list[int]:
@@ -87,7 +88,7 @@ class _Block:
     """Tokens of a block that wait for their plan."""
 
     def __init__(self, base: int, limit: int):
-        self.base, self.limit, self.local = base, limit, 0
+        self.base, self.limit, self.local, self.rows = base, limit, 0, 0
         self.clear()
 
     def clear(self) -> None:
@@ -97,6 +98,7 @@ class _Block:
         self.size = 0
 
     def add(self, doc: int | None, ids: np.ndarray, ends: np.ndarray) -> None:
+        self.rows += 1
         self.docs.append((doc, len(ids), 0))
         self.ids.append(ids)
         self.ends.append(ends + self.size)
@@ -124,7 +126,7 @@ class _Block:
                 d += here == stops[d]
             self.local += 1
             if self.local >> LOCAL_BITS:
-                raise OverflowError(f"more than {1 << LOCAL_BITS} sequences in a block of {BLOCK} ids")
+                raise OverflowError(f"more than {1 << LOCAL_BITS} sequences in a partition")
         self.clear()
         return out
 
@@ -133,21 +135,20 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     """``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)``, one row per piece of a document.
 
     A document's ids are those of its text and ``end_id``; a null or empty text is ``end_id`` alone.  Documents follow each
-    other by id, equal ids by the hash of their text, so repeated rows are packed one by one.  Rows without id come in
-    blocks of their own.  Other columns are ignored, an empty table gives no rows.  ``sequence_id`` is unique and ascends
-    with the ids.
+    other by id, equal ids by the hash of their text, so repeated rows are packed one by one.  Rows without id come first.
+    Other columns are ignored, an empty table gives no rows.  ``sequence_id`` is unique and ascends with the ids.
     """
     rows = only(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long"))
-    spread = F.pmod(F.xxhash64("text"), F.lit(1024)) - F.lit(1 << 41)
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("id") / F.lit(BLOCK)).cast("long"), spread))
-    ordered = rows.repartition("block").sortWithinPartitions("block", "id", F.xxhash64("text")).select("id", "block", "text")
+    # the last key parts rows that are equal in all else, so that many copies are no single task
+    keys = ["id", F.xxhash64("text"), "copy"]
+    rows = rows.withColumn("copy", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", F.spark_partition_id().cast("long").alias("range"), "text")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, True)
         stops = sentence_stops(enc.tokenizer)
         block: _Block | None = None
-        number = None
 
         def out(pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
             if pieces:
@@ -157,10 +158,11 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             for part, data, offsets in slices(batch):
                 ids, firsts = enc.encode(data, offsets)
                 for d, (doc, own) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
-                    if own != number:
-                        if block is not None:
-                            yield from out(block.pack())
-                        block, number = _Block(own << LOCAL_BITS, limit), own
+                    if block is None:
+                        block = _Block(own << LOCAL_BITS, limit)
+                    elif block.rows == BLOCK:
+                        yield from out(block.pack())
+                        block.rows = 0
                     tokens = np.append(ids[firsts[d] : firsts[d + 1]], np.uint32(end_id))
                     block.add(doc, tokens, np.flatnonzero(stops[tokens]) + 1)
                     if block.size >= FLUSH:
