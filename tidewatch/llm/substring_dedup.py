@@ -1,9 +1,9 @@
 """Repeated 13-word passages across documents.
 
-The suffixes of all texts are grouped by a prefix and each group's nodes of depth 13 give the repeats; overlapping nodes
-of one document join to its maximal repeats.  Two things keep this within memory and disk.  Only suffixes near a winnowed
-5-word prefix that occurs in two documents get past the first step (every 13-word run holds such a prefix), and a prefix
-that is frequent is extended to the full 13 words, so that a group is one node with one row per slice of documents.
+No suffix trees are built.  Winnowed anchors of five words find where texts meet (every 13-word run holds one), and around
+anchors that occur in two documents all 13-word windows are hashed whole and joined; overlapping windows of one document
+join to its maximal repeats.  Every shared anchor takes this path, whatever its frequency, with one row per distinct
+window of a slice of documents.
 """
 
 from __future__ import annotations
