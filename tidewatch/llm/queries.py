@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, language, line_dedup, near_dedup, nearest, packing, pii, substring_dedup, token_files, toxicity
+from tidewatch.llm import decontamination, language, line_dedup, near_dedup, nearest, packing, pii, simhash, substring_dedup, token_files, toxicity
 from tidewatch.llm.common import held, table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest vectors of every hundredth."""
     return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_simhash")
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, and groups of those at most two bits apart."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
