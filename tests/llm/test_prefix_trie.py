@@ -79,10 +79,8 @@ def test_query_against_sql(spark, data_dir):
 
 
 @pytest.mark.parametrize("size", [1, 7, 60, 1 << 18])
-def test_blocks_of_any_size(spark, monkeypatch, size):
+def test_blocks_of_any_size(spark, size):
     """Copies, shared starts, long chains and turnless conversations over many small blocks."""
-    monkeypatch.setattr(prefix_trie, "BLOCK", size)
-    monkeypatch.setattr(prefix_trie, "PIECE", 3)
     rng = random.Random(size)
     convs = {}
     for c in range(400):
@@ -97,7 +95,7 @@ def test_blocks_of_any_size(spark, monkeypatch, size):
             convs[c * 7] = [("user" if i % 2 else "system", rng.choice("abc")) for i in range(rng.randrange(7))]
     rows = [(c, [(hashlib.md5(repr(t).encode()).digest(), len(t[1])) for t in turns]) for c, turns in convs.items()]
     df = spark.createDataFrame(rows, "id long, turns array<struct<key: binary, size: int>>").repartition(5)
-    assert result(prefix_trie.nodes(df)) == plain(convs)
+    assert result(prefix_trie.nodes(df, block_turns=size, piece=3)) == plain(convs)
 
 
 def test_odd(spark):

@@ -83,7 +83,7 @@ def test_sorted_list_finds_all(words, m):
     for i, w in enumerate(words):
         codes[i, : len(w)] = list(w.encode("latin-1"))
     border = np.arange(len(words)) == 0
-    q, t = spelling.one_edit(codes, np.array([len(w) for w in words]), border, m)
+    q, t = spelling.one_edit(codes, np.array([len(w) for w in words]), border, m, most=3)
     got = sorted(zip(q.tolist(), t.tolist(), strict=True))
     assert got == [(i, j) for i, u in enumerate(words) for j, v in enumerate(words) if len(u) == m and one_apart(u, v)]
 
@@ -104,7 +104,6 @@ def test_query_against_sql(spark, data_dir):
 def test_groups_of_any_size(spark, monkeypatch, limit):
     """Dense words, repeated letters and long ones; with a small limit every group is cut to its end."""
     monkeypatch.setattr(spelling, "LIMIT", limit)
-    monkeypatch.setattr(spelling, "ROWS", 50)
     rng = random.Random(limit)
     words = {"".join(rng.choice("abÿ") for _ in range(rng.randrange(5, 9))): rng.randrange(3, 60) for _ in range(500)}
     words |= {"a" * k: 3 * k for k in range(5, 12)}

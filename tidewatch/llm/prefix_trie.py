@@ -16,7 +16,7 @@ text and one task streams the pieces of a node.  A conversation's turn keys (20
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +114,7 @@ def _names(keys: np.ndarray) -> list[bytes]:
     return out
 
 
-def block(ids: np.ndarray, length: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+def block(ids: np.ndarray, length: np.ndarray, keys: np.ndarray, sizes: np.ndarray, piece: int = PIECE) -> pa.RecordBatch:
     """Nodes of a sorted block: whole ones, parts of open ones, and pieces of the ids that end at open ones."""
     n = len(ids)
     first = np.cumsum(length) - length
@@ -140,6 +140,9 @@ def block(ids: np.ndarray, length: np.ndarray, keys: np.ndarray, sizes: np.ndarr
     behind = start[right + 1]
     total = lambda x: (c := np.concatenate(([0], np.cumsum(x))))[behind] - c[:-1]
     leaves, saved = total(leaf), total(saved)
+    top = np.flatnonzero(whole)[is_open[parent[whole]]]  # an open node sums up what hangs on itself, not on open nodes below
+    for x in (leaves, saved):
+        x[is_open] = np.bincount(parent[top], weights=x[top], minlength=len(row))[is_open]
     names: dict[int, bytes] = {}
     for r in (n - 1, 0):
         chain = _names(keys[first[r] : first[r] + length[r]])
@@ -152,7 +155,7 @@ def block(ids: np.ndarray, length: np.ndarray, keys: np.ndarray, sizes: np.ndarr
     for a, b in zip(heads.tolist(), tails.tolist(), strict=True):
         c = int(start[a + 1]) - 1
         if is_open[c]:
-            pieces += [(names[c], int(ids[k]), ",".join(map(str, ids[k : min(b, k + PIECE)].tolist()))) for k in range(a, b, PIECE)]
+            pieces += [(names[c], int(ids[k]), ",".join(map(str, ids[k : min(b, k + piece)].tolist()))) for k in range(a, b, piece)]
         else:
             ends[c] = hashlib.sha256(",".join(map(str, ids[a:b].tolist())).encode()).hexdigest()
     count = len(row)
@@ -173,31 +176,30 @@ def block(ids: np.ndarray, length: np.ndarray, keys: np.ndarray, sizes: np.ndarr
     )
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    weight = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
+def _blocks(most: int, piece: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        weight = 0
+        whole = lambda: block(*(np.concatenate(x) for x in zip(*held, strict=True)), piece)
+        for batch in batches:
+            at = 0
+            ids, keys, sizes = batch.columns
+            lengths = np.diff(keys.offsets.to_numpy()).astype(np.int64)
+            while at < batch.num_rows:
+                room = int(np.searchsorted(np.cumsum(lengths[at:] + 1), most - weight, side="right"))
+                if not room and held:
+                    yield whole()
+                    held, weight = [], 0
+                    continue
+                to = at + max(room, 1)
+                flat = np.frombuffer(b"".join(keys.slice(at, to - at).flatten().to_pylist()), dtype="<u8").reshape(-1, 2)
+                held.append((ids.slice(at, to - at).to_numpy(), lengths[at:to], flat, sizes.slice(at, to - at).flatten().to_numpy().astype(np.int64)))
+                weight += int(lengths[at:to].sum()) + to - at
+                at = to
         if held:
-            yield block(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield whole()
 
-    for batch in batches:
-        at = 0
-        ids, keys, sizes = batch.columns
-        lengths = np.diff(keys.offsets.to_numpy()).astype(np.int64)
-        while at < batch.num_rows:
-            room = int(np.searchsorted(np.cumsum(lengths[at:] + 1), BLOCK - weight, side="right"))
-            if not room and held:
-                yield from flush()
-                held, weight = [], 0
-                continue
-            to = at + max(room, 1)
-            own = keys.slice(at, to - at).flatten().to_pylist()
-            flat = np.frombuffer(b"".join(own), dtype="<u8").reshape(-1, 2)
-            held.append((ids.slice(at, to - at).to_numpy(), lengths[at:to], flat, sizes.slice(at, to - at).flatten().to_numpy().astype(np.int64)))
-            weight += int(lengths[at:to].sum()) + to - at
-            at = to
-    yield from flush()
+    return run
 
 
 def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,17 +233,18 @@ def _subtree_sums(nodes: DataFrame, hint) -> DataFrame:
     return now.drop("up")
 
 
-def nodes(convs: DataFrame) -> DataFrame:
+def nodes(convs: DataFrame, block_turns: int = BLOCK, piece: int = PIECE) -> DataFrame:
     """One row per distinct prefix of the conversations ``(id, turns)``, ids distinct: the nodes of their trie.
 
     ``conv_id`` smallest member, ``depth`` turns (0 for the root), ``parent_conv_id`` the parent's ``conv_id`` (root: null),
     ``n_convs`` members, ``n_children``, ``n_leaves`` childless nodes of the subtree (itself included), ``saved_tokens`` code
     points of last turns that the subtree's members need not repeat, ``ends_sha256`` of the ids that end at the node.
-    Conversations without turns are members of the root; an empty table has no nodes.
+    Conversations without turns are members of the root; an empty table has no nodes.  ``block_turns`` bounds what a task
+    holds at once, ``piece`` the ids in a row of text; neither changes the result.
     """
     split = convs.select("id", F.col("turns.key").alias("keys"), F.col("turns.size").alias("sizes"))
     ordered = split.repartitionByRange("keys", "id").sortWithinPartitions("keys", "id")
-    parts = cut_lineage(ordered.mapInArrow(_blocks, PARTS))
+    parts = cut_lineage(ordered.mapInArrow(_blocks(block_turns, piece), PARTS))
     part = parts.where(F.col("kind") == OPEN)
     total = lambda *cs: [F.sum(c).alias(c) for c in cs]
     merged = part.groupBy("key").agg(

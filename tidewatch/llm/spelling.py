@@ -118,11 +118,11 @@ def groups(words: DataFrame) -> DataFrame:
         now = _refined(now.join(large, list(GROUP), "left_semi"))
 
 
-def one_edit(codes: np.ndarray, length: np.ndarray, border: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+def one_edit(codes: np.ndarray, length: np.ndarray, border: np.ndarray, m: int, most: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """``(query, other)`` rows exactly one edit apart inside their group.
 
     ``codes`` holds the sorted words of length ``m`` or ``m + 1`` in rows, two columns wider than ``m``, with zeros behind
-    the words; ``border`` marks the first row of every group.  The rows of length ``m`` are the queries.
+    the words; ``border`` marks the first row of every group.  The rows of length ``m`` are the queries, ``most`` at a time.
     """
     n = len(codes)
     differ = codes[1:] != codes[:-1]
@@ -132,8 +132,8 @@ def one_edit(codes: np.ndarray, length: np.ndarray, border: np.ndarray, m: int)
     group = np.cumsum(border) - 1
     found: list[tuple[np.ndarray, np.ndarray]] = []
     asked = np.flatnonzero(length == m)
-    for k in range(0, len(asked), ROWS):
-        q = asked[k : k + ROWS]
+    for k in range(0, len(asked), most):
+        q = asked[k : k + most]
         low, high = starts[group[q]], starts[group[q] + 1]
         band = [np.full(len(q), x, dtype=np.int8) for x in (FAR, 0, 1)]
         for d in range(m + 1):
