@@ -107,6 +107,7 @@ def purge_partitions(spark: SparkSession, path: str, ts: str, now, days: int, pa
     import pandas as pd
 
     from tidewatch.session import cut_lineage
+    from tidewatch.sources import folders
     from tidewatch.sources.storage import read_text_keys
 
     df = read_text_keys(spark, path, partition_by)
@@ -119,13 +120,5 @@ def purge_partitions(spark: SparkSession, path: str, ts: str, now, days: int, pa
     staged = cut_lineage(df.filter(~old).select("*", folder).join(hit.select("__folder"), "__folder", "left_semi"))
     empty = hit.join(staged.select("__folder").distinct(), "__folder", "left_anti").select("__folder")
     staged.drop("__folder").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
-    _drop_folders(spark, empty)
+    folders.drop(spark, (r["__folder"] for r in empty.toLocalIterator()), encoded=True)
     return count
-
-
-def _drop_folders(spark: SparkSession, folders: DataFrame) -> None:
-    """Remove the folders of partitions that have no row left (names, not data; one at a time on the driver)."""
-    jvm = spark._jvm
-    for row in folders.toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["__folder"]))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidewatch.operators import archive as A
 from tidewatch.operators import catalog as K
 from tidewatch.operators import lineage as G
 from tidewatch.operators import retention as T
@@ -761,3 +762,52 @@ def storage_retrieve_text_key(t):
     rows = t.events.withColumn("code", F.expr("CASE event_id % 3 WHEN 0 THEN '7' WHEN 1 THEN '007' ELSE NULL END"))
     S.store(rows, path, "metrics", "hot", "ts", {"type": "field", "field": "code"})
     return S.retrieve(t.spark, path, "hot", "metrics", "ts", key="007").select("event_id", "value")
+
+
+# ---- archive: a move at two times, then a purge by policy ----
+
+FIRST_MOVE = "1996-01-01"
+MOVED_SQL = f"""{POLICY_SQL}, m AS (SELECT o_orderkey, source_id, ts < TIMESTAMP '{RET_NOW}' - to_days(hot) AS moved, ts < TIMESTAMP '{FIRST_MOVE}' - to_days(hot) AS early, archival, cleanup, warm, cold
+  FROM r LEFT JOIN policies USING (source_id))"""
+
+
+def archived(t, *times):
+    """Orders as a hot table by source and year, moved by policy at each of the times."""
+    base = scratch(t.spark)
+    rows = records(t).withColumn("year", F.year(F.col("ts").cast("timestamp")))
+    rows.hint("rebalance", F.col("source_id")).write.partitionBy("source_id", "year").parquet(f"{base}/hot")
+    for now in times:
+        A.archive(t.spark, base, POLICIES, F.lit(now).cast("timestamp"), ["source_id", "year"])
+    return base
+
+
+def tiers(t, base):
+    """What each tier holds, with the rows as they are stored there."""
+    parts = [A.read_tier(t.spark, base, k, ["source_id", "year"]).select(F.lit(k).alias("tier"), "o_orderkey", "source_id", stamp("ts").alias("ts")) for k in ("hot", "warm", "cold")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "retention_archive_move",
+    f"""WITH {MOVED_SQL}, k AS (SELECT 'hot' AS tier, o_orderkey FROM m WHERE NOT coalesce(moved, false) UNION ALL SELECT 'warm', o_orderkey FROM m WHERE moved
+      UNION ALL SELECT 'cold', o_orderkey FROM m WHERE moved AND archival)
+    SELECT tier, o_orderkey, source_id, {stamp_sql("ts")} AS ts FROM k JOIN r USING (o_orderkey)""",
+)
+def retention_archive_move(t):
+    """All tiers after one move."""
+    return tiers(t, archived(t, RET_NOW))
+
+
+@query(
+    "retention_purge_by_policy",
+    f"""WITH {MOVED_SQL}, k AS (SELECT 'hot' AS tier, o_orderkey FROM m WHERE NOT coalesce(moved, false)
+      UNION ALL SELECT 'warm', o_orderkey FROM m WHERE moved AND NOT (cleanup AND early AND TIMESTAMP '{FIRST_MOVE}' < TIMESTAMP '{RET_NOW}' - to_days(warm))
+      UNION ALL SELECT 'cold', o_orderkey FROM m WHERE moved AND archival AND NOT (cleanup AND early AND TIMESTAMP '{FIRST_MOVE}' < TIMESTAMP '{RET_NOW}' - to_days(cold)))
+    SELECT tier, o_orderkey, source_id, {stamp_sql("ts")} AS ts FROM k JOIN r USING (o_orderkey)""",
+)
+def retention_purge_by_policy(t):
+    """All tiers after two moves and a purge of warm and cold by policy."""
+    base = archived(t, FIRST_MOVE, RET_NOW)
+    for tier in ("warm", "cold"):
+        A.purge_by_policy(t.spark, base, tier, POLICIES, ret_now())
+    return tiers(t, base)

@@ -69,12 +69,24 @@ def store_by_tier(df: DataFrame, base: str, data_type: str, tier_column: str, ts
     return df.filter(~F.coalesce(quoted(tier_column).isin(*TIERS), F.lit(False)))
 
 
+INFER = "spark.sql.sources.partitionColumnTypeInference.enabled"
+
+
 def read_text_keys(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """A partitioned table whose ``keys`` are read as the text in the folder names: ``007`` stays apart from ``7``."""
-    found = spark.read.parquet(path).schema
-    return spark.read.schema(
-        T.StructType([T.StructField(f.name, T.StringType() if f.name in keys else f.dataType) for f in found])
-    ).parquet(path)
+    """A Parquet table partitioned by ``keys``, which are read as the text in the folder names: ``007`` stays apart from ``7``.
+
+    The folders are listed once; types are not guessed from their names.
+    """
+    before = spark.conf.get(INFER)
+    spark.conf.set(INFER, "false")
+    try:
+        df = spark.read.parquet(path)
+    finally:
+        spark.conf.set(INFER, before)
+    other = [f.name for f in df.schema if f.name in keys and not isinstance(f.dataType, T.StringType)]
+    if other:
+        raise ValueError(f"{other} are no partition columns of {path}")
+    return df
 
 
 def retrieve(
