@@ -222,3 +222,14 @@ def short_rows(df: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:
     short = short.select(*[quoted(k).alias(f"__k{i}") for i, k in enumerate(keys)])
     same = reduce(and_, [quoted(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
     return df.join(short, same, "left_semi")
+
+
+def last_rows_or_all(
+    df: DataFrame, ts: str, size: int, wanted: Mapping[str, tuple[str, str]], keys: Sequence[str], tiebreak: Sequence[str] = ()
+) -> DataFrame:
+    """``last_rows_aggregate`` and, in the same result, the rows of keys with fewer than ``size`` rows unchanged.
+
+    ``is_aggregate`` tells them apart; columns of the other kind are null.
+    """
+    made = last_rows_aggregate(df, ts, size, wanted, keys, tiebreak).withColumn("is_aggregate", F.lit(True))
+    return made.unionByName(short_rows(df, size, keys).withColumn("is_aggregate", F.lit(False)), allowMissingColumns=True)

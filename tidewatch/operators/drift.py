@@ -109,19 +109,29 @@ def statistical(
     )
 
 
+KINDS = {"n": F.count, "mean": F.avg, "std": F.stddev_pop, "skew": F.skewness, "kurtosis": F.kurtosis}
+
+
+def side_moments(values: DataFrame, side: str, keys: Sequence[str] = ("feature",)) -> DataFrame:
+    """Moments of ``value`` per key, in columns named after the side."""
+    return values.groupBy(*keys).agg(*[fn(number("value")).alias(f"{side}_{k}") for k, fn in KINDS.items()])
+
+
 def distribution(
     sides: DataFrame, threshold: float = 0.05, min_samples: int = 100, keys: Sequence[str] = ("feature",)
 ) -> DataFrame:
     """Drift by moments: relative change of mean and std, absolute change of skewness and kurtosis."""
     x = number("value")
-    kinds = {"n": F.count, "mean": F.avg, "std": F.stddev_pop, "skew": F.skewness, "kurtosis": F.kurtosis}
 
     def side(name: str) -> Column:
         return F.when(F.col("side") == name, x)
 
-    s = sides.groupBy(*keys).agg(*[
-        fn(side(name)).alias(f"{name}_{k}") for name in (BASELINE, CURRENT) for k, fn in kinds.items()
-    ])
+    s = sides.groupBy(*keys).agg(*[fn(side(name)).alias(f"{name}_{k}") for name in (BASELINE, CURRENT) for k, fn in KINDS.items()])
+    return score_moments(s, threshold, min_samples, keys)
+
+
+def score_moments(s: DataFrame, threshold: float, min_samples: int, keys: Sequence[str]) -> DataFrame:
+    """Drift of rows that hold the moments of both sides."""
 
     def change(k: str) -> Column:
         return F.abs(F.col(f"{CURRENT}_{k}") - F.col(f"{BASELINE}_{k}"))

@@ -194,6 +194,18 @@ def agg_last_rows_short_keys(t):
     return A.short_rows(t.events, 50, ["user_id"]).select("event_id", "user_id", "value")
 
 
+@query(
+    "agg_last_rows_or_all",
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS c FROM events)
+    SELECT true AS is_aggregate, user_id, NULL::BIGINT AS event_id, NULL::DOUBLE AS value, round(avg(value), 6) AS mean_value FROM r WHERE rn <= 50 AND c >= 50 GROUP BY user_id
+    UNION ALL SELECT false, user_id, event_id, round(value, 6), NULL FROM r WHERE c < 50""",
+)
+def agg_last_rows_or_all(t):
+    """Full windows as aggregates, the rows of short ones unchanged, in one result."""
+    out = A.last_rows_or_all(t.events, "ts", 50, {"mean_value": ("average", "value")}, ["user_id"], ["event_id"])
+    return tidy(out.select("is_aggregate", "user_id", "event_id", "value", "mean_value"))
+
+
 @query(
     "agg_last_rows_global",
     """WITH l AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500)

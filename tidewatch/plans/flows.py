@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import features
+from tidewatch.operators import drift, features
 from tidewatch.plans.registry import ORACLES, query, stamp, tidy
 from tidewatch.plans.tables import scratch
+from tidewatch.sources.readers import Source, stream_files
+from tidewatch.streaming import stateful as Z
 from tidewatch.streaming import streams as X
 
 
@@ -14,11 +16,28 @@ def event_stream(t):
     return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.path)
 
 
+WEEK = "least(day(ts) {div} 8, 3)"  # the events lie in one month
+
+
+def batch_stream(t, rows, batch, n):
+    """``rows`` as a stream of ``n`` micro-batches, by the number in the column expression ``batch``."""
+    path = scratch(t.spark)
+    numbered = rows.withColumn("__batch", F.expr(batch))
+    for i in range(n):  # the stream takes files in the order they were written
+        numbered.where(F.col("__batch") == i).drop("__batch").coalesce(1).write.mode("append").parquet(f"{path}/{i}")
+    return stream_files(t.spark, Source("events", f"{path}/*", "parquet", rows.schema), files_per_trigger=1)
+
+
 def finish(writer) -> None:
     run = writer.start()
     run.awaitTermination()
 
 
+def timed_stream(t):
+    """The events with a time that can carry a watermark."""
+    return event_stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def config(t, name, **options):
     base = scratch(t.spark)
     return X.StreamConfig(f"{name}_{base[-8:]}", f"{base}/progress", **options), f"{base}/out"
@@ -70,11 +89,11 @@ def stream_bad_json(t):
     FROM events GROUP BY 1, 2""",
 )
 def stream_window_aggregate(t):
-    cfg, path = config(t, "window", output_mode="complete")
+    cfg, path = config(t, "window", output_mode="update")
     aggs = [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")]
-    out = X.window_aggregate(event_stream(t), "ts", "1 hour", ["event_type"], aggs)
-    finish(X.each_batch(out, cfg, lambda df, batch: df.write.mode("overwrite").parquet(path)))
-    back = t.spark.read.parquet(path)
+    out = X.window_aggregate(timed_stream(t), "ts", "1 hour", ["event_type"], aggs, watermark="1 day")
+    finish(X.each_batch(out, cfg, lambda df, batch: X.write_batch(df, path, batch)))
+    back = X.newest_windows(t.spark.read.parquet(path), ["event_type"])
     return back.select(stamp("window_start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -84,10 +103,10 @@ def stream_window_aggregate(t):
     FROM events GROUP BY 1, 2""",
 )
 def stream_rates(t):
-    cfg, path = config(t, "rates", output_mode="complete")
-    out = X.stream_rates(event_stream(t), "ts", "event_type", 86400)
-    finish(X.each_batch(out, cfg, lambda df, batch: df.write.mode("overwrite").parquet(path)))
-    return tidy(t.spark.read.parquet(path), 9)
+    cfg, path = config(t, "rates", output_mode="update")
+    out = X.stream_rates(timed_stream(t), "ts", "event_type", 86400, "1 day")
+    finish(X.each_batch(out, cfg, lambda df, batch: X.write_batch(df, path, batch)))
+    return tidy(X.newest_windows(t.spark.read.parquet(path), ["event_type"]), 9)
 
 
 @query("stream_deduplicate", "SELECT DISTINCT user_id FROM events")
@@ -170,3 +189,139 @@ def stream_features(t):
     cfg, path = config(t, "features")
     finish(X.each_batch(event_stream(t), cfg, X.features_per_batch(path, lambda df: features.apply_steps(df, steps))))
     return tidy(t.spark.read.parquet(path).select("event_id", "ts_hour", "value_user_id_interaction"), 4)
+
+
+LATE_SQL = """WITH b AS (SELECT *, CASE WHEN event_id % 50 = 0 THEN 3 WHEN ts < TIMESTAMP '2024-01-20' THEN 0 WHEN event_id % 50 = 1 THEN 2 ELSE 1 END AS batch FROM events),
+  w AS (SELECT batch, date_trunc('hour', ts) AS w, event_type FROM b), m AS (SELECT max(ts) - INTERVAL 2 DAY AS closed FROM b WHERE batch < 2)"""
+
+
+@query(
+    "stream_late_rows",
+    f"""{LATE_SQL}, kept AS (SELECT w, event_type FROM w, m WHERE batch < 3 OR w + INTERVAL 1 HOUR > closed)
+    SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM kept
+    WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY 1, 2""",
+)
+def stream_late_rows(t):
+    """Windows that the watermark has closed; rows that come two days late are dropped, those inside the two days count.
+
+    A row in fifty comes last.  Lateness is judged by the watermark of the micro-batch before, hence the third one.
+    """
+    cfg, path = config(t, "late")
+    batch = "CASE WHEN event_id % 50 = 0 THEN 3 WHEN ts < TIMESTAMP_NTZ '2024-01-20' THEN 0 WHEN event_id % 50 = 1 THEN 2 ELSE 1 END"
+    rows = batch_stream(t, t.events, batch, 4).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = X.window_aggregate(rows, "ts", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n")], watermark="2 days")
+    finish(X.store_events(out, cfg, path))
+    return tidy(t.spark.read.parquet(path).select("window_start", "event_type", "n"))
+
+
+@query(
+    "stream_late_count",
+    f"""{LATE_SQL} SELECT batch::BIGINT AS batch_id, count(*) AS total_events, 0::BIGINT AS error_count FROM b GROUP BY 1""",
+)
+def stream_late_count(t):
+    """What each micro-batch of the stream with late rows read, from the log of its listener."""
+    cfg, path = config(t, "latecount")
+    batch = "CASE WHEN event_id % 50 = 0 THEN 3 WHEN ts < TIMESTAMP_NTZ '2024-01-20' THEN 0 WHEN event_id % 50 = 1 THEN 2 ELSE 1 END"
+    rows = batch_stream(t, t.events, batch, 4).withColumn("ts", F.col("ts").cast("timestamp"))
+    seen = Z.observed(rows, "events", "ts")
+    out = X.window_aggregate(seen, "ts", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n")], watermark="2 days")
+    with Z.MetricsLog(t.spark, f"{path}_log"):
+        finish(X.store_events(out, cfg, path))
+    return t.spark.read.parquet(f"{path}_log").select("batch_id", "total_events", "error_count")
+
+
+@query(
+    "stream_metrics",
+    f"""WITH p AS (SELECT (event_id % 4)::BIGINT AS batch_id, ts, {BAD} AS p FROM events),
+    b AS (SELECT batch_id, count(*) AS total_events, count(*) FILTER (NOT json_valid(p)) AS error_count, max(ts) AS newest FROM p WHERE p IS NOT NULL GROUP BY 1)
+    SELECT batch_id, total_events, error_count, strftime(newest, '%Y-%m-%d %H:%M:%S') AS newest_event, true AS timed FROM b""",
+)
+def stream_metrics(t):
+    """Events, bad events and newest time of every micro-batch, written by the listener."""
+    cfg, path = config(t, "metrics")
+    rows = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.expr(BAD).alias("payload")).where("payload is not null")
+    parsed = X.parse_json(batch_stream(t, rows, "event_id % 4", 4), "k bigint")
+    seen = Z.observed(parsed, "metrics", "ts", F.col("is_bad"))
+    with Z.MetricsLog(t.spark, f"{path}_log"):
+        finish(X.store_events(X.good_events(seen).select("event_id", "data.k"), cfg, path))
+    log = t.spark.read.parquet(f"{path}_log")
+    return tidy(log.select("batch_id", "total_events", "error_count", "newest_event", (F.col("latency_ms") > 0).alias("timed")))
+
+
+@query(
+    "stream_last_values",
+    """WITH r AS (SELECT user_id, event_id, value, ts, least(day(ts) // 8, 3) AS b, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'error'),
+    e AS (SELECT user_id, b, max(rn) AS upto FROM r GROUP BY 1, 2)
+    SELECT user_id::VARCHAR AS user_id, true AS is_aggregate, NULL::BIGINT AS event_id, NULL::DOUBLE AS value,
+           round((SELECT avg(value) FROM r WHERE r.user_id = e.user_id AND r.rn > e.upto - 8 AND r.rn <= e.upto), 6) AS value_average FROM e WHERE upto >= 8
+    UNION ALL SELECT user_id::VARCHAR, false, event_id, round(value, 6), NULL FROM r JOIN e USING (user_id, b) WHERE upto < 8""",
+)
+def stream_last_values(t):
+    """Mean of each user's last eight errors after every week; until there are eight the rows pass."""
+    Z.use_rocksdb(t.spark)
+    cfg, path = config(t, "ring")
+    rows = t.events.where("event_type = 'error'").select("user_id", "event_id", "value", F.col("ts").cast("timestamp").alias("ts"))
+    out = Z.last_values_aggregate(batch_stream(t, rows, WEEK.format(div="div"), 4), "user_id", "ts", "value", 8, "average")
+    finish(X.store_events(out, cfg, path))
+    back = t.spark.read.parquet(path).withColumn("event_id", F.expr("CASE WHEN NOT is_aggregate THEN event_id END"))
+    return tidy(back.select("user_id", "is_aggregate", "event_id", "value", "value_average"))
+
+
+@query(
+    "stream_drift_window",
+    f"""WITH base AS (SELECT event_type AS f, count(*) AS n, avg(value) AS m, stddev_pop(value) AS s FROM events WHERE ts < TIMESTAMP '2024-01-10' GROUP BY 1),
+    r AS (SELECT event_type AS f, value, {WEEK.format(div="//")} AS b, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+    e AS (SELECT f, b, max(rn) AS upto FROM r GROUP BY 1, 2),
+    w AS (SELECT f, e.b, count(*) AS n, avg(value) AS m, stddev_pop(value) AS s FROM e JOIN r USING (f) WHERE e.upto >= 120 AND r.rn > e.upto - 150 AND r.rn <= e.upto GROUP BY f, e.b)
+    SELECT f AS feature, base.n AS n_baseline, w.n AS n_current, round(abs(w.m - base.m) / (base.s + 1e-8), 6) AS mean_diff, round(abs(w.s - base.s) / (base.s + 1e-8), 6) AS std_diff FROM w JOIN base USING (f)""",
+)
+def stream_drift_window(t):
+    """Drift of each type's last 150 values after every week; together the weeks reach the gate of 120 values."""
+    Z.use_rocksdb(t.spark)
+    baseline = t.events.filter(F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")).select(F.col("event_type").alias("feature"), "value")
+    cfg, path = config(t, "driftwindow")
+    rows = t.events.select(F.col("event_type").alias("feature"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    out = Z.window_drift(batch_stream(t, rows, WEEK.format(div="div"), 4), baseline, "ts", 150, min_samples=120)
+    finish(X.store_events(out, cfg, path))
+    return tidy(t.spark.read.parquet(path).select("feature", "n_baseline", "n_current", "mean_diff", "std_diff"))
+
+
+@query(
+    "stream_drift_hot_keys",
+    """WITH base AS (SELECT event_type AS f, count(*) AS n, avg(value) AS m, stddev_pop(value) AS s FROM events WHERE ts < TIMESTAMP '2024-01-10' GROUP BY 1),
+    r AS (SELECT event_type AS f, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events),
+    w AS (SELECT f, count(*) AS n, avg(value) AS m, stddev_pop(value) AS s FROM r WHERE rn <= 150 GROUP BY 1)
+    SELECT f AS feature, base.n AS n_baseline, w.n AS n_current, round(abs(w.m - base.m) / (base.s + 1e-8), 6) AS mean_diff, round(abs(w.s - base.s) / (base.s + 1e-8), 6) AS std_diff FROM w JOIN base USING (f)""",
+)
+def stream_drift_hot_keys(t):
+    """The same windows as a table between micro-batches, for types with most of the rows; the result of the last one."""
+    baseline = t.events.filter(F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")).select(F.col("event_type").alias("feature"), F.lit("baseline").alias("side"), "value")
+    cfg, path = config(t, "drifttable")
+    rows = t.events.select(F.col("event_type").alias("feature"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    then = lambda held: drift.distribution(baseline.unionByName(held.select("feature", F.lit("current").alias("side"), "value")))
+    fn = Z.last_rows_state(path, f"{path}_state", ["feature"], "ts", 150, then, ["event_id"])
+    finish(X.each_batch(batch_stream(t, rows, WEEK.format(div="div"), 4), cfg, fn))
+    last = t.spark.read.parquet(f"{path}/batch_id=3")
+    return tidy(last.select("feature", "n_baseline", "n_current", "mean_diff", "std_diff"))
+
+
+ACTED_SQL = """WITH raised AS (SELECT event_id, ts FROM events WHERE event_type = 'error'),
+  acted AS (SELECT event_id, ts + CASE event_id % 3 WHEN 0 THEN INTERVAL 10 MINUTE ELSE INTERVAL 90 MINUTE END AS ts FROM raised WHERE event_id % 3 < 2),
+  seen AS (SELECT max(ts) - INTERVAL 1 MINUTE AS upto FROM (SELECT ts FROM raised UNION ALL SELECT ts FROM acted))"""
+
+
+@query(
+    "stream_escalations",
+    f"""{ACTED_SQL} SELECT event_id::VARCHAR AS alert_id, strftime(ts + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS escalated_at
+    FROM raised, seen WHERE event_id % 3 = 1 OR (event_id % 3 = 2 AND ts + INTERVAL 30 MINUTE < upto)""",
+)
+def stream_escalations(t):
+    """Alerts answered in time, answered late, and never answered, over four micro-batches; the last two kinds escalate."""
+    raised = t.events.where("event_type = 'error'").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("raised").alias("kind"))
+    late = F.when(F.col("event_id") % 3 == 0, F.make_dt_interval(mins=F.lit(10))).otherwise(F.make_dt_interval(mins=F.lit(90)))
+    acted = raised.where("event_id % 3 < 2").select("event_id", (F.col("ts") + late).alias("ts"), F.lit("acknowledge").alias("kind"))
+    cfg, path = config(t, "escalate")
+    rows = batch_stream(t, raised.unionByName(acted), "CASE WHEN ts < TIMESTAMP '2024-01-08' THEN 0 WHEN ts < TIMESTAMP '2024-01-16' THEN 1 WHEN ts < TIMESTAMP '2024-01-24' THEN 2 ELSE 3 END", 4)
+    out = X.escalations(rows.withColumnRenamed("event_id", "alert_id"), "alert_id", "ts", "kind", 30 * 60)
+    finish(X.store_events(out, cfg, path))
+    return tidy(t.spark.read.parquet(path).select("alert_id", "escalated_at"))

@@ -68,6 +68,14 @@ def stream_rates(df: DataFrame, ts: str, stream: str, duration_seconds: int, wat
     return out.select("window_start", quoted(stream), "total_events", "events_per_second")
 
 
+def newest_windows(results: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last state of every window from what an update-mode stream wrote per micro-batch."""
+    own = ["window_start", *keys]
+    rest = [c for c in results.columns if c not in (*own, "batch_id")]
+    last = results.groupBy(*own).agg(F.max_by(F.struct(*[quoted(c) for c in rest]), "batch_id").alias("__last"))
+    return last.select(*own, *[F.col(f"__last.`{c}`").alias(c) for c in rest])
+
+
 def deduplicate(df: DataFrame, ts: str, event_id: str = "event_id", watermark: str = "1 hour") -> DataFrame:
     """First event of each id within the watermark."""
     return df.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([event_id])
