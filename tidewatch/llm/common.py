@@ -18,6 +18,7 @@ from tidewatch.functions.common import quoted
 from tidewatch.session import cut_lineage
 
 SLICE_BYTES = 2_000_000  # bytes of text that are vectorised at once
+BROADCAST_KEYS = 1_000_000  # keys of at most 24 bytes that may be broadcast
 U64 = np.uint64
 
 
@@ -163,7 +164,25 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[quoted(source).alias(name) for name, source in columns.items()])
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The table with its columns named ``c0``, ``c1``, …, for maps that must not meet dots or clashes in names."""
+    return docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+
+
+def renamed(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of a ``numbered`` table under the names of ``docs``."""
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``docs`` whose ``keys`` are not in ``gone``; broadcast if the keys that go are few, else one shuffle."""
+    gone = cut_lineage(gone.select(*keys).distinct())
+    if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, keys, "left_anti")
+
+
 __all__ = [
-    "BYTE", "LOWER", "SLICE_BYTES", "SPACE", "STEP", "U64", "cut_lineage", "grams", "held", "mix", "only", "per_slice", "seeded", "sequence_hash",
-    "signed", "slices", "span_hashes", "table_path", "word_spans", "words_of",
+    "BROADCAST_KEYS", "BYTE", "LOWER", "SLICE_BYTES", "SPACE", "STEP", "U64", "cut_lineage", "grams", "held", "mix", "numbered", "only", "per_slice", "renamed", "seeded", "sequence_hash",
+    "signed", "slices", "span_hashes", "table_path", "without", "word_spans", "words_of",
 ]

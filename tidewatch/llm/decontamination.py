@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import only
+from tidewatch.llm.common import numbered, only, renamed, without
 
 SHINGLE = 5
 PERCENT = 80
@@ -66,6 +66,10 @@ def contained(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", ite
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that hold no benchmark item; columns stay, rows without id stay."""
-    hit = contained(docs, benchmark, percent=percent).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hit, docs["doc_id"] == F.col("__id"), "left_anti")
+    """The documents that hold no benchmark item; columns stay, under any name.
+
+    Rows without id stay, as do null, empty and wordless texts; of rows repeated with one id all go if one holds an item.  An
+    empty benchmark takes nothing, an empty table gives an empty result.
+    """
+    own = f"c{docs.columns.index('doc_id')}"
+    return renamed(without(numbered(docs), contained(docs, benchmark, percent=percent).select(F.col("doc_id").alias(own)), [own]), docs)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.common import quoted
-from tidewatch.llm.common import SLICE_BYTES, held, only
+from tidewatch.llm.common import SLICE_BYTES, held, numbered, only, renamed
 
 BUCKETS = 1 << 16
 MAX_LABELLED = 3000  # labelled rows per language that the model is fitted on
@@ -127,6 +127,17 @@ def mixture(words: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shares(texts: list[str | None], model: tuple[list[str], np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """``(first, last + 1, shares)``: language proportions of groups of texts; all zero without letters."""
+    names, table = model
+    for i, j in _groups(texts):
+        bucket, first, bounds = trigrams(texts[i:j])
+        if names and len(first):
+            yield i, j, mixture(np.add.reduceat(table[bucket], first, axis=0), bounds)
+        else:
+            yield i, j, np.zeros((j - i, max(1, len(names))), dtype=np.float32)
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, lang_pred, score, languages)``, one row per input row.
 
@@ -134,18 +145,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str =
     Text that is null or has no letter gives ``und``, score 0 and an empty map, as does a model without languages.  Ties go
     to the language that comes first by name.  Other columns are ignored.
     """
-    names, table = model
+    names, _ = model
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in _groups(texts):
-                bucket, first, bounds = trigrams(texts[i:j])
-                if names and len(first):
-                    words = np.add.reduceat(table[bucket], first, axis=0)
-                    shares = mixture(words, bounds)
-                else:
-                    shares = np.zeros((j - i, max(1, len(names))), dtype=np.float32)
+            for i, j, shares in _shares(batch.column(1).to_pylist(), model):
                 best, value = shares.argmax(axis=1), shares.max(axis=1)
                 sets = [[(names[k], float(s[k])) for k in np.flatnonzero(s > 1e-6)] if v > 0 else [] for s, v in zip(shares, value, strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -170,8 +174,18 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.4) -> DataFrame:
     """The documents with letters whose main language makes up at least ``least`` of the words; columns stay.
 
-    Rows without id are judged by their text like all others.
+    Every row is judged by its text alone, in one pass without a shuffle: rows without id like all others, repeated rows
+    alike, null and empty texts go.  Other columns pass through under any name; an empty table gives an empty result.
     """
-    number = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    judged = predict(number, model, doc_id="__row").where((F.col("lang_pred") == "und") | (F.col("score") < least))
-    return number.join(judged.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(*[quoted(c) for c in docs.columns])
+    at = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for i, j, shares in _shares(batch.column(at).to_pylist(), model):
+                value = np.clip(shares.max(axis=1).astype(np.float64), 0.0, 1.0)
+                keep[i:j] = (value > 0) & (value >= least)
+            yield batch.filter(pa.array(keep))
+
+    plain = numbered(docs)
+    return renamed(plain.mapInArrow(run, plain.schema), docs)

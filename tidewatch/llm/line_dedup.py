@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.common import quoted
 from tidewatch.llm.common import BYTE, U64, mix, only, span_hashes, words_of
@@ -71,8 +72,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     ``least`` words, and a row without id, lose nothing.  Rows repeated with one id are one document.  Other columns are
     ignored.
     """
-    rows = only(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long"))
+    return _cut(only(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long")), least)
+
+
+def _cut(rows: DataFrame, least: int) -> DataFrame:
+    """``dedup_lines`` of ``(id, text, …)``; the columns after the text pass through."""
     starts = repeated(ordered_rows(rows), line_windows(least), across=False)
+    passed = [f for f in rows.schema if f.name not in ("id", "text")]
 
     def run(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         _, begin, end, words, bounds = lines_of(data, offsets)
@@ -93,25 +99,30 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
             pieces.append(raw[here : offsets[d + 1]])
             texts.append(None if null[d] else b"".join(pieces))
         return pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index("id")), pa.array(n_lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
-            names=["doc_id", "n_lines", "n_removed", "clean_text"],
+            [
+                batch.column(batch.schema.get_field_index("id")), pa.array(n_lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()),
+                *[batch.column(batch.schema.get_field_index(f.name)) for f in passed],
+            ],
+            names=["doc_id", "n_lines", "n_removed", "clean_text", *[f.name for f in passed]],
         )
 
-    return apply_starts(rows, starts, run, "doc_id long, n_lines long, n_removed long, clean_text string")
+    schema = T.StructType([
+        T.StructField("doc_id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("clean_text", T.StringType()), *passed,
+    ])
+    return apply_starts(rows, starts, run, schema)
 
 
 def without_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """The documents with repeated lines cut out of ``text`` (and ``n_chars`` kept true).
 
-    A document that had lines and loses all of them goes.  Rows repeated with one id come back once.
+    A document that had lines and loses all of them goes.  Null and empty texts, texts of fewer than ``least`` words and rows
+    without id stay as they are; rows repeated with one id are one document (an id names one text) and stay as often as they come.  The other
+    columns travel with the text as one struct, under any name, so texts are moved once and joined with nothing but the
+    positions to cut.  An empty table gives an empty result.
     """
-    clean = dedup_lines(docs, least=least).dropDuplicates(["doc_id", "clean_text"])
-    named = clean.select(F.col("doc_id").alias("__id"), "clean_text", "n_lines", "n_removed")
-    once = docs.dropDuplicates(["doc_id", "text"])
-    joined = once.join(named, once["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__id").isNotNull()), "left")
-    kept = joined.where(~F.coalesce((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines")), F.lit(False)))
-    text = F.when(F.coalesce(F.col("n_removed"), F.lit(0)) > 0, F.col("clean_text")).otherwise(F.col("text"))
-    changed = {"text": text, "n_chars": F.length(text).cast("long")}
-    return kept.select(*[changed[c].alias(c) if c in changed else quoted(c) for c in docs.columns])
-
-
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rest = F.struct(*[quoted(c).alias(at[c]) for c in docs.columns if c != "text"])
+    clean = _cut(docs.select(quoted("doc_id").cast("long").alias("id"), quoted("text").alias("text"), rest.alias("rest")), least)
+    kept = clean.where(~((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))))
+    changed = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return kept.select(*[(changed[c] if c in changed else F.col(f"rest.{at[c]}")).alias(c) for c in docs.columns])

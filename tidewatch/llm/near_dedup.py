@@ -18,7 +18,7 @@ pair per document first, then only what would join two different components, the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import U64, cut_lineage, grams, only, per_slice, seeded, sequence_hash, words_of
+from tidewatch.llm.common import U64, cut_lineage, grams, numbered, only, per_slice, renamed, seeded, sequence_hash, slices, without, words_of
 from tidewatch.llm.components import components
 
 SHINGLE = 5
@@ -298,6 +298,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     and are their own component.  A row without id is kept, with a null component, and links nothing.  Rows repeated with
     the same id get the same values, so both are kept.  Other columns are ignored; an empty table gives an empty result.
     """
+    return _components(docs, doc_id, text, percent).drop("c1", "c2")
+
+
+def _components(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """``near_duplicates`` with the content hashes ``c1``, ``c2`` of the words."""
     rows = only(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long"))
     features = rows.mapInArrow(per_slice(_features), "id long, c1 long, c2 long, n long, sig array<int>")
     features = cut_lineage(features)
@@ -311,13 +316,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
     return out.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "c1", "c2",
     )
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents without the later members of near-duplicate groups; columns stay."""
-    dropped = near_duplicates(docs, percent=percent).where("not kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(dropped.distinct(), docs["doc_id"] == F.col("__id"), "left_anti")
-
+    """The documents without the later members of near-duplicate groups; columns stay, under any name.
 
+    Rows go by id and content, so another text under the id of one that goes stays.  Rows without id, and null, empty and
+    wordless texts, stay; repeated rows stay or go together.  An empty table gives an empty result.
+    """
+    plain, text, own = numbered(docs), f"c{docs.columns.index('text')}", f"c{docs.columns.index('doc_id')}"
+    keys = ["key_id", "key_a", "key_b"]
+
+    def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in slices(batch, text):
+                hashes, _, _, bounds = words_of(data, offsets, lower=True)
+                words = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                sides = [pa.array([sequence_hash(w, seed) for w in words], pa.int64()) for seed in (11, 12)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *sides], names=[*rows.schema.names, *keys[1:]])
+
+    wide = plain.mapInArrow(named, T.StructType([*plain.schema, *[T.StructField(k, T.LongType()) for k in keys[1:]]]))
+    gone = _components(docs, "doc_id", "text", percent).where("not kept").select(F.col("doc_id").alias(keys[0]), F.col("c1").alias(keys[1]), F.col("c2").alias(keys[2]))
+    return renamed(without(wide.withColumn(keys[0], F.col(own).cast("long")), gone, keys), docs)

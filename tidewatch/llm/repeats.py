@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.llm.common import STEP, U64, mix, per_slice
 
@@ -121,7 +122,9 @@ def repeated(docs: DataFrame, make: Maker, across: bool) -> DataFrame:
         pos, ids = w.start[keep] - w.bounds[doc], _ids(rows)[doc]
         order, first = _first_of(key, ids, pos)
         key, ids, pos = key[order], ids[order], pos[order]
-        later = ids != ids[first] if across else np.arange(len(key)) != first
+        later = ids != ids[first]
+        if not across:  # a place repeated with its row is one place
+            later |= pos != pos[first]
         a, s = np.flatnonzero(~later), np.flatnonzero(later)
         return _rows(key, ids, pos, np.concatenate((a, s)), len(a))
 
@@ -132,7 +135,7 @@ def repeated(docs: DataFrame, make: Maker, across: bool) -> DataFrame:
     return sent.withColumn("first", first).where(F.col("settled") | later).groupBy("id").agg(F.collect_set("pos").alias("starts"))
 
 
-def apply_starts(docs: DataFrame, starts: DataFrame, run: Callable, schema: str) -> DataFrame:
+def apply_starts(docs: DataFrame, starts: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
     """Hand every document its repeated windows (null if none) and map ``run`` over the slices.
 
     Rows that took no part in ``repeated``, without id or text, are mapped aside; the others are filtered exactly as there,
