@@ -14,6 +14,7 @@ from tidewatch.llm import decontamination, language, line_dedup, near_dedup, pac
 from tidewatch.llm.common import table_path
 from tidewatch.llm.queries import tokenizer
 from tidewatch.session import checkpoint_dir
+from tidewatch.sources import folders
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,15 +50,23 @@ STAGES = [
     ("packing", pack_tokens),
 ]
 
-# models and tokenizers cannot be said in SQL; the tests compare every stage with a plain version
+# models and tokenizers cannot be said in SQL; the tests compare lines and near duplicates with plain versions, the rows that
+# language and decontamination keep with the tested operators, and packing with the documents it gets
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; what lies between is written to the shared checkpoint folder."""
+    """All stages over the documents table; what lies between is written to the shared checkpoint folder.
+
+    The result of a stage is removed when that of the next one is written; the last one's input stays, as the result reads it.
+    """
     docs = spark.read.parquet(table_path(sf_dir, "documents"))
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            folders.drop(spark, [f"{folder}/{before}"])
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
