@@ -121,3 +121,26 @@ def test_no_single_task_sort(shapes):
     """The only windows without a hash exchange run over the bounded slice table."""
     plan = O.with_prefix(O.value_counts(shapes, ["k"], "x"), ["k"], "x", ["n"])._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("few", [2000, 10])
+def test_percentiles_by_bracket(spark, monkeypatch, few):
+    """Ties, one key with most values, null and NaN, a key without values, and more values than a bracket holds whole."""
+    monkeypatch.setattr(O, "FEW", few)
+    rng = np.random.default_rng(few)
+    rows = [("hot" if i % 3 else None, float(x), float(rng.integers(0, 7)) if i % 11 else float("nan")) for i, x in enumerate(rng.normal(size=9000) * 1e6)]
+    rows += [("small", 1.0, None), ("small", 2.0, 5.0), ("none", None, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    wanted = {f"{c}{q}": (c, q) for c in "xy" for q in (0.0, 0.001, 0.25, 0.5, 0.999, 1.0)}
+
+    def exact(own, c, q):
+        values = [v for v in (r[1 if c == "x" else 2] for r in own) if v is not None and v == v]
+        return np.quantile(values, q) if values else None
+
+    whole = O.exact_quantiles(df, [], wanted, brackets=True).head().asDict()
+    assert all(abs(whole[o] - exact(rows, c, q)) < 1e-6 for o, (c, q) in wanted.items())
+    for r in O.exact_quantiles(df, ["k"], wanted, brackets=True).collect():
+        own = [x for x in rows if x[0] == r.k]
+        for o, (c, q) in wanted.items():
+            want = exact(own, c, q)
+            assert (r[o] is None and want is None) or abs(r[o] - want) < 1e-6, (r.k, o)

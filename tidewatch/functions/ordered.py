@@ -10,6 +10,8 @@ bounded list of slices, and do the fine work inside each slice.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,13 +103,16 @@ def with_prefix(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]
+    df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]], brackets: bool = False
 ) -> DataFrame:
     """Exact percentiles, linear interpolation: ``{output: (column, q)}`` → one row per key.
 
-    Values are counted first (map-side), slices that hold no wanted rank are
-    skipped, and no task ever holds all values of a key.
+    Values are counted first (map-side), slices that hold no wanted rank are skipped.  With ``brackets``, for few keys with
+    very many distinct values each, a sketch narrows every rank before anything is shuffled (``bracketed_quantiles``): two
+    more scans, but no exchange of all values.  No task ever holds all values of a key.
     """
+    if brackets:
+        return bracketed_quantiles(df, keys, wanted)
     columns = sorted({c for c, _ in wanted.values()})
     pairs = F.array(*[F.struct(F.lit(i).alias("c"), number(quoted(c)).alias("v")) for i, c in enumerate(columns)])
     long = df.select(*[quoted(k) for k in keys], F.explode(pairs).alias("__p")).select(
@@ -137,6 +142,76 @@ def exact_quantiles(
     return ranked.groupBy(*keys).agg(*outputs)
 
 
+# A bracket reaches this share of the values to either side of its rank; the sketch is off by a quarter of it at most.
+BRACKET = 0.002
+SKETCH = 2000
+FEW = 2000  # up to so many values a bracket holds them all
+
+
+def _literals(row: DataFrame) -> list[Column]:
+    """The only row of a table as literal columns."""
+    values = row.head()
+    return [F.lit(values[f.name]).cast(f.dataType).alias(f.name) for f in row.schema]
+
+
+def bracketed_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """``exact_quantiles`` in three scans that shuffle only values close to a wanted rank.
+
+    A mergeable sketch gives a lower and an upper value around every rank, the second scan counts what lies below, the
+    third one counts the distinct values between.  The rank inside the bracket is then exact; a bracket that missed its
+    rank would raise an error.
+    """
+    columns = sorted({c for c, _ in wanted.values()})
+    places = sorted({(columns.index(c), float(q)) for c, q in wanted.values()})
+    rows = df.select(*[quoted(k) for k in keys], *[number(quoted(c)).alias(f"__v{i}") for i, c in enumerate(columns)])
+    sketch = []
+    for i in range(len(columns)):
+        v = F.col(f"__v{i}")
+        points = [p for j, q in places if j == i for p in (max(q - BRACKET, 0.0), min(q + BRACKET, 1.0))]
+        sketch += [
+            F.count(v).alias(f"__n{i}"), F.min(v).alias(f"__min{i}"), F.max(v).alias(f"__max{i}"),
+            F.percentile_approx(v, F.array(*[F.lit(p) for p in points]), F.lit(SKETCH)).alias(f"__p{i}"),
+        ]
+    ends, seen = [], dict.fromkeys(range(len(columns)), 0)
+    for k, (i, q) in enumerate(places):
+        at, seen[i] = seen[i], seen[i] + 2
+        wide = F.col(f"__n{i}") <= FEW
+        ends += [
+            F.when(wide | F.lit(q <= BRACKET), F.col(f"__min{i}")).otherwise(F.col(f"__p{i}")[at]).alias(f"__ql{k}"),
+            F.when(wide | F.lit(q >= 1 - BRACKET), F.col(f"__max{i}")).otherwise(F.col(f"__p{i}")[at + 1]).alias(f"__qh{k}"),
+            (F.lit(q) * (F.col(f"__n{i}") - 1)).alias(f"__qr{k}"),
+        ]
+    bounds = rows.groupBy(*keys).agg(*sketch).select(*[quoted(k) for k in keys], *ends)
+    # one row of numbers for a whole table: as literals they reach the scan, and no plan is nested in a plan
+    near = attach(rows, bounds, keys) if keys else rows.select("*", *_literals(bounds))
+    counted = near.groupBy(*keys).agg(*[
+        e for k, (i, _) in enumerate(places)
+        for e in (F.count_if(F.col(f"__v{i}") < F.col(f"__ql{k}")).alias(f"__qb{k}"), *[F.first(f"__q{x}{k}").alias(f"__q{x}{k}") for x in "lhr"])
+    ])
+    inside = [F.col(f"__v{i}").between(F.col(f"__ql{k}"), F.col(f"__qh{k}")) for k, (i, _) in enumerate(places)]
+    hits = F.array(*[
+        F.when(inside[k], F.struct(F.lit(k).alias("k"), (F.floor(f"__qr{k}") - F.col(f"__qb{k}")).alias("r"), (F.col(f"__qr{k}") - F.floor(f"__qr{k}")).alias("f"), F.col(f"__v{i}").alias("v")))
+        for k, (i, _) in enumerate(places)
+    ])
+    group = [*keys, "__k", "__qr", "__f"]
+    near = attach(rows, counted, keys) if keys else rows.select("*", *_literals(counted))
+    close = near.where(reduce(or_, inside)).select(*[quoted(k) for k in keys], F.explode(F.array_compact(hits)).alias("__x")).select(
+        *[quoted(k) for k in keys], F.col("__x.k").alias("__k"), F.col("__x.r").alias("__qr"), F.col("__x.f").alias("__f"), F.col("__x.v").alias("__val")
+    ).groupBy(*group, "__val").agg(F.count(F.lit(1)).alias("n"))
+    above = "(__qr + CASE WHEN __f > 0 THEN 1 ELSE 0 END)"
+    touched = F.expr(f"exists(array(__qr, {above}), e -> e >= __o_n AND e < __o_n + __s_n)")
+    ranked = with_prefix(close, group, "__val", ["n"], keep=touched)
+    outputs = []
+    for out, (c, q) in wanted.items():
+        mine = f"__k = {places.index((columns.index(c), float(q)))}"
+        low, high = (f"max(CASE WHEN {mine} AND {r} >= before_n AND {r} < before_n + n THEN __val END)" for r in ("__qr", above))
+        missed = f"max(CASE WHEN {mine} THEN 1 END) IS NOT NULL AND ({low} IS NULL OR {high} IS NULL)"
+        outputs.append(F.expr(
+            f"CASE WHEN {missed} THEN raise_error('a percentile lies outside its bracket') ELSE {low} + ({high} - {low}) * max(CASE WHEN {mine} THEN __f END) END"
+        ).cast("double").alias(out))
+    return ranked.groupBy(*keys).agg(*outputs)
+
+
 def most_common(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, str]) -> DataFrame:
     """Most frequent non-null value per key, smallest on a tie: ``{output: column}``."""
     parts = []
