@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.common import quoted
-from tidewatch.llm.common import SLICE_BYTES, held, numbered, only, renamed
+from tidewatch.llm.common import SLICE_BYTES, held, numbered, only, renamed, slices
 
 BUCKETS = 1 << 16
 MAX_LABELLED = 3000  # labelled rows per language that the model is fitted on
@@ -178,14 +178,16 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least: floa
     alike, null and empty texts go.  Other columns pass through under any name; an empty table gives an empty result.
     """
     at = docs.columns.index("text")
+    text = f"c{at}"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            for i, j, shares in _shares(batch.column(at).to_pylist(), model):
-                value = np.clip(shares.max(axis=1).astype(np.float64), 0.0, 1.0)
-                keep[i:j] = (value > 0) & (value >= least)
-            yield batch.filter(pa.array(keep))
+            for rows, _, _ in slices(batch, text):
+                keep = np.zeros(rows.num_rows, dtype=bool)
+                for i, j, shares in _shares(rows.column(at).to_pylist(), model):
+                    value = np.clip(shares.max(axis=1).astype(np.float64), 0.0, 1.0)
+                    keep[i:j] = (value > 0) & (value >= least)
+                yield rows.filter(pa.array(keep))
 
     plain = numbered(docs)
     return renamed(plain.mapInArrow(run, plain.schema), docs)
