@@ -180,11 +180,14 @@ def cooldown(
     return timed.unionByName(at_once)
 
 
-def alerts(hits: DataFrame, ts: str = "ts") -> DataFrame:
-    """Alert rows of fired hits: id, title, message, severity, status ``active``, metadata."""
+def alerts(hits: DataFrame, ts: str = "ts", tiebreak: str = "event_id") -> DataFrame:
+    """Alert rows of fired hits: id, title, message, severity, status ``active``, metadata.
+
+    The id holds rule, time and the hit's own ``tiebreak``, so alerts of one rule and moment have different ids.
+    """
     t = quoted(ts).cast("timestamp")
     return hits.select(
-        F.concat_ws("_", "rule_id", F.date_format(t, "yyyyMMdd_HHmmss_SSSSSS")).alias("alert_id"),
+        F.concat_ws("_", "rule_id", F.date_format(t, "yyyyMMdd_HHmmss_SSSSSS"), quoted(tiebreak).cast("string")).alias("alert_id"),
         "rule_id",
         F.concat(F.lit("Alert: "), "name").alias("title"),
         F.concat("description", F.lit(" - "), "metric", F.lit(": "), F.col("value").cast("string")).alias("message"),
@@ -250,12 +253,25 @@ def recent(raised: DataFrame, since: Column | None = None, limit: int = 10) -> D
 
 
 def route(raised: DataFrame, channels: Sequence[Mapping]) -> DataFrame:
-    """One row per alert and enabled channel; a rule may name a channel by id or by type."""
-    table = channels_table(raised.sparkSession, channels).filter("enabled")
-    named = table.select("channel_id", "channel_type", F.explode(F.array_distinct(F.array("channel_id", "channel_type"))).alias("__name"))
-    wanted = raised.withColumn("__name", F.explode(F.array_distinct("channels")))
-    # several channels of one type get the alert each; naming a channel by id and by type still sends once
-    return wanted.join(F.broadcast(named), "__name").drop("__name").dropDuplicates(["alert_id", "channel_id"])
+    """One row per alert and enabled channel; a rule may name a channel by id or by type.
+
+    The channels are configuration, so they come in as a literal map and nothing is joined or shuffled.  Several channels
+    of one type get the alert each; naming a channel by id and by type still sends once.
+    """
+    named: dict[str, list[tuple[str, str]]] = {}
+    for c in channels:
+        if c.get("enabled", True):
+            for name in {c["channel_id"], c["channel_type"]}:
+                named.setdefault(name, []).append((c["channel_id"], c["channel_type"]))
+    kind = "array<struct<channel_id:string,channel_type:string>>"
+    if not named:
+        return raised.withColumns({"channel_id": F.lit(None).cast("string"), "channel_type": F.lit(None).cast("string")}).where("false")
+    known = F.create_map(*[
+        x for name, targets in named.items()
+        for x in (F.lit(name), F.array(*[F.struct(F.lit(i).alias("channel_id"), F.lit(k).alias("channel_type")) for i, k in targets]).cast(kind))
+    ])
+    targets = F.array_distinct(F.flatten(F.filter(F.transform("channels", lambda n: known[n]), lambda x: x.isNotNull())))
+    return raised.withColumn("__to", F.explode(targets)).select(*[quoted(c) for c in raised.columns], "__to.channel_id", "__to.channel_type")
 
 
 def payload(channel_type: Column) -> Column:
@@ -304,21 +320,24 @@ def outbox(raised: DataFrame, channels: Sequence[Mapping]) -> DataFrame:
 def fire(metrics: DataFrame, rules: Sequence[Mapping], ts: str = "ts", tiebreak: str = "event_id") -> DataFrame:
     """Rules → cooldown → alert rows, in one call."""
     hits = breaches(metrics, rules).withColumn("cooldown_seconds", F.col("cooldown_minutes") * 60)
-    return alerts(cooldown(hits, ts=ts, tiebreak=tiebreak), ts)
+    return alerts(cooldown(hits, ts=ts, tiebreak=tiebreak), ts, tiebreak)
 
 
 def process_metrics(
     wide: DataFrame, names: Sequence[str], rules: Sequence[Mapping], fired_triggers: DataFrame | None = None,
-    due_reports: DataFrame | None = None,
+    due_reports: DataFrame | None = None, ts: str = "ts", tiebreak: str | None = None,
 ) -> DataFrame:
-    """Status of one batch of metric rows: ``(system, item, n)`` for fired rules, investigations and due reports.
+    """Status of one batch of metric rows: ``(system, item, n)`` for alerts by rule, investigations and due reports.
 
-    All metrics are checked against the rules.
+    All metrics are checked against the rules, and a rule that fired is silent for its cooldown.  ``tiebreak`` names the
+    row's own id; without it, rows of one time are one for a rule with a cooldown.
     """
     pairs = F.array(*[F.struct(F.lit(n).alias("metric"), quoted(n).cast("double").alias("value")) for n in names])
-    long = wide.select(F.inline(pairs)).filter("value is not null")
+    own = quoted(tiebreak if tiebreak else ts)
+    long = wide.select(quoted(ts).alias("ts"), own.alias("event_id"), F.inline(pairs)).filter("value is not null")
+    hits = breaches(long, rules).withColumn("cooldown_seconds", F.col("cooldown_minutes") * 60)
     parts = [
-        breaches(long, rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+        cooldown(hits).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
         .select(F.lit("alerting").alias("system"), F.col("rule_id").alias("item"), "n")
     ]
     if fired_triggers is not None:

@@ -71,7 +71,7 @@ def alert_cooldown_per_user(t):
     return A.cooldown(hits, keys=["user_id"]).select("user_id", "event_id")
 
 
-ALERTS_SQL = f"""{FIRED_SQL}, alerts AS (SELECT rule_id || '_' || strftime(ts, '%Y%m%d_%H%M%S_%f') AS alert_id, rule_id, 'Alert: ' || name AS title,
+ALERTS_SQL = f"""{FIRED_SQL}, alerts AS (SELECT rule_id || '_' || strftime(ts, '%Y%m%d_%H%M%S_%f') || '_' || event_id AS alert_id, rule_id, 'Alert: ' || name AS title, description || ' - ' || metric || ': ' || value AS message, metric,
   severity, ts AS created_at, delay, event_id, value FROM fired)"""
 
 
@@ -142,13 +142,19 @@ def alert_routing(t):
 
 @query(
     "alert_outbox",
-    f"""WITH RECURSIVE {ALERTS_SQL}, a AS (SELECT *, 'Error event - error: ' || value AS message, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS c FROM alerts WHERE rule_id = 'r_error')
-    SELECT alert_id, 'email_alerts' AS channel_id, 'email' AS channel_type, '[ERROR] ' || title || chr(10) || chr(10) || 'Alert Details:' || chr(10) || '- Title: ' || title || chr(10) ||
-      '- Message: ' || message || chr(10) || '- Severity: error' || chr(10) || '- Created: ' || c || chr(10) || '- Alert ID: ' || alert_id || chr(10) || chr(10) || 'Please take appropriate action.' AS payload FROM a
-    UNION ALL SELECT alert_id, 'sms_alerts', 'sms', 'ALERT [ERROR]: ' || title || ' - ' || message FROM a""",
+    f"""WITH RECURSIVE {ALERTS_SQL}, a AS (SELECT *, upper(severity) AS loud, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS c FROM alerts)
+    SELECT alert_id, 'email_alerts' AS channel_id, 'email' AS channel_type, '[' || loud || '] ' || title || chr(10) || chr(10) || 'Alert Details:' || chr(10) || '- Title: ' || title || chr(10) ||
+      '- Message: ' || message || chr(10) || '- Severity: ' || severity || chr(10) || '- Created: ' || c || chr(10) || '- Alert ID: ' || alert_id || chr(10) || chr(10) || 'Please take appropriate action.' AS payload
+    FROM a WHERE rule_id = 'r_error'
+    UNION ALL SELECT alert_id, 'sms_alerts', 'sms', 'ALERT [' || loud || ']: ' || title || ' - ' || message FROM a WHERE rule_id = 'r_error'
+    UNION ALL SELECT alert_id, 'slack_alerts', 'slack', '{{"text":"🚨 *' || title || '*","attachments":[{{"color":"#ffa500","fields":[{{"title":"Message","value":"' || message || '","short":false}},{{"title":"Severity","value":"' || severity ||
+      '","short":true}},{{"title":"Alert ID","value":"' || alert_id || '","short":true}},{{"title":"Created","value":"' || c || '","short":true}}]}}]}}' FROM a WHERE rule_id = 'r_click'
+    UNION ALL SELECT alert_id, 'webhook_alerts', 'webhook', '{{"alert_id":"' || alert_id || '","title":"' || title || '","message":"' || message || '","severity":"' || severity || '","status":"active","created_at":"' || c ||
+      '","metadata":{{"metric_name":"' || metric || '","metric_value":"' || value || '"}}}}' FROM a WHERE rule_id = 'r_view'""",
 )
 def alert_outbox(t):
-    return A.outbox(raised(t).filter("rule_id = 'r_error'"), CHANNELS)
+    """Messages of all rules, in the form of every kind of channel."""
+    return A.outbox(raised(t), CHANNELS)
 
 
 # daily model metrics from lineitem, under the names the default rules use
@@ -238,6 +244,21 @@ def alert_process_metrics(t):
     )
 
 
+@query(
+    "alert_process_metrics_cooldown",
+    f"""WITH RECURSIVE {FIRED_SQL}, due AS (SELECT DISTINCT 'rep' || c_nationkey AS report_id FROM customer WHERE c_nationkey % 5 <> 0)
+    SELECT 'alerting' AS system, rule_id AS item, count(*) AS n FROM fired GROUP BY 2 UNION ALL SELECT 'reporting', report_id, 1 FROM due""",
+)
+def alert_process_metrics_cooldown(t):
+    """Events as a wide table of metrics through rules with cooldown, next to the reports that are due."""
+    names = ["error", "click", "view"]
+    wide = t.events.select("ts", "event_id", *[F.when(F.col("event_type") == n, F.col("value")).alias(n) for n in names])
+    key = F.concat(F.lit("rep"), F.col("c_nationkey").cast("string"))
+    configs = t.customer.select(key.alias("report_id"), F.lit("daily").alias("frequency"), F.lit("09:00").alias("at"), (F.col("c_nationkey") % 5 != 0).alias("enabled")).distinct()
+    due = R.due(configs, F.lit("2024-01-01 09:02:00").cast("timestamp"))
+    return A.process_metrics(wide, names, RULES, due_reports=due, tiebreak="event_id")
+
+
 # hourly means per event type as metric series
 HOURLY_SQL = """hourly AS (SELECT event_type AS metric, date_trunc('day', ts) AS ts, avg(value) AS value, count(*) AS n FROM events GROUP BY 1, 2)"""
 
