@@ -7,7 +7,7 @@ from plan_scan import findings
 import __spark_entry__ as entry
 from tidewatch.plans.registry import QUERIES
 
-ROWS_ONLY = {"drift_isolation_forest", "quality_outlier_forest", "rca_investigation"}
+ROWS_ONLY = {"drift_isolation_forest", "quality_outlier_forest"}
 
 
 @pytest.fixture(scope="module")

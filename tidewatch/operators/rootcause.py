@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.common import attach, merge_by_keys, micros, number, quoted, seconds, union_all
 from tidewatch.operators.predicates import compare
 from tidewatch.operators.windows import last_points_trend, newest, newest_z
+from tidewatch.session import cut_lineage
+from tidewatch.sources import folders
 
 # Triggers a deployment starts with.
 DEFAULT_TRIGGERS = (
@@ -162,22 +166,26 @@ def correlations(
 
 
 def anomalies(series: DataFrame, min_points: int = 11, limit: float = 2.5) -> DataFrame:
-    """Per metric the point with the largest absolute z (population std), if above ``limit``; first one on a tie."""
-    x = number("value")
+    """Per metric the point with the largest absolute z (population std), if above ``limit``; first one on a tie.
+
+    It is the metric's largest or smallest value, so one aggregate finds it; a second pass counts what lies before it.
+    """
+    x, t = number("value"), micros("ts")
     stats = series.groupBy("metric").agg(
-        F.count(x).alias("n_points"), F.avg(x).alias("mean_value"), F.stddev_pop(x).alias("std_value")
+        F.count(x).alias("n_points"), F.avg(x).alias("mean_value"), F.stddev_pop(x).alias("std_value"),
+        F.max(F.when(x.isNotNull(), F.struct(x.alias("x"), (-t).alias("t"), "ts"))).alias("hi"), F.min(F.when(x.isNotNull(), F.struct(x.alias("x"), t.alias("t"), "ts"))).alias("lo"),
     ).filter((F.col("n_points") >= min_points) & (F.col("std_value") > 0))
-    scored = attach(series.select("metric", "ts", x.alias("x")), stats, ["metric"])
-    z = F.abs(F.col("x") - F.col("mean_value")) / F.col("std_value")
-    top = scored.groupBy("metric").agg(
-        F.max_by(F.struct("x", "ts"), F.struct(z, -micros("ts"))).alias("p"),
-        F.max(z).alias("severity"), F.max("mean_value").alias("mean_value"), F.max("std_value").alias("std_value"),
+    z = lambda end: F.abs(F.col(f"{end}.x") - F.col("mean_value")) / F.col("std_value")
+    high = (z("hi") > z("lo")) | ((z("hi") == z("lo")) & (F.col("hi.ts") <= F.col("lo.ts")))
+    point = F.when(high, F.struct("hi.x", "hi.ts", z("hi").alias("z"))).otherwise(F.struct("lo.x", "lo.ts", z("lo").alias("z")))
+    flat = stats.select("metric", point.alias("p"), "mean_value", "std_value").select(
+        "metric", F.col("p.x").alias("anomaly_value"), F.col("p.ts").alias("anomaly_ts"), "mean_value", "std_value", F.col("p.z").alias("severity")
     ).filter(F.col("severity") > limit)
-    flat = top.select("metric", F.col("p.x").alias("anomaly_value"), F.col("p.ts").alias("anomaly_ts"), "mean_value", "std_value", "severity")
-    position = attach(series.select("metric", "ts"), flat.select("metric", "anomaly_ts"), ["metric"]).groupBy("metric").agg(
-        F.count_if(F.col("ts") < F.col("anomaly_ts")).alias("position")
+    names = [c for c in flat.columns if c != "metric"]
+    found = attach(series.select("metric", "ts"), flat, ["metric"]).groupBy("metric").agg(
+        *[F.first(c).alias(c) for c in names], F.count_if(F.col("ts") < F.col("anomaly_ts")).alias("position")
     )
-    return flat.join(position, "metric").select(
+    return found.select(
         "metric",
         F.when(F.col("anomaly_value") > F.col("mean_value"), "spike").otherwise("drop").alias("anomaly_type"),
         "severity", F.least(F.lit(0.95), F.col("severity") / 5).alias("confidence"),
@@ -282,6 +290,53 @@ def investigate(
     return Investigation(series, pairs, found, causes, assessed, recommendations(causes, assessed))
 
 
+PARTS = ("series", "correlations", "anomalies", "causes", "impact", "recommendations")
+LOG_SCHEMA = (
+    "investigation_id string, trigger_id string, title string, severity string, status string, created_at timestamp, "
+    "started_at timestamp, completed_at timestamp, error string"
+)
+
+
+def log_investigations(
+    spark: SparkSession, path: str, triggers: DataFrame, sources: Sequence[tuple[str, DataFrame]], since: Column, now: datetime,
+    system: DataFrame | None = None, deployments: DataFrame | None = None,
+) -> DataFrame:
+    """Investigate what ``triggers (trigger_id, severity)`` fired at ``now``; the rows of their investigations.
+
+    The parts are written to ``path/{part}/run=…`` and then, last, one row per trigger with status and times to
+    ``path/log/run=…``.  A run is named by its moment: what is in the log is not done again, a run that was broken off is
+    done again over its own folders, and one that failed is logged as ``failed`` with its error and tried again when asked.
+    """
+    run = now.strftime("%Y%m%d_%H%M%S")
+    log = f"{path}/log/run={run}"
+    if folders.exists(spark, f"{log}/_SUCCESS"):
+        known = spark.read.schema(LOG_SCHEMA).parquet(log)
+        if known.where("status = 'failed'").isEmpty():
+            return known
+    started, error = datetime.now(timezone.utc), None
+    fired_now = cut_lineage(triggers.select("trigger_id", "severity").distinct())
+    if not fired_now.isEmpty():
+        try:
+            done = investigate(sources, since, system=system, deployments=deployments)
+            for part in PARTS:
+                getattr(done, part).write.mode("overwrite").parquet(f"{path}/{part}/run={run}")
+        except PySparkException as exc:  # the investigation's own failure is a result, not the caller's
+            error = str(exc).splitlines()[0][:500]
+    moment = lambda x: F.lit(x).cast("timestamp")
+    rows = fired_now.select(
+        F.concat(F.lit("rca_"), "trigger_id", F.lit(f"_{run}")).alias("investigation_id"), "trigger_id", F.concat(F.lit("RCA: "), "trigger_id").alias("title"), "severity",
+        F.lit("completed" if error is None else "failed").alias("status"), moment(now).alias("created_at"), moment(started).alias("started_at"),
+        (moment(datetime.now(timezone.utc)) if error is None else F.lit(None).cast("timestamp")).alias("completed_at"), F.lit(error).cast("string").alias("error"),
+    )
+    rows.write.mode("overwrite").parquet(log)
+    return spark.read.schema(LOG_SCHEMA).parquet(log)
+
+
+def investigation_log(spark: SparkSession, path: str) -> DataFrame:
+    """All investigations logged below ``path``."""
+    return spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{path}/log")
+
+
 def summary(investigations: DataFrame, since: Column | None = None) -> DataFrame:
     """Counts in all, by status and by severity, and the mean duration: ``(dimension, value, n, mean_seconds)``."""
     rows = investigations if since is None else investigations.filter(F.col("created_at") >= since)

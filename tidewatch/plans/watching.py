@@ -1,12 +1,15 @@
 """Queries over alerting, root causes and report tables; events are the metric stream."""
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from tidewatch.operators import alerting as A
 from tidewatch.operators import reporting as R
 from tidewatch.operators import rootcause as C
 from tidewatch.operators.predicates import compare
-from tidewatch.plans.registry import query, tidy
+from tidewatch.plans.registry import ORACLES, query, tidy
+from tidewatch.plans.tables import scratch
 
 RULES = [
     {"rule_id": "r_error", "name": "Errors", "description": "Error event", "metric": "error", "threshold": 0.0,
@@ -363,7 +366,15 @@ def rca_recommendations(t):
     return C.recommendations(causes, C.impact(causes))
 
 
-@query("rca_investigation")
+@query(
+    "rca_investigation",
+    f"""WITH {CORR_SQL}, st AS (SELECT metric, avg(value) AS m, stddev_pop(value) AS s FROM hourly GROUP BY 1 HAVING count(*) > 10 AND stddev_pop(value) > 0),
+    an AS (SELECT h.metric, max(abs(value - m) / s) AS z FROM hourly h JOIN st USING (metric) GROUP BY 1),
+    causes AS (SELECT z AS severity, least(0.95, z / 5) AS confidence FROM an WHERE z > 3 UNION ALL SELECT abs(r), 0.8 FROM pairs WHERE abs(r) > 0.8),
+    t AS (SELECT count(*) AS c, coalesce(avg(severity) * avg(confidence), 0) AS s FROM causes)
+    SELECT 'correlations' AS result, (SELECT count(*) FROM pairs) AS n UNION ALL SELECT 'anomalies', count(*) FROM an WHERE z > 2.5 UNION ALL SELECT 'causes', c FROM t
+    UNION ALL SELECT 'impact', 1 UNION ALL SELECT 'recommendations', 2 * c + CASE WHEN s > 0.6 THEN 3 WHEN c = 0 THEN {len(C.CALM_ADVICE)} ELSE 0 END FROM t""",
+)
 def rca_investigation(t):
     """Whole chain on one window of the event series: number of rows of each result."""
     h = hourly(t).select("metric", "ts", "value")
@@ -379,6 +390,20 @@ def rca_investigation(t):
     return out
 
 
+@query(
+    "rca_investigation_log",
+    ORACLES["rca_triggers"].replace("SELECT 'critical_performance' AS trigger_id, 'critical' AS severity", "SELECT trigger_id, severity, 'rca_' || trigger_id || '_20240201_120000' AS investigation_id, 'completed' AS status, '2024-02-01 12:00:00' AS created_at, true AS timed FROM (SELECT 'critical_performance' AS trigger_id, 'critical' AS severity") + ")",
+)
+def rca_investigation_log(t):
+    """One row per fired trigger, written with the parts of its investigation; asked twice, it is made once."""
+    path, now = scratch(t.spark), datetime(2024, 2, 1, 12, tzinfo=timezone.utc)
+    triggers = C.fired(model_series(t), RCA_TRIGGERS)
+    for _ in range(2):
+        C.log_investigations(t.spark, path, triggers, [("performance", hourly(t).select("metric", "ts", "value"))], F.lit("2024-01-01").cast("timestamp"), now)
+    log = C.investigation_log(t.spark, path)
+    return tidy(log.select("trigger_id", "severity", "investigation_id", "status", "created_at", ((F.col("started_at") <= F.col("completed_at")) & F.col("error").isNull()).alias("timed")))
+
+
 INVESTIGATION_SQL = """inv AS (SELECT 'i' || o_orderkey AS investigation_id, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'completed' ELSE 'in_progress' END AS status,
   CASE WHEN o_orderpriority < '3' THEN 'high' ELSE 'low' END AS severity, o_orderdate AS created_at, o_orderdate AS started_at,
   CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + to_minutes((o_custkey % 90)::INT) END AS completed_at FROM orders)"""
