@@ -33,3 +33,16 @@ def test_path_and_cycle_of_any_length(spark):
     assert lineage.shortest_path(ring, "n0", "n11").count() == 12
     assert not lineage.is_acyclic(ring)
     assert lineage.is_acyclic(ring.filter("source_node_id <> 'n11'"))
+
+
+def test_long_path_is_marked_in_few_rounds(spark):
+    """A thousand steps beside a bush of other nodes: each round doubles what is known of the path."""
+    rows = [("p0", None, 0)] + [(f"p{i}", f"p{i - 1}", i) for i in range(1, 1001)] + [(f"x{i}", f"p{i % 900}", i % 900 + 1) for i in range(2000)]
+    seen = spark.createDataFrame(rows, "node_id string, parent string, step int")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("path", "path")
+    got = lineage.path_back(seen, "p1000", 1000).collect()
+    jobs = len(tracker.getJobIdsForGroup("path"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r.step, r.node_id) for r in got) == [(i, f"p{i}") for i in range(1001)]
+    assert jobs <= 120, jobs  # each round materialises two tables, in a few jobs each

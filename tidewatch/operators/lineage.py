@@ -131,15 +131,22 @@ def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
             return seen.limit(0).select("step", "node_id")
         if last.filter(F.col("node_id") == target).limit(1).count():
             break
-    # one lookup per step of the path: each is a filter that returns at most one row
-    path, at = [], target
-    while at is not None:
-        row = seen.filter(F.col("node_id") == at).select("step", "node_id", "parent").head()
-        if row is None:
-            return seen.limit(0).select("step", "node_id")
-        path.append((row["step"], row["node_id"]))
-        at = row["parent"]
-    return spark.createDataFrame(sorted(path), "step int, node_id string")
+    return path_back(seen, target, depth)
+
+
+def path_back(seen: DataFrame, target: str, depth: int) -> DataFrame:
+    """``(step, node_id)`` on the way back from ``target`` at step ``depth`` along the stored ``parent``s.
+
+    Parent pointers are doubled: after ``k`` rounds the last ``2 ** k`` nodes of the path are marked, so the rounds grow
+    with the logarithm of the path and nothing of it passes through the driver.
+    """
+    jump = seen.select("node_id", F.col("parent").alias("__up")).where("__up is not null")
+    path = seen.where(F.col("node_id") == target).select("node_id")
+    for _ in range(depth.bit_length()):
+        path = cut_lineage(path.union(path.join(jump, "node_id").select(F.col("__up").alias("node_id"))))
+        further = jump.select(F.col("node_id").alias("__up"), F.col("__up").alias("__next"))
+        jump = cut_lineage(jump.join(further, "__up").select("node_id", F.col("__next").alias("__up")))
+    return seen.join(path, "node_id", "left_semi").select("step", "node_id")
 
 
 def is_acyclic(edges: DataFrame) -> bool:
