@@ -46,3 +46,20 @@ def test_long_path_is_marked_in_few_rounds(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert sorted((r.step, r.node_id) for r in got) == [(i, f"p{i}") for i in range(1001)]
     assert jobs <= 120, jobs  # each round materialises two tables, in a few jobs each
+
+
+def test_long_cycles_and_chains_are_contracted(spark):
+    """A long cycle, two cycles joined by a long chain, and a loop: what only passes on goes in a few rounds."""
+    names = "source_node_id string, target_node_id string"
+    ring = [(f"r{i}", f"r{(i + 1) % 400}") for i in range(400)]
+    two = [("a0", "a1"), ("a1", "a0"), ("b0", "b1"), ("b1", "b2"), ("b2", "b0"), ("a1", "c0"), *[(f"c{i}", f"c{i + 1}") for i in range(100)], ("c100", "b0"), ("l", "l")]
+    edges = spark.createDataFrame(ring + two, names)
+    short, rounds = lineage._contracted(lineage._peeled(edges.where("source_node_id <> target_node_id")))
+    assert len(rounds) < 30 and short.count() < 40
+    nodes = spark.createDataFrame([(x,) for x in sorted({x for e in ring + two for x in e} | {"free"})], "node_id string")
+    got = {}
+    for r in lineage.strong_components(edges, nodes).collect():
+        assert r.node_id not in got
+        got[r.node_id] = r.component
+    assert len({got[f"r{i}"] for i in range(400)}) == 1 and got["a0"] == got["a1"] != got["b0"] == got["b1"] == got["b2"]
+    assert all(got[f"c{i}"] == f"c{i}" for i in range(101)) and got["free"] == "free" and len(got) == nodes.count()

@@ -82,6 +82,16 @@ def analyze(
     )
 
 
+def per_model(tests: DataFrame, analysis: DataFrame) -> DataFrame:
+    """Analyses of active tests for each of their two models, once there is enough traffic with results.
+
+    ``tests``: ``(test_id, model_a_id, model_b_id, min_sample_size, enabled)``; a model may be in several tests.
+    """
+    active = tests.filter("enabled").select("test_id", "min_sample_size", F.explode(F.array_distinct(F.array("model_a_id", "model_b_id"))).alias("model_id"))
+    enough = F.col("sample_size_a") + F.col("sample_size_b") >= F.col("min_sample_size")
+    return analysis.join(active, "test_id").filter(enough).select("model_id", *[quoted(c) for c in analysis.columns])
+
+
 def traffic_summary(traffic: DataFrame, has_result: str = "has_result") -> DataFrame:
     """Per test: traffic in all, by arm, and with results."""
     return traffic.groupBy("test_id").agg(

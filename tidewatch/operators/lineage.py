@@ -187,28 +187,66 @@ def _spread(labels: DataFrame, edges: DataFrame, near: str, far: str) -> DataFra
             return labels
 
 
+def _peeled(edges: DataFrame) -> DataFrame:
+    """Edges whose ends both have edges in and out, to a fixed point: all that can lie on a cycle."""
+    size = edges.count()
+    while size:
+        src = edges.select(F.col(S).alias("__m")).distinct()
+        dst = edges.select(F.col(T).alias("__n")).distinct()
+        edges = cut_lineage(edges.join(dst, F.col(S) == F.col("__n"), "left_semi").join(src, F.col(T) == F.col("__m"), "left_semi"))
+        now = edges.count()
+        if now == size:
+            break
+        size = now
+    return edges
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges without the nodes that only pass on, and the nodes taken out: ``(node_id, before, after)`` per round.
+
+    Such a node has one edge in and one out and is on a cycle exactly if the edge that replaces it is.  Each round takes out
+    those whose hash is smaller than their neighbours' (no two of them are neighbours), about a third, so a chain or
+    cycle of any length is gone after rounds that grow with its logarithm.
+    """
+    rounds: list[DataFrame] = []
+    size = edges.count()
+    while size:
+        out = edges.groupBy(F.col(S).alias("node_id")).agg(F.count(F.lit(1)).alias("o"), F.min(T).alias("after"))
+        into = edges.groupBy(F.col(T).alias("node_id")).agg(F.count(F.lit(1)).alias("i"), F.min(S).alias("before"))
+        single = cut_lineage(out.join(into, "node_id").where("o = 1 AND i = 1").select("node_id", "before", "after"))
+        order = lambda c: F.struct(F.xxhash64(c), F.col(c))
+        beside = single.select(F.explode(F.array("before", "after")).alias("other"), "node_id").join(single.select(F.col("node_id").alias("other")), "other")
+        held = beside.where(order("other") < order("node_id")).select("node_id").distinct()
+        gone = cut_lineage(single.join(held, "node_id", "left_anti"))
+        if gone.count() * 20 < size:  # few pass on: not worth a round
+            return edges, rounds
+        rounds.append(gone)
+        ends = gone.select("node_id")
+        kept = edges.join(ends.withColumnRenamed("node_id", S), S, "left_anti").join(ends.withColumnRenamed("node_id", T), T, "left_anti").select(S, T)
+        new = gone.where("before <> after").select(F.col("before").alias(S), F.col("after").alias(T))
+        edges = cut_lineage(kept.union(new).distinct())
+        size = edges.count()
+    return edges, rounds
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Strongly connected components ``(node_id, component)``; the component is named by one of its nodes.
 
-    Rounds of forward colouring: every open node takes the smallest id that
-    reaches it within its group; within a colour, the nodes that reach the
-    colour's own node are one component and are closed.  Nodes on no cycle are
-    peeled first.
+    Nodes on no cycle are peeled first and nodes that only pass on are contracted.  Of the rest, rounds of forward
+    colouring: every open node takes the smallest id that reaches it within its group; within a colour, the nodes that
+    reach the colour's own node are one component and are closed.
     """
     ids = nodes.select("node_id").distinct()
-    open_edges = cut_lineage(edges.filter(F.col(S) != F.col(T)).select(S, T).distinct())
-    size = open_edges.count()
-    while size:  # peeling: such nodes are components of their own
-        src = open_edges.select(F.col(S).alias("__m")).distinct()
-        dst = open_edges.select(F.col(T).alias("__n")).distinct()
-        nxt = cut_lineage(open_edges.join(dst, F.col(S) == F.col("__n"), "left_semi").join(src, F.col(T) == F.col("__m"), "left_semi"))
-        now = nxt.count()
-        open_edges, settled, size = nxt, now == size, now
-        if settled:
-            break
-    core = open_edges.select(F.col(S).alias("node_id")).union(open_edges.select(T)).distinct()
-    found = [ids.join(core, "node_id", "left_anti").select("node_id", F.col("node_id").alias("component"))]
-    labels = cut_lineage(core.select("node_id", F.lit(None).cast("string").alias("grp"), F.col("node_id").alias("label")))
+    ends = lambda df: df.select(F.col(S).alias("node_id")).union(df.select(T)).distinct()
+    cyclic = _peeled(cut_lineage(edges.filter(F.col(S) != F.col(T)).select(S, T).distinct()))
+    core = cut_lineage(ends(cyclic))
+    short, rounds = _contracted(cyclic)
+    open_edges = _peeled(short)
+    left = ends(open_edges)
+    taken = union_all([left, *[gone.select("node_id") for gone in rounds]])
+    alone = cut_lineage(core.join(taken, "node_id", "left_anti"))
+    found = [alone.select("node_id", F.col("node_id").alias("component"))]
+    labels = cut_lineage(left.select("node_id", F.lit(None).cast("string").alias("grp"), F.col("node_id").alias("label")))
     while labels.limit(1).count():  # every round closes at least one component of each colour
         colour = _spread(labels, open_edges, S, T)
         # walk backwards from the colour's own node inside the colour
@@ -225,7 +263,12 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         open_edges = cut_lineage(inside.join(rest.select(F.col("node_id").alias(S)), S, "left_semi").join(
             rest.select(F.col("node_id").alias(T)), T, "left_semi"))
         labels = cut_lineage(rest.select("node_id", "grp", F.col("node_id").alias("label")))
-    return union_all(found)
+    known = cut_lineage(union_all(found))
+    for gone in reversed(rounds):  # back in: with its neighbours if these are together, else alone
+        side = lambda c: known.select(F.col("node_id").alias(c), F.col("component").alias(f"c_{c}"))  # noqa: E731,B023
+        placed = gone.join(side("before"), "before").join(side("after"), "after")
+        known = cut_lineage(known.union(placed.select("node_id", F.when(F.col("c_before") == F.col("c_after"), F.col("c_before")).otherwise(F.col("node_id")))))
+    return known.union(ids.join(core, "node_id", "left_anti").select("node_id", F.col("node_id")))
 
 
 def statistics(nodes: DataFrame, edges: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
@@ -236,7 +279,10 @@ def statistics(nodes: DataFrame, edges: DataFrame, artifacts: DataFrame | None =
     none = F.lit(None).cast("string")
     n = nodes.agg(F.count_distinct("node_id").alias("n"))
     m = edges.agg(F.count(F.lit(1)).alias("m"), F.count_distinct(S, T).alias("d"))
-    comps = strong_components(edges, nodes).agg(F.count_distinct("component").alias("v"))
+    comps = strong_components(edges, nodes).agg(F.count_distinct("component").alias("v"), F.count(F.lit(1)).alias("c"))
+    loops = edges.agg(F.count_if(F.col(S) == F.col(T)).alias("loops"))
+    # without cycles every component is one node, and no edge leads from a node to itself
+    dag = comps.unionByName(loops, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("v", "c", "loops")])
     density = n.unionByName(m, allowMissingColumns=True).agg(F.max("n").alias("n"), F.max("d").alias("d"))
 
     def row(df: DataFrame, name: str, value: Column, item: Column = none) -> DataFrame:
@@ -247,7 +293,7 @@ def statistics(nodes: DataFrame, edges: DataFrame, artifacts: DataFrame | None =
         row(n, "total_nodes", F.col("n")),
         row(m, "total_edges", F.col("m")),
         row(density, "graph_density", F.coalesce(F.try_divide(F.col("d").cast("double"), F.col("n") * (F.col("n") - 1)), F.lit(0.0))),
-        row(m, "is_dag", F.lit(1.0 if is_acyclic(edges) else 0.0)),
+        row(dag, "is_dag", ((F.col("v") == F.col("c")) & (F.col("loops") == 0)).cast("int")),
         row(comps, "connected_components", F.col("v")),
         row(nodes.groupBy("node_type").agg(count), "node_type", F.col("c"), F.col("node_type")),
         row(edges.groupBy("edge_type").agg(count), "edge_type", F.col("c"), F.col("edge_type")),

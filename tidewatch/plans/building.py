@@ -268,6 +268,14 @@ def feat_derived(t):
     ), 4)
 
 
+@query("feat_derived_custom", "SELECT event_id, round(ln(value) + user_id, 6) AS per_user FROM events WHERE value > 1")
+def feat_derived_custom(t):
+    """A derived feature by the caller's own function of the table."""
+    own = lambda df: df.where("value > 1").withColumn("per_user", F.ln("value") + F.col("user_id"))
+    config = {"feature_name": "per_user", "feature_type": "derived", "source_fields": ["value"], "transformation": "custom", "parameters": {"function": own}}
+    return tidy(X.engineer(t.events, config).select("event_id", "per_user"))
+
+
 def _quality_sql(c: str) -> str:
     return f"""SELECT '{c}' AS feature, round(count({c}) * 1.0 / count(*) * (1 - count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1)
       OR {c} > q3 + 1.5 * (q3 - q1)) * 1.0 / count({c})), 6) AS quality_score FROM x, (SELECT quantile_cont({c}, 0.25) AS q1,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import abtest as B
 from tidewatch.operators import lifecycle as L
 from tidewatch.operators import performance as M
-from tidewatch.plans.registry import query, rnd, stamp, tidy
+from tidewatch.plans.registry import ORACLES, query, rnd, stamp, tidy
 
 PRED_SQL = """pred AS (SELECT 'm' || (l_suppkey % 10) AS model_id, strftime(l_shipdate, '%Y-%m') AS batch_id, l_shipdate AS ts,
   CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y_true, CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END AS y_pred,
@@ -529,6 +529,28 @@ def perf_monitor_all_models(t):
     return tidy(M.monitor(per_model, thresholds(t, m), fired))
 
 
+# every test has a model of its own and a shared one; a wide significance level, so that the data have significant tests
+
+
+@query(
+    "perf_monitor_with_ab_tests",
+    f"""SELECT * FROM ({ORACLES["perf_monitor_all_models"]})
+    UNION ALL SELECT unnest(['m' || test_id || 'a', 'shared']), 'ab_test_significant', test_id || ':' || winner, p_value, NULL, 'info'
+    FROM ({ORACLES["ab_analysis"].replace("pv < 0.05", "pv < 0.9")}) WHERE statistical_significance""",
+)
+def perf_monitor_with_ab_tests(t):
+    """The monitoring pass with the significant tests of each model next to thresholds and triggers."""
+    m = M.batch_metrics(predictions(t))
+    per_model = M.summary(m, since())
+    fired = per_model.filter("min_accuracy < 0.4").select("model_id", F.lit("acc_drop").alias("trigger_id"))
+    analysis = B.analyze(ab_traffic(t), "value", alpha=0.9)
+    tests = ab_traffic(t).select("test_id").distinct().select(
+        "test_id", F.concat(F.lit("m"), F.col("test_id").cast("string"), F.lit("a")).alias("model_a_id"), F.lit("shared").alias("model_b_id"),
+        F.lit(100).alias("min_sample_size"), F.lit(True).alias("enabled"),
+    )
+    return tidy(M.monitor(per_model, thresholds(t, m), fired, B.per_model(tests, analysis)))
+
+
 @query(
     "perf_run_summary",
     """SELECT o_orderpriority AS name, count(*) AS total_runs, count(*) FILTER (o_orderstatus = 'O') AS successful_runs,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,11 @@ def unwrap(enveloped: DataFrame) -> DataFrame:
     return enveloped.select("data.*")
 
 
-def recent_records(df: DataFrame, source_id: str, limit: int = 100, source: str = "source_id", ts: str = "ts") -> DataFrame:
-    """Most recent records of one source."""
-    return newest(df.filter(quoted(source) == source_id), ts, limit)
+def recent_records(
+    df: DataFrame, source_id: str, limit: int = 100, source: str = "source_id", ts: str = "ts", tiebreak: Sequence[str] = ()
+) -> DataFrame:
+    """Most recent records of one source; ``tiebreak`` columns decide, largest first, between records of one time."""
+    return newest(df.filter(quoted(source) == source_id), ts, limit, tiebreak)
 
 
 def pending_counts(df: DataFrame, source: str = "source_id") -> DataFrame:
