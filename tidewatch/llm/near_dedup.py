@@ -12,13 +12,16 @@ These comparisons run in blocks cut by the hash of the id.  Each pair of blocks
 keeps the documents that have a near partner, and then by full shingle sets, as a product of incidence matrices; only
 links that join two components are handed on, fewer than the documents of the block.
 
-Offered pairs are screened by their signatures and confirmed on the full shingle sets.  Confirmation runs in rounds: one
-pair per document first, then only what would join two different components, then all that is left of that.
+A group of documents that is such a node in many trees is compared once.
+
+Offered pairs are screened by their signatures and confirmed on the full shingle sets.  Confirmation runs in two rounds: one
+pair per document first, then all that would join two different components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.common import U64, cut_lineage, grams, numbered, only, per_slice, renamed, seeded, sequence_hash, slices, without, words_of
-from tidewatch.llm.components import components
+from tidewatch.llm.components import components, joined
 
 SHINGLE = 5
 TREES = 22
@@ -105,26 +108,29 @@ def offered_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.slice("sig", F.col("tree") * LEVELS + 2, LEVELS - 1).alias("rest"),
     )
     offers: list[DataFrame] = []
+    leaves: list[DataFrame] = []
     for level in range(LEVELS):
         size = here.groupBy("path").agg(F.count("*").alias("k"), F.min("id").alias("hub")).where("k > 1")
         kept = cut_lineage(here.join(size, "path"))
-        small = kept.where(F.col("k") <= LEAF).select("path", "id")
+        leaves.append(kept.where(F.col("k") <= LEAF).select("path", "id"))
         large = kept.where(F.col("k") > LEAF)
-        offers.append(
-            small.select("path", F.col("id").alias("a")).join(small.select("path", F.col("id").alias("b")), "path").where("a < b").select("a", "b")
-        )
         offers.append(large.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
         if level < LEVELS - 1:
             here = large.select("id", "tree", F.xxhash64("path", F.element_at("rest", level + 1)).alias("path"), "rest")
-    pairs = offers[0]
-    for other in offers[1:]:
-        pairs = pairs.union(other)
-    return pairs.distinct(), large.select("path", "tree", "id")
+    # a leaf holds at most LEAF ids, so its list is bounded
+    leaf = reduce(DataFrame.union, leaves).groupBy("path").agg(F.collect_set("id").alias("ids"))
+    pairs = leaf.select("ids", F.explode("ids").alias("a")).select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
+    return reduce(DataFrame.union, offers, pairs).distinct(), large.select("path", "tree", "id")
+
+
+def _low_bytes(sig: str) -> Column:
+    """One byte of every minwise value: other values agree once in 256, which a screen lets through rather than holds back."""
+    return F.transform(sig, lambda x: (x.bitwiseAND(255) - 128).cast("tinyint"))
 
 
 def screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose signatures agree often enough, with that share."""
-    sig = nodes.select("id", "sig", "n")
+    sig = nodes.select("id", _low_bytes("sig").alias("sig"), "n")
     near = (
         pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a")
         .join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
@@ -134,10 +140,8 @@ def screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return near.where("least(na, nb) * 2 >= greatest(na, nb)").select("a", "b", "na", "nb", equal.alias("share")).where(F.col("share") >= SCREEN)
 
 
-def _labelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs with the component of each side; those inside one component are done."""
-    if labels is None:
-        return pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")})
     side = lambda x: labels.select(F.col("u").alias(x), F.col("component").alias(f"c{x}"))
     out = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
     return out.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
@@ -164,43 +168,31 @@ def linked_groups(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     pairs, large = offered_pairs(nodes)
     left = cut_lineage(screened(pairs, nodes))
     sets = sets_of(left)
-    links, labels = None, None
-    for turn in ("one per document", "one per pair of components", "all"):
-        left = left if labels is None else cut_lineage(_labelled(left.select("a", "b", "na", "nb", "share"), labels))
-        best = F.max_by(F.struct("a", "b", "na", "nb"), F.struct("share", -F.col("a"), -F.col("b")))
-        if turn == "one per document":
-            chosen = left.groupBy("b").agg(best.alias("x")).select("x.*")
-        elif turn == "one per pair of components":
-            chosen = left.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(best.alias("x")).select("x.*")
-        else:
-            chosen = left.select("a", "b", "na", "nb")
-        if chosen.isEmpty():
-            break
-        found = confirmed(cut_lineage(chosen), sets)
-        links = cut_lineage(found if links is None else links.union(found))
-        labels = components(links)
+    # first one pair per document, then all that would join different components
+    best = F.max_by(F.struct("a", "b", "na", "nb"), F.struct("share", -F.col("a"), -F.col("b")))
+    labels = components(confirmed(left.groupBy("b").agg(best.alias("x")).select("x.*"), sets))
+    labels = joined(labels, _between(cut_lineage(confirmed(_labelled(left, labels), sets)), labels))
     found = cross_links(large, nodes, labels, percent, sets_of)
-    if found is not None:
-        labels = components(found if links is None else links.union(found))
-    return labels if labels is not None else nodes.sparkSession.createDataFrame([], "u long, component long")
+    return labels if found is None else joined(labels, _between(found, labels))
+
+
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` of documents as links of their components."""
+    return _labelled(links.select(F.col("u").alias("a"), F.col("v").alias("b")), labels).select(F.col("ca").alias("u"), F.col("cb").alias("v"))
 
 
-def cross_links(large: DataFrame, nodes: DataFrame, labels: DataFrame | None, percent: int, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def cross_links(large: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """Links ``(u, v)`` between different components inside nodes that are large at the lowest level of the forest.
 
     Every pair of different components of a node is compared; the links returned join the same components as all links.
     """
-    member = large.select("path", "id").withColumn("c", F.col("id")) if labels is None else (
-        large.select("path", "id").join(labels.select(F.col("u").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    )
-    several = member.groupBy("path").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("path")
-    member = cut_lineage(member.join(several, "path"))
+    member = large.select("path", "id").join(labels.select(F.col("u").alias("id"), "component"), "id", "left")
+    member = cut_lineage(_new_nodes(member.select("path", "id", F.coalesce("component", "id").alias("c"))))
     if member.isEmpty():
         return None
-    # one byte of every minwise value: other values agree once in 256, which the screen lets through rather than holds back
-    short = F.transform("sig", lambda x: F.substring(F.hex(x.cast("long").bitwiseAND(255) + 256), 2, 2))
-    short = nodes.select("id", "n", F.unhex(F.array_join(short, "")).alias("x"))
-    near = cut_lineage(_blocks(member.join(short, "id"), F.lit(1), BLOCK).applyInArrow(_partners, "path long, id long, c long, n long").distinct())
+    short = nodes.select("id", "n", F.unhex(F.array_join(F.transform(_low_bytes("sig"), lambda x: F.substring(F.hex(x.cast("long") + 384), 2, 2)), "")).alias("x"))
+    near = _blocks(member.join(short, "id"), F.lit(1), BLOCK).applyInArrow(_partners, "path long, id long, c long, n long").distinct()
+    near = cut_lineage(_new_nodes(cut_lineage(near)))
     if near.isEmpty():
         return None
     sets = sets_of(near.select(F.col("id").alias("a"), F.col("id").alias("b")))
@@ -209,6 +201,17 @@ def cross_links(large: DataFrame, nodes: DataFrame, labels: DataFrame | None, pe
     return cut_lineage(whole.applyInArrow(_joining(percent), "u long, v long").distinct())
 
 
+def _new_nodes(member: DataFrame) -> DataFrame:
+    """Members of nodes that hold several components, only one node (of the smallest path) of those with the same members.
+
+    A group that stays together in many trees is so compared once; two digests and the count stand for the members.
+    """
+    digest = [F.count("*"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1)))]
+    nodes = member.groupBy("path").agg(F.min("c").alias("x"), F.max("c").alias("y"), *[d.alias(f"d{i}") for i, d in enumerate(digest)])
+    first = nodes.where("x < y").groupBy("d0", "d1", "d2").agg(F.min("path").alias("path")).select("path")
+    return member.join(first, "path")
+
+
 def _blocks(member: DataFrame, weight: Column, most: int) -> GroupedData:
     """``member(path, id, c, n, x)`` grouped by pairs of blocks of a node, each block of about ``most`` in ``weight``."""
     count = member.groupBy("path").agg(F.ceil(F.sum(weight) / F.lit(most)).cast("int").alias("m"))
