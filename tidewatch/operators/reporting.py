@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.common import number, quoted, union_all
-from tidewatch.operators.aggregates import column_statistics
+from tidewatch.functions.ordered import exact_quantiles
 from tidewatch.operators.windows import last_points_trend, newest
 
 AGGREGATIONS = ("mean", "median", "std", "min", "max")
@@ -21,64 +21,115 @@ def report_data(series: DataFrame, sources: Sequence[str], since: Column, until:
     return rows if until is None else rows.filter(F.col("ts") <= until)
 
 
-def _result(df: DataFrame, query: Mapping, **columns: Column) -> DataFrame:
+def _result(query: Mapping, **columns: Column) -> list[Column]:
     empty = F.lit(None).cast("string")
     base = {
         "query_id": F.lit(query["query_id"]), "query_type": F.lit(query["query_type"]), "metric": F.lit(query.get("metric")).cast("string"),
         "metric2": empty, "name": empty, "value": F.lit(None).cast("double"), "note": empty,
     }
-    return df.select(*[{**base, **columns}[c].alias(c) for c in RESULT])
+    return [{**base, **columns}[c].alias(c) for c in RESULT]
 
 
-def aggregation_query(series: DataFrame, query: Mapping) -> DataFrame:
-    """Mean, median, population std, min or max of one metric; an unknown name gives the mean."""
+def _results(stats: DataFrame, wanted: Sequence[tuple[Column, list[Column]]]) -> DataFrame:
+    """Rows of the queries whose condition holds on a row of ``stats``."""
+    return stats.select(F.inline(F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(*cells)) for cond, cells in wanted]))))
+
+
+def _of(series: DataFrame, queries: Sequence[Mapping]) -> DataFrame:
+    return series.filter(F.col("metric").isin(*sorted({q["metric"] for q in queries})))
+
+
+def _aggregation(query: Mapping) -> str:
     kind = query.get("aggregation", "mean")
-    kind = kind if kind in AGGREGATIONS else "mean"
-    stats = column_statistics(series.filter(F.col("metric") == query["metric"]), "value") if kind == "median" else None
-    x = number("value")
+    return kind if kind in AGGREGATIONS else "mean"
+
+
+def aggregation_queries(series: DataFrame, queries: Sequence[Mapping]) -> DataFrame:
+    """Mean, median, population std, min or max of one metric each; an unknown name gives the mean.
+
+    All metrics and measures come from one aggregate by metric, all medians from a second one.
+    """
     plain = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
-    if stats is None:
-        stats = series.filter(F.col("metric") == query["metric"]).agg(plain[kind](x).alias(kind))
-    return _result(stats.filter(F.col(kind).isNotNull()), query, name=F.lit(query.get("aggregation", "mean")), value=F.col(kind))
+    parts = []
+    for medians in (False, True):
+        own = [q for q in queries if (_aggregation(q) == "median") == medians]
+        if not own:
+            continue
+        if medians:
+            stats = exact_quantiles(_of(series, own), ["metric"], {"median": ("value", 0.5)})
+        else:
+            x = number("value")
+            stats = _of(series, own).groupBy("metric").agg(*[plain[k](x).alias(k) for k in sorted({_aggregation(q) for q in own})])
+        parts.append(_results(stats, [
+            ((F.col("metric") == q["metric"]) & F.col(_aggregation(q)).isNotNull(),
+             _result(q, name=F.lit(q.get("aggregation", "mean")), value=F.col(_aggregation(q)).cast("double")))
+            for q in own
+        ]))
+    return union_all(parts)
 
 
-def trend_query(series: DataFrame, query: Mapping) -> DataFrame:
-    """Slope of the last ``window_size`` points: direction and strength."""
-    n = int(query.get("window_size", 10))
-    t = last_points_trend(series.filter(F.col("metric") == query["metric"]), ["metric"], "ts", "value", n)
+def trend_queries(series: DataFrame, queries: Sequence[Mapping]) -> DataFrame:
+    """Slope of the last ``window_size`` points: direction and strength.  One pass per window size."""
+    windows: dict[int, list[Mapping]] = {}
+    for q in queries:
+        windows.setdefault(int(q.get("window_size", 10)), []).append(q)
     note = F.when(F.col("slope") > 0, "increasing").otherwise("decreasing")
-    return _result(t, query, name=F.lit("slope"), value=F.col("slope"), note=note)
+    return union_all([
+        _results(last_points_trend(_of(series, own), ["metric"], "ts", "value", n),
+                 [(F.col("metric") == q["metric"], _result(q, name=F.lit("slope"), value=F.col("slope"), note=note)) for q in own])
+        for n, own in windows.items()
+    ])
 
 
-def correlation_query(series: DataFrame, query: Mapping) -> DataFrame:
-    """Correlation of two metrics aligned on time: strong above 0.7, moderate above 0.3, else weak."""
-    a, b = query["metric1"], query["metric2"]
-    wide = series.filter(F.col("metric").isin(a, b)).groupBy("ts").agg(
-        F.avg(F.when(F.col("metric") == a, number("value"))).alias("a"), F.avg(F.when(F.col("metric") == b, number("value"))).alias("b")
-    )
-    c = wide.agg(F.corr("a", "b").alias("r")).filter("r is not null")
-    r = F.abs("r")
-    return _result(
-        c, query, metric=F.lit(a), metric2=F.lit(b), name=F.lit("correlation"), value=F.col("r"),
-        note=F.when(r > 0.7, "strong").when(r > 0.3, "moderate").otherwise("weak"),
+def correlation_queries(series: DataFrame, queries: Sequence[Mapping]) -> DataFrame:
+    """Correlation of two metrics aligned on time: strong above 0.7, moderate above 0.3, else weak.
+
+    The metrics of all queries become columns of one table by time, all pairs come from one aggregate over it.
+    """
+    metrics = sorted({q[m] for q in queries for m in ("metric1", "metric2")})
+    at = {m: f"m{i}" for i, m in enumerate(metrics)}
+    wide = series.filter(F.col("metric").isin(*metrics)).groupBy("ts").agg(
+        *[F.avg(F.when(F.col("metric") == m, number("value"))).alias(c) for m, c in at.items()]
     )
+    # a time that lacks one of the two metrics is no pair
+    pairs = wide.agg(*[F.corr(at[q["metric1"]], at[q["metric2"]]).alias(f"r{i}") for i, q in enumerate(queries)])
 
+    def cells(i: int, q: Mapping) -> tuple[Column, list[Column]]:
+        r, size = F.col(f"r{i}"), F.abs(f"r{i}")
+        return r.isNotNull(), _result(
+            q, metric=F.lit(q["metric1"]), metric2=F.lit(q["metric2"]), name=F.lit("correlation"), value=r,
+            note=F.when(size > 0.7, "strong").when(size > 0.3, "moderate").otherwise("weak"),
+        )
 
-def custom_query(series: DataFrame, query: Mapping) -> DataFrame:
-    """SQL text over ``{series}`` that yields ``name, value`` rows."""
-    rows = series.sparkSession.sql(query["sql"], series=series)
-    return _result(rows, query, name=F.col("name").cast("string"), value=F.col("value").cast("double"))
+    return _results(pairs, [cells(i, q) for i, q in enumerate(queries)])
+
+
+def custom_queries(series: DataFrame, queries: Sequence[Mapping]) -> DataFrame:
+    """SQL texts over ``{series}`` that yield ``name, value`` rows."""
+    return union_all([
+        series.sparkSession.sql(q["sql"], series=series).select(*_result(q, name=F.col("name").cast("string"), value=F.col("value").cast("double")))
+        for q in queries
+    ])
 
 
 QUERIES = {
-    "aggregation": aggregation_query, "trend": trend_query, "correlation": correlation_query, "custom": custom_query,
+    "aggregation": aggregation_queries, "trend": trend_queries, "correlation": correlation_queries, "custom": custom_queries,
 }
 
 
 def run_queries(series: DataFrame, queries: Sequence[Mapping]) -> DataFrame:
-    """Results of all enabled queries in one table; unknown kinds are skipped."""
-    parts = [QUERIES[q["query_type"]](series, q) for q in queries if q.get("enabled", True) and q["query_type"] in QUERIES]
-    return union_all(parts)
+    """Results of all enabled queries in one table; unknown kinds are skipped, no query gives an empty table.
+
+    Queries are compiled by kind: the series is read once per kind (medians and every window size of trends are kinds of
+    their own, custom SQL reads it for itself), not once per query.
+    """
+    kinds: dict[str, list[Mapping]] = {}
+    for q in queries:
+        if q.get("enabled", True) and q["query_type"] in QUERIES:
+            kinds.setdefault(q["query_type"], []).append(q)
+    if not kinds:
+        return series.sparkSession.createDataFrame([], ", ".join(f"{c} {'double' if c == 'value' else 'string'}" for c in RESULT))
+    return union_all([QUERIES[kind](series, own) for kind, own in kinds.items()])
 
 
 def insights(series: DataFrame, alerts: DataFrame | None = None, accuracy: str = "accuracy", drift: str = "drift_score") -> DataFrame:
