@@ -20,15 +20,18 @@ S, T = "source_node_id", "target_node_id"
 
 
 def add_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges whose ends are both nodes, and the refused ones."""
-    ids = nodes.select("node_id").distinct()
-    known = edges.join(ids.select(F.col("node_id").alias(S)), S, "left_semi").join(
-        ids.select(F.col("node_id").alias(T)), T, "left_semi"
-    ).select(*[quoted(c) for c in edges.columns])
-    no_source = edges.join(ids.select(F.col("node_id").alias(S)), S, "left_anti")
-    no_target = edges.join(ids.select(F.col("node_id").alias(S)), S, "left_semi").join(
-        ids.select(F.col("node_id").alias(T)), T, "left_anti"
-    )
+    """Edges whose ends are both nodes, and the refused ones.
+
+    Repeated nodes do no harm to semi and anti joins, so no task has to hold the ids to make them distinct.  The number of
+    partitions is fixed: ids compress so well that AQE would put millions of them together in one sort, and they are merged:
+    by the size of their files they would be broadcast.
+    """
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = nodes.select("node_id").repartition(parts, "node_id")
+    sources, targets = (ids.select(F.col("node_id").alias(c)).hint("merge") for c in (S, T))
+    known = edges.join(sources, S, "left_semi").join(targets, T, "left_semi").select(*[quoted(c) for c in edges.columns])
+    no_source = edges.join(sources, S, "left_anti")
+    no_target = edges.join(sources, S, "left_semi").join(targets, T, "left_anti")
     return known, no_source.unionByName(no_target)
 
 
@@ -236,7 +239,7 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     colouring: every open node takes the smallest id that reaches it within its group; within a colour, the nodes that
     reach the colour's own node are one component and are closed.
     """
-    ids = nodes.select("node_id").distinct()
+    ids = nodes.select("node_id")  # repeats do no harm to semi and anti joins
     ends = lambda df: df.select(F.col(S).alias("node_id")).union(df.select(T)).distinct()
     cyclic = _peeled(cut_lineage(edges.filter(F.col(S) != F.col(T)).select(S, T).distinct()))
     core = cut_lineage(ends(cyclic))
