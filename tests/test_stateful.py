@@ -21,6 +21,25 @@ def batches(n=5, size=40, seed=2):
     return [rows[i * size : (i + 1) * size] for i in range(n)]
 
 
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_rings_of_one_bucket_stay_apart(spark, tmp_path, buckets):
+    Z.use_rocksdb(spark)
+    rnd = random.Random(4)
+    rows = [(f"u{rnd.randrange(40)}", BASE + dt.timedelta(seconds=rnd.randrange(500)), i, 1.5 * i) for i in range(300)]
+    data = [rows[i : i + 100] for i in (0, 100, 200)]
+    out = Z.last_values(stream(spark, write_files(spark, tmp_path, data, ROWS), ROWS), "k", "ts", "value", 6, gate=4, buckets=buckets)
+    run(X.store_events(out, X.StreamConfig(f"apart{buckets}", str(tmp_path / "cp")), str(tmp_path / "o")))
+    want, held = [], {}
+    for batch in data:
+        for k in {r[0] for r in batch}:
+            new = [r[1:] for r in batch if r[0] == k]
+            held[k] = sorted([*held.get(k, []), *new])[-6:]
+            full = len(held[k]) >= 4
+            want += [(k, *held[k][-1][:2], None, [x[2] for x in held[k]])] if full else [(k, *r, None) for r in new]
+    got = [(r.k, r.ts, r.event_id, r.value, r["values"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_ring_equals_a_list(spark, tmp_path):
     Z.use_rocksdb(spark)
     data = batches()

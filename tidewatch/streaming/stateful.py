@@ -8,6 +8,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +27,10 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class Ring(StatefulProcessor):
-    """The newest ``size`` values of a key, by time and id, across micro-batches.
+    """The newest ``size`` values of every key of a bucket, by time and id, across micro-batches.
 
     Each micro-batch of a key gives one row with the whole ring once it holds ``gate`` values; before that its new rows
-    pass through.  Frames are cut to the ring's size one by one, so a key with very many new rows takes no more memory.
+    pass through.  Frames are cut to the rings' size one by one, so a key with very many new rows takes no more memory.
     """
 
     def __init__(self, size: int, gate: int, id_type: str):
@@ -38,44 +39,49 @@ class Ring(StatefulProcessor):
         self.size, self.gate, self.id_type = size, gate, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getListState("ring", f"t bigint, id {self.id_type}, value double")
+        self.ring = handle.getListState("ring", f"k string, t bigint, id {self.id_type}, value double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame([tuple(r) for r in self.ring.get()], columns=["t", "id", "value"])
-        before, fresh = len(held), []
+        own = ["k", "t", "id", "value"]
+        codes: dict = {}
+        held = pd.DataFrame([tuple(r) for r in self.ring.get()], columns=own)
+        held["g"] = [codes.setdefault(k, len(codes)) for k in held["k"]]
+        known, touched, fresh = np.bincount(held["g"].astype("int64"), minlength=len(codes)), np.zeros(len(codes), dtype=bool), None
         for frame in rows:
-            new = frame[["t", "id", "value"]]
-            if before < self.gate:  # few enough to pass, unless the gate is reached
-                fresh.append(new)
-                if before + sum(map(len, fresh)) >= self.gate:
-                    before = self.gate
-                    fresh = []
-            held = (pd.concat([held, new]) if len(held) else new).sort_values(["t", "id"]).tail(self.size)
-        self.ring.put(list(held.astype(object).itertuples(index=False, name=None)))
-        if len(held) >= self.gate:
-            last = held.iloc[-1]
-            out = pd.DataFrame({"k": [key[0]], "t": [int(last["t"])], "id": [last["id"]], "value": [None], "ring": [held["value"].astype(float).tolist()]})
-        else:
-            out = pd.concat(fresh)
-            out = pd.DataFrame({"k": key[0], "t": out["t"], "id": out["id"], "value": out["value"].astype(float), "ring": None})
-        yield out
+            new = frame[own].copy()
+            new["g"] = [codes.setdefault(k, len(codes)) for k in new["k"]]
+            more = np.bincount(new["g"].astype("int64"), minlength=len(codes))
+            known, touched = (np.pad(x, (0, len(codes) - len(x))) for x in (known, touched))
+            known, touched = known + more, touched | (more > 0)
+            fresh = new if fresh is None else pd.concat([fresh, new])
+            fresh = fresh[known[fresh["g"]] < self.gate]  # few enough to pass, unless the gate is reached
+            held = (pd.concat([held, new]) if len(held) else new).sort_values(["g", "t", "id"]).groupby("g", sort=False).tail(self.size)
+        self.ring.put(list(held[own].astype(object).itertuples(index=False, name=None)))
+        full = held[(touched & (known >= self.gate))[held["g"]]]
+        if len(full):
+            last = full.groupby("g", sort=False).tail(1)
+            values = full.assign(value=full["value"].astype(float)).groupby("g", sort=False)["value"].agg(list)
+            yield pd.DataFrame({"k": last["k"].to_numpy(), "t": last["t"].to_numpy(), "id": last["id"].to_numpy(), "value": None, "ring": values.reindex(last["g"]).to_numpy()})
+        if fresh is not None and len(fresh):
+            yield pd.DataFrame({"k": fresh["k"], "t": fresh["t"], "id": fresh["id"], "value": fresh["value"].astype(float), "ring": None})
 
     def close(self) -> None:
         pass
 
 
 def last_values(
-    df: DataFrame, key: str, ts: str, value: str, size: int, gate: int | None = None, id_column: str = "event_id", missing: float | None = None
+    df: DataFrame, key: str, ts: str, value: str, size: int, gate: int | None = None, id_column: str = "event_id", missing: float | None = None, buckets: int = 1024
 ) -> DataFrame:
     """Per micro-batch and key: ``(key, ts, id, values)`` with the newest ``size`` values, or the new rows ``(key, ts, id, value)``.
 
     ``values`` is null in rows that pass because the key has had fewer than ``gate`` (by default ``size``) values so far.
-    Values that are no numbers become ``missing``; if that is null they take no part.
+    Values that are no numbers become ``missing``; if that is null they take no part.  Keys share state by their hash, so that
+    Python is called once per bucket and not once per key; a checkpoint keeps its number of ``buckets``.
     """
     v = F.coalesce(number(quoted(value)), F.lit(missing)) if missing is not None else number(quoted(value))
     id_type = df.schema[id_column].dataType.simpleString()
     source = df.select(quoted(key).cast("string").alias("k"), micros(quoted(ts)).alias("t"), quoted(id_column).alias("id"), v.alias("value")).where("value is not null")
-    out = source.groupBy("k").transformWithStateInPandas(
+    out = source.withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(int(buckets)))).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=Ring(size, size if gate is None else gate, id_type),
         outputStructType=f"k string, t bigint, id {id_type}, value double, ring array<double>", outputMode="append", timeMode="None",
     )
