@@ -1,6 +1,7 @@
 """Graph traversals against brute force, streams over several micro-batches, storage and sources."""
 
 import datetime as dt
+import pathlib
 import random
 
 import pytest
@@ -74,6 +75,17 @@ def test_statistics_of_a_small_graph(spark):
     assert got[("graph_density", None)] == pytest.approx(2 / 6) and got[("node_type", "x")] == 2
 
 
+def test_edges_are_sorted_out_without_whole_ids_in_a_task(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), (None,)], "node_id string")
+    pairs = [("a", "b"), ("a", "b"), ("b", "x"), ("x", "c"), ("x", "y"), (None, "a"), ("c", None)]
+    known, refused = G.add_edges(nodes, graph(spark, pairs))
+    rows = lambda df: sorted(map(tuple, df.select(G.S, G.T).collect()), key=repr)
+    assert rows(known) == [("a", "b"), ("a", "b")] and rows(refused) == sorted(pairs[2:], key=repr)
+    for df in (known, refused):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and "BroadcastHashJoin" not in plan and "REPARTITION_BY_NUM" in plan
+
+
 BASE = dt.datetime(2024, 1, 1)
 
 
@@ -153,6 +165,60 @@ def test_stream_escalation(spark, tmp_path):
     assert got == {"quiet": at(30), "slow": at(31)}
 
 
+def escalation_by_hand(batches, delay, lag):
+    """Per alert and micro-batch: one state, and the deadlines that the watermark has passed."""
+    held, got, closed, newest = {}, [], 0, None
+    for rows in [*batches, []]:
+        for a in {r[0] for r in rows}:
+            raised = [r[1] for r in rows if r[0] == a and r[2] == "raised"] + ([held[a]] if a in held else [])
+            acted = [r[1] for r in rows if r[0] == a and r[2] != "raised"]
+            if not raised:
+                continue
+            held.pop(a, None)
+            due = min(raised) + delay
+            if acted and min(acted) <= due:
+                continue
+            if acted or due <= closed:
+                got.append((a, due))
+            else:
+                held[a] = min(raised)
+        late = [a for a, t in held.items() if t + delay < closed and not any(r[0] == a for r in rows)]
+        got += [(a, held.pop(a) + delay) for a in late]
+        newest = max([r[1] for r in rows] + ([newest] if newest is not None else []))
+        closed = max(closed, newest - lag)
+    return sorted(got, key=repr)
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_alerts_of_one_bucket_escalate_one_by_one(spark, tmp_path, buckets):
+    rnd = random.Random(buckets)
+    names = [None, *(f"alert{i}" for i in range(60))]
+    batches = [[(rnd.choice(names), b * 3000 + rnd.randrange(200, 3000), rnd.choice(["raised", "raised", "acknowledge"])) for _ in range(60)] for b in range(4)]
+    schema = "alert_id string, ts timestamp, kind string"
+    at = lambda s: BASE + dt.timedelta(seconds=s)
+    where = write_files(spark, tmp_path, [[(a, at(s), k) for a, s, k in rows] for rows in batches], schema)
+    out = X.escalations(stream(spark, where, schema), "alert_id", "ts", "kind", 1800, buckets=buckets)
+    run(X.store_events(out, X.StreamConfig(f"one{buckets}", str(tmp_path / "cp")), str(tmp_path / "o")))
+    got = [(r.alert_id, r.escalated_at) for r in spark.read.parquet(str(tmp_path / "o")).collect()]
+    want = [(a, at(s)) for a, s in escalation_by_hand(batches, 1800, 60)]
+    assert len(got) > 40 and sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_micro_batches_of_several_files(spark, monkeypatch):
+    from tidewatch.plans import flows
+    from tidewatch.sources.readers import Tables
+
+    monkeypatch.setattr(flows, "FILE_ROWS", 30)
+    rows = spark.range(1000).select("id", (F.col("id") % 10).alias("x"))
+    numbers = "CASE WHEN x = 0 THEN 0 WHEN x < 5 THEN 1 ELSE 2 END"
+    cfg, path = flows.config(Tables(spark, "/nowhere"), "files")
+    fn = lambda df, i: df.withColumn("at", F.spark_partition_id()).write.parquet(f"{path}/batch_id={i}")
+    flows.finish(X.each_batch(flows.batch_stream(Tables(spark, "/nowhere"), rows, numbers, 3), cfg, fn))
+    back = spark.read.parquet(path)
+    assert back.count() == 1000 and back.where(f"batch_id <> {numbers}").count() == 0
+    assert len(list(pathlib.Path(path).glob("batch_id=*"))) == 3
+
+
 def test_unknown_tier_is_refused(spark):
     with pytest.raises(ValueError):
         S.check_tier("lukewarm")

@@ -19,13 +19,18 @@ def event_stream(t):
 WEEK = "least(day(ts) {div} 8, 3)"  # the events lie in one month
 
 
+FILE_ROWS = 250_000
+
+
 def batch_stream(t, rows, batch, n):
     """``rows`` as a stream of ``n`` micro-batches, by the number in the column expression ``batch``."""
     path = scratch(t.spark)
     numbered = rows.withColumn("__batch", F.expr(batch))
+    sizes = {r["__batch"]: r["count"] for r in numbered.where(F.col("__batch").between(0, n - 1)).groupBy("__batch").count().collect()}
+    files = max(1, min(sizes.get(i, 0) for i in range(n)) // FILE_ROWS)  # as many rows per file leave none of them out
     for i in range(n):  # the stream takes files in the order they were written
-        numbered.where(F.col("__batch") == i).drop("__batch").coalesce(1).write.mode("append").parquet(f"{path}/{i}")
-    return stream_files(t.spark, Source("events", f"{path}/*", "parquet", rows.schema), files_per_trigger=1)
+        numbered.where(F.col("__batch") == i).drop("__batch").repartition(files).write.mode("append").parquet(f"{path}/{i}")
+    return stream_files(t.spark, Source("events", f"{path}/*", "parquet", rows.schema), files_per_trigger=files)
 
 
 def finish(writer) -> None:

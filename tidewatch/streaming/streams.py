@@ -118,45 +118,53 @@ def cooldown(
     return fired.select(F.col("k").alias(key), F.timestamp_micros("t").alias(ts), F.col("id").alias(id_column))
 
 
-def escalations(events: DataFrame, alert_id: str, ts: str, kind: str, delay_seconds: int, watermark: str = "1 minute") -> DataFrame:
+def escalations(
+    events: DataFrame, alert_id: str, ts: str, kind: str, delay_seconds: int, watermark: str = "1 minute", buckets: int = 1024
+) -> DataFrame:
     """Alerts nobody acted on in time: ``(alert_id, escalated_at)``.
 
     ``kind`` is ``raised``, ``acknowledge`` or ``resolve``.  An alert is held
-    as state until an action comes or event time passes its deadline.
+    as state until an action comes or event time passes its deadline.  Alerts
+    share state by the hash of their id, so that Python is called once per
+    bucket and not once per alert; a checkpoint keeps its number of ``buckets``.
+    Rows without a time take no part.
     """
     delay = int(delay_seconds) * 1_000_000
+    own = ["held", "raised", "acted"]
+
+    def earliest(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.groupby("a", dropna=False, sort=False, as_index=False).agg({**dict.fromkeys(own, "min"), "new": "max"})
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            deadline = state.get[0] + delay
+        held = state.get if state.exists else ([], [])
+        none = pd.Series(pd.NA, index=range(len(held[0])), dtype="Int64")
+        alerts = pd.DataFrame({"a": pd.Series(held[0], dtype=object), "held": pd.Series(held[1], dtype="Int64"), "raised": none, "acted": none, "new": False})
+        for frame in () if state.hasTimedOut else frames:
+            first, t = frame["kind"] == "raised", frame["t"].astype("Int64")
+            rows = pd.DataFrame({"a": frame["a"], "held": pd.Series(pd.NA, index=frame.index, dtype="Int64"), "raised": t.where(first), "acted": t.where(~first), "new": True})
+            alerts = earliest(pd.concat([alerts, earliest(rows)]))
+        alerts["since"] = alerts[["held", "raised"]].min(axis=1).astype("Int64")
+        alerts = alerts[alerts["since"].notna()]
+        deadline, acted, new = alerts["since"].astype("int64") + delay, alerts["acted"], alerts["new"].astype(bool)
+        closed = state.getCurrentWatermarkMs()
+        answered = (acted <= deadline).fillna(False).astype(bool)
+        due = ~answered & ((new & (acted.notna() | (deadline // 1000 <= closed))) | (~new & (deadline // 1000 + 1 < closed)))
+        names = alerts["a"].where(alerts["a"].notna(), None)
+        open_ = ~answered & ~due
+        if open_.any():
+            state.update((names[open_].tolist(), alerts["since"][open_].astype("int64").tolist()))
+            state.setTimeoutTimestamp(int(deadline[open_].min()) // 1000 + 1)
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([(group[0], deadline)], columns=["a", "t"])
-            return
-        raised = state.get[0] if state.exists else None
-        acted = None
-        for frame in frames:
-            for t, k in zip(frame["t"], frame["kind"]):
-                if k == "raised":
-                    raised = int(t) if raised is None else min(raised, int(t))
-                else:
-                    acted = int(t) if acted is None else min(acted, int(t))
-        if raised is None:
-            return
-        if acted is not None and acted <= raised + delay:
-            if state.exists:
-                state.remove()
-        elif acted is not None or (raised + delay) // 1000 <= state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame([(group[0], raised + delay)], columns=["a", "t"])
-        else:
-            state.update((raised,))
-            state.setTimeoutTimestamp((raised + delay) // 1000 + 1)
+        if due.any():
+            yield pd.DataFrame({"a": names[due], "t": deadline[due]})
 
     source = events.select(
         quoted(alert_id).cast("string").alias("a"), quoted(ts).cast("timestamp").alias("at"), micros(quoted(ts)).alias("t"), quoted(kind).alias("kind")
     ).withWatermark("at", watermark)
-    late = source.groupBy("a").applyInPandasWithState(step, "a string, t bigint", "raised bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    late = source.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(int(buckets)))).groupBy("bucket").applyInPandasWithState(
+        step, "a string, t bigint", "a array<string>, raised array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+    )
     return late.select(F.col("a").alias(alert_id), F.timestamp_micros("t").alias("escalated_at"))
 
 
