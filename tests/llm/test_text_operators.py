@@ -430,6 +430,101 @@ def test_nearest_recall_does_not_fall_with_the_table(spark):
     assert len(got) == 50 and hit >= 0.99 * 500, hit
 
 
+def test_nearest_ranks_few_pairs(spark, monkeypatch):
+    """Vectors without any structure, whose radii hold a tenth of all codes, are not ranked pair by pair."""
+    x = np.random.default_rng(4).normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ranked, pairs = nearest._ranked, []
+
+    def counted(found, *rest):
+        pairs.append(0 if found is None else found.agg(F.sum(F.length("pairs"))).first()[0] or 0)
+        return ranked(found, *rest)
+
+    monkeypatch.setattr(nearest, "_ranked", counted)
+    assert nearest.nearest(df, every=400).count() == 500
+    assert sum(pairs) / 16 <= 2 * 50 * nearest.WANTED, pairs
+
+
+def test_nearest_probes_what_is_close(spark, monkeypatch):
+    """Clusters are found by the index alone if comparing with all vectors costs too much, with copies, sparse ids and short floats."""
+    monkeypatch.setattr(nearest, "SCAN", 1e9)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(100, 32)), 60, axis=0)
+    x = (x + rng.normal(size=x.shape) * 0.02).astype(np.float32)
+    x[1] = x[0]
+    ids = np.arange(len(x)) * 1_000_003 + 7
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    ranked, scans = nearest._ranked, []
+
+    def counted(found, queries, *rest):
+        scans.append(queries.where("scan").count())
+        return ranked(found, queries, *rest)
+
+    monkeypatch.setattr(nearest, "_ranked", counted)
+    got = collections.defaultdict(list)
+    for r in nearest.nearest(df, every=7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r)
+    asked = np.flatnonzero(ids % 7 == 0)
+    hit = 0
+    for q in asked:
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
+        d[q] = np.inf
+        near = np.lexsort((ids, d))[:10]
+        hit += len({int(i) for i in ids[near]} & {r.vec_id for r in got[int(ids[q])]})
+        assert all(r.score == d[(r.vec_id - 7) // 1_000_003] for r in got[int(ids[q])])
+    assert sum(scans) == 0 and len(got) == len(asked) and hit >= 0.99 * 10 * len(asked), (scans, hit)
+
+
+def test_nearest_repeated_ids(spark):
+    """An id with several vectors is one result, as far away as the nearest of its vectors."""
+    x = np.random.default_rng(9).normal(size=(900, 6))
+    ids = np.arange(900) % 800
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    df = df.union(df.limit(50))
+    got = collections.defaultdict(list)
+    for r in nearest.nearest(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, round(r.score, 12)))
+    for q in range(0, 800, 100):
+        d = np.min([np.sqrt(((x - v) ** 2).sum(axis=1)) for v in x[ids == q]], axis=0)
+        best = sorted((min(d[ids == i]), i) for i in range(800) if i != q)[:10]
+        assert got[q] == [(n, i, round(s, 12)) for n, (s, i) in enumerate(best, 1)]
+
+
+def test_nearest_plans():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4096, 64))
+    x[:400] = x[0] + rng.normal(size=(400, 64)) * 0.01
+    sample = nearest.encode(x, nearest.learn(x))
+    plan = nearest.Planner(sample, 4_000_000, 64)
+    assert plan.worth(sample[1000], 20, 1)  # few codes are so near
+    assert not plan.worth(sample[1000], 105, 6)  # nearly all cells would be met
+    assert not plan.worth(sample[0], 60, 3)  # a tenth of all vectors lies inside
+    assert not plan.first(sample[0])[1] or plan.first(sample[0])[0] < 60
+    assert nearest._grid(6154, 615_384, 64) == (1, 33)  # a vector is sent once, a query to every block
+
+
+@pytest.mark.parametrize("kind", ["random", "far from zero", "ties", "few", "huge", "tiny", "copies"])
+def test_nearest_in_a_block(kind, monkeypatch):
+    """Short floats only sort out: the same rows and distances as in double precision, also where rounding is coarse."""
+    monkeypatch.setattr(nearest, "TILE", (16, 256))
+    rng = np.random.default_rng(8)
+    x = {
+        "random": lambda: rng.normal(size=(1500, 64)).astype(np.float32), "far from zero": lambda: 1e4 + rng.normal(size=(1500, 16)) * 1e-3,
+        "ties": lambda: rng.integers(0, 3, size=(1500, 6)).astype(np.float32), "few": lambda: rng.normal(size=(5, 8)),
+        "huge": lambda: rng.normal(size=(1500, 8)) * 1e30, "tiny": lambda: rng.normal(size=(1500, 8)) * 1e-30, "copies": lambda: np.ones((1500, 4)),
+    }[kind]()
+    asked = x[::41]
+    want = []
+    for i, q in enumerate(asked.astype(float)):
+        d = np.sqrt(((x.astype(float) - q) ** 2).sum(axis=1))
+        want += [(i, j, d[j]) for j in np.lexsort((np.arange(len(x)), d))[:11].tolist()]
+    bounds = np.array([max(d for a, _, d in want if a == i) for i in range(len(asked))])
+    for bound in (np.full(len(asked), np.nan), bounds):
+        a, b, score = nearest.closest(asked, bound, x, 11)
+        assert list(zip(a.tolist(), b.tolist(), score.tolist(), strict=True)) == want
+
+
 def test_nearest_odd(spark):
     v = [float(i) for i in range(1, 9)]
     rows = [(i, v) for i in range(0, 300)] + [(1000, [x + 1 for x in v]), (1001, None), (1002, [0.0] * 8), (1003, [1.0, None] * 4), (1004, [float("nan")] * 8), (1005, [1.0]), (None, v), (0, v)]
