@@ -88,8 +88,14 @@ def per_model(tests: DataFrame, analysis: DataFrame) -> DataFrame:
     ``tests``: ``(test_id, model_a_id, model_b_id, min_sample_size, enabled)``; a model may be in several tests.
     """
     active = tests.filter("enabled").select("test_id", "min_sample_size", F.explode(F.array_distinct(F.array("model_a_id", "model_b_id"))).alias("model_id"))
-    enough = F.col("sample_size_a") + F.col("sample_size_b") >= F.col("min_sample_size")
-    return analysis.join(active, "test_id").filter(enough).select("model_id", *[quoted(c) for c in analysis.columns])
+    # side by side by union and aggregate: if the optimizer knows the only test id, a join would be left without keys
+    sides = analysis.select("test_id", F.struct(*[quoted(c) for c in analysis.columns]).alias("__analysis")).unionByName(
+        active.select("test_id", F.struct("min_sample_size", "model_id").alias("__test")), allowMissingColumns=True
+    )
+    met = sides.filter("test_id IS NOT NULL").groupBy("test_id").agg(F.collect_list("__analysis").alias("__analysis"), F.collect_list("__test").alias("__test"))
+    pairs = met.select(F.explode("__analysis").alias("a"), "__test").select("a", F.explode("__test").alias("t"))
+    enough = F.col("a.sample_size_a") + F.col("a.sample_size_b") >= F.col("t.min_sample_size")
+    return pairs.filter(enough).select("t.model_id", "a.*")
 
 
 def traffic_summary(traffic: DataFrame, has_result: str = "has_result") -> DataFrame:
